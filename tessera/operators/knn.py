@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 DEFAULT_BLOCK_BYTES = 32 * 1024 * 1024   # query block broadcast per corpus scan
 SCORE_CELLS = 4 * 1024 * 1024            # score-matrix cells held at once per task
+SCORE_DECIMALS = 12  # matrix products of equal vectors can differ in the last bit; ties must stay ties
 
 
 def _as_matrix(col: pd.Series) -> np.ndarray:
@@ -68,7 +69,7 @@ def _make_scorer(bc, k, doc_id, doc_vec, part_cols, exclude_self, normalize):
                     dn = np.linalg.norm(dmat, axis=1)
                     dn[dn == 0] = np.inf
                     dmat = dmat / dn[:, None]
-                s = qmat @ dmat.T
+                s = np.round(qmat @ dmat.T, SCORE_DECIMALS)
                 ids = part[doc_id].to_numpy()
                 if exclude_self:
                     s = np.where(qids[:, None] == ids[None, :], -np.inf, s)

@@ -18,7 +18,7 @@ _COS_SQL = ("list_dot_product(q.e, d.e) / (sqrt(list_dot_product(q.e, q.e)) * "
 WITH {_VEC_SQL},
 s AS (SELECT q.vec_id AS query_id, d.vec_id AS vec_id, {_COS_SQL} AS score
       FROM v q JOIN v d ON q.vec_id <> d.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score
 FROM r WHERE rank <= 10
 """)
@@ -35,7 +35,7 @@ def knn_topk(spark, sf_dir):
 WITH {_VEC_SQL},
 s AS (SELECT q.vec_id AS query_id, q.label AS label, d.vec_id AS vec_id, {_COS_SQL} AS score
       FROM v q JOIN v d ON q.label = d.label AND q.vec_id <> d.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_id) AS rank FROM s)
 SELECT query_id, label, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score
 FROM r WHERE rank <= 10
 """)
