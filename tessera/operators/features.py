@@ -146,7 +146,8 @@ def latest_per_key(df: DataFrame, key: str, ts: str, tie_col: str, cols: list[st
     """Latest row per key (largest time, then largest ``tie_col``). A hash
     aggregate with map-side partial max_by: hot keys reduce before the shuffle."""
     order = F.struct(F.col(ts), F.col(tie_col))
-    best = F.max_by(F.struct(*[F.col(c) for c in [ts, tie_col, *cols]]), order).alias("_b")
+    keep = list(dict.fromkeys([ts, tie_col, *cols]))
+    best = F.max_by(F.struct(*[F.col(c) for c in keep]), order).alias("_b")
     return df.groupBy(key).agg(best).select(key, "_b.*")
 
 
