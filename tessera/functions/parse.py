@@ -105,3 +105,27 @@ def eval_explanation(text) -> Column:
 def declarations(answer) -> Column:
     """Structured extraction answer -> array<array<string>>; malformed -> null."""
     return F.from_json(_c(answer), "struct<declarations: array<array<string>>>")["declarations"]
+
+
+def with_eval_fields(df, raw: str, score_out: str = "parsed_score",
+                     explanation_out: str = "explanation"):
+    """DataFrame form of ``eval_score`` + ``eval_explanation``: the lines
+    and every intermediate array are computed once, one projection each
+    (higher-order functions run interpreted, so repeating them is costly)."""
+    df = df.withColumn("_lines", F.split(trim_ws(raw), "\n", -1))
+    df = (df.withColumn("_ls", F.element_at(F.filter("_lines", lambda l: l.startswith(SCORE_TAG)), -1))
+            .withColumn("_le", F.element_at(F.filter("_lines", lambda l: l.startswith(EXPLANATION_TAG)), -1)))
+    df = df.withColumn("_pos", F.array_position("_lines", F.col("_le")))
+    n = F.size("_lines")
+    df = df.withColumn("_tail", F.when(F.col("_pos") < n, F.slice("_lines", F.col("_pos") + 1, n - F.col("_pos")))
+                       .otherwise(F.array().cast("array<string>")))
+    df = df.withColumn("_stop", F.array_position(F.transform("_tail", lambda l: l.startswith(SCORE_TAG)), True))
+    taken = (F.when(F.col("_stop") == 0, F.col("_tail"))
+             .when(F.col("_stop") > 1, F.slice("_tail", 1, F.greatest(F.col("_stop") - 1, F.lit(1))))
+             .otherwise(F.array().cast("array<string>")))
+    first = trim_ws(F.replace(F.col("_le"), F.lit(EXPLANATION_TAG), F.lit("")))
+    df = df.withColumn(score_out, F.coalesce(
+        trim_ws(F.replace(F.col("_ls"), F.lit(SCORE_TAG), F.lit(""))).try_cast("int"), F.lit(0)))
+    df = df.withColumn(explanation_out, F.when(F.col("_le").isNull(), F.lit("")).otherwise(
+        trim_ws(F.array_join(F.concat(F.array(first), taken), "\n"))))
+    return df.drop("_lines", "_ls", "_le", "_pos", "_tail", "_stop")

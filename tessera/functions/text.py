@@ -57,14 +57,49 @@ def split_lines(x) -> Column:
     return F.split(_c(x), LINE_BREAK, -1)
 
 
+# Speed-ups that keep every result (Java's engine backtracks, RE2 in the
+# oracle does not need them):
+# * The bare-reference rule can only match from the start of a non-space
+#   run (a match found from inside a run is also found from its start and
+#   greedily reaches the same end), so a look-behind skips the other starts.
+# * Rules 2-5 need '.md' in the text, so texts without it skip them.
+# * After rule 4 has rewritten '.md' + white space, the end-of-text rule can
+#   only match a text that ends with '.md' or '.mdx'.
+_RUN_START = f"(?<!{NON_WS})"
+
+
+def _link_rule(i: int, c: Column) -> Column:
+    pattern, repl = LINK_RULES[i]
+    if i == 4:
+        pattern = _RUN_START + pattern
+    rewritten = F.regexp_replace(c, pattern, repl)
+    if i == 5:
+        return F.when(c.endswith(".md") | c.endswith(".mdx"), rewritten).otherwise(c)
+    if 2 <= i <= 4:
+        return F.when(F.contains(c, F.lit(".md")), rewritten).otherwise(c)
+    return rewritten
+
+
 def sanitize_links(x) -> Column:
-    """Remove internal documentation links; external http(s) links survive."""
+    """Remove internal documentation links; external http(s) links survive.
+    (As one expression; ``with_sanitized_links`` evaluates it in stages.)"""
     c = _c(x)
-    for pattern, repl in LINK_RULES:
-        c = F.regexp_replace(c, pattern, repl)
+    for i in range(len(LINK_RULES)):
+        c = _link_rule(i, c)
     return trim_ws(c)
 
 
+def with_sanitized_links(df, src: str, out: str):
+    """DataFrame form of ``sanitize_links``: one projection per rule, so each
+    intermediate text is computed once (a single nested expression would
+    repeat the inner rules in every guard)."""
+    tmp = f"_{out}_s"
+    df = df.withColumn(tmp, F.col(src))
+    for i in range(len(LINK_RULES)):
+        df = df.withColumn(tmp, _link_rule(i, F.col(tmp)))
+    return df.withColumn(out, trim_ws(tmp)).drop(tmp)
+
+
 def doc_url(path, base_url) -> Column:
     """URL of a documentation file from its path relative to the docs root:
     drop ``.md``; when the file name equals its folder, drop the file name."""

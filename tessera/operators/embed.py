@@ -42,7 +42,7 @@ def term_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 @dataclass
 class IdfModel:
-    """Document frequencies of a corpus: ``df`` is (tok, df); ``n_docs`` a
+    """Document frequencies of a corpus: ``df`` is (tok, df, bucket, sign); ``n_docs`` a
     scalar-subquery column (the number of texts with at least one token)."""
     df: DataFrame
     n_docs: Column
@@ -51,11 +51,15 @@ class IdfModel:
     def transform_sparse(self, data: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """(id, bucket, value): normalised signed buckets that hold a token."""
         tf = term_counts(data, id_col, text_col)
-        w = tf.join(self.df, "tok", "left").select(
-            id_col, _bucket(F.col("tok"), self.dim).alias("bucket"),
-            (_sign(F.col("tok")) * F.col("tf") *
-             (F.log((F.lit(1) + self.n_docs) / (F.lit(1) + F.coalesce(F.col("df"), F.lit(0)))) + 1))
-            .alias("w"))
+        j = tf.join(self.df, "tok", "left")
+        # buckets and signs were hashed once per corpus token; tokens unseen in
+        # the corpus (queries) are hashed here
+        bucket = F.coalesce(F.col("bucket"), _bucket(F.col("tok"), self.dim))
+        sign = F.coalesce(F.col("sign"), _sign(F.col("tok")))
+        w = j.select(id_col, bucket.alias("bucket"),
+                     (sign * F.col("tf") *
+                      (F.log((F.lit(1) + self.n_docs) / (F.lit(1) + F.coalesce(F.col("df"), F.lit(0)))) + 1))
+                     .alias("w"))
         per_bucket = w.groupBy(id_col, "bucket").agg(F.sum("w").alias("v"))
         per_doc = per_bucket.groupBy(id_col).agg(F.collect_list(F.struct("bucket", "v")).alias("bv"))
         norm = F.sqrt(F.aggregate(F.col("bv"), F.lit(0.0), lambda acc, x: acc + x["v"] * x["v"]))
@@ -85,7 +89,8 @@ class HashingEmbedder:
 
     def fit(self, corpus: DataFrame, id_col: str, text_col: str) -> IdfModel:
         tf = term_counts(corpus, id_col, text_col)
-        df = tf.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+        df = tf.groupBy("tok").agg(F.count(F.lit(1)).alias("df")) \
+            .withColumn("bucket", _bucket(F.col("tok"), self.dim)).withColumn("sign", _sign(F.col("tok")))
         n_docs = tf.select(F.count_distinct(id_col)).scalar()
         return IdfModel(df, n_docs, self.dim)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.parse import eval_explanation, eval_score, judge_scores
+from tessera.functions.parse import judge_scores, with_eval_fields
 from tessera.functions.text import contains_ci
 
 
@@ -36,14 +36,15 @@ def score_results(results: DataFrame, threshold: int = 70) -> DataFrame:
     parsed SCORE, success = ran and score >= threshold and (plan passed or
     plan not required) (C13, C14, H6)."""
     simple = F.col("test_type") == "simple"
-    matched = contains_ci("stdout", "expected_response")
-    parsed = eval_score("raw")
+    staged = with_eval_fields(results.withColumn("_matched", contains_ci("stdout", "expected_response")),
+                              "raw", "_parsed", "_expl")
+    matched, parsed = F.col("_matched"), F.col("_parsed")
     score = F.when(simple, F.when(matched, F.lit(100)).otherwise(F.lit(0))).otherwise(parsed)
     success = F.when(simple, matched).otherwise(
         F.col("ran") & (parsed >= threshold) & (F.col("plan_passed") | ~F.col("plan_should_pass")))
-    return results.select("test_name", "test_type", score.alias("score"),
-                          F.when(simple, F.lit("")).otherwise(eval_explanation("raw")).alias("explanation"),
-                          success.alias("success"))
+    return staged.select("test_name", "test_type", score.alias("score"),
+                         F.when(simple, F.lit("")).otherwise(F.col("_expl")).alias("explanation"),
+                         success.alias("success"), *[c for c in ("skip",) if c in results.columns])
 
 
 def run_summary(scored: DataFrame) -> DataFrame:

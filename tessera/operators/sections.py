@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import lstrip_ws, sanitize_links, split_lines, trim_ws, word_count
+from tessera.functions.text import lstrip_ws, split_lines, trim_ws, with_sanitized_links, word_count
 
 MIN_WORDS = 10  # fixed value: chunks with fewer words are dropped
 
@@ -53,7 +53,7 @@ def markdown_sections(docs: DataFrame, doc_id: str = "doc_id", text: str = "cont
 def chunk_sections(sections: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Clean links, count words after cleaning, drop short chunks; header
     defaults to 'N/A'. Adds ``text_chunk``, ``word_length`` and ``header``."""
-    out = (sections.withColumn("text_chunk", sanitize_links("text"))
+    out = (with_sanitized_links(sections, "text", "text_chunk")
            .withColumn("word_length", word_count("text_chunk"))
            .withColumn("header", F.coalesce(F.col("header"), F.lit("N/A"))))
     return out.filter(F.col("word_length") >= min_words)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions.text import doc_url, route_doc_version, sanitize_links, version_major_minor
+from tessera.functions.text import doc_url, route_doc_version, version_major_minor, with_sanitized_links
 from tessera.operators.sections import chunk_sections, markdown_sections
 from tessera.plans import sqltext as S
 from tessera.plans.registry import register
@@ -121,7 +121,7 @@ def _form_sql(expr: str) -> str:
 SELECT doc_id, {S.sanitize_links('text')} AS text_clean FROM fx2""")
 def link_clean(spark, sf_dir):
     """Internal-link cleaning over whole documents."""
-    return fx2_linked(spark, sf_dir).select("doc_id", sanitize_links("text").alias("text_clean"))
+    return with_sanitized_links(fx2_linked(spark, sf_dir), "text", "text_clean").select("doc_id", "text_clean")
 
 
 # FX3: documentation paths from part: name equals folder for even keys,

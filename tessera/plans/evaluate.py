@@ -176,7 +176,7 @@ scored AS (
 @register("score_parse", sql=f"WITH {SCORED_SQL} SELECT test_name, test_type, score, explanation, success FROM scored")
 def score_parse(spark, sf_dir):
     """SCORE / EXPLANATION parsing and pass rules per test."""
-    return score_results(fx10_results(spark, sf_dir))
+    return score_results(fx10_results(spark, sf_dir)).drop("skip")
 
 
 @register("run_summary", sql=f"""WITH {SCORED_SQL}
@@ -187,7 +187,7 @@ FROM scored WHERE NOT skip GROUP BY ROLLUP (test_type)""")
 def run_summary_q(spark, sf_dir):
     """Skip flag, then totals per type and overall."""
     res = fx10_results(spark, sf_dir).filter(~F.col("skip"))
-    return run_summary(score_results(res))
+    return run_summary(score_results(res).drop("skip"))
 
 
 # FX8: one extraction answer per order (its lines' [returnflag, linestatus]

@@ -63,3 +63,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str):
+    """Cut lineage by writing ``df`` once as Parquet under the shared
+    checkpoint folder and reading it back (one job; an eager checkpoint()
+    would compute the plan a second time to save it). Survives executor
+    loss: later stages read the files, not the lost shuffle output."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
