@@ -80,7 +80,7 @@ def query_list(text) -> Column:
 def eval_score(text) -> Column:
     """Integer after the last line starting with 'SCORE:'; bad or none -> 0."""
     lines = F.split(trim_ws(_c(text)), "\n", -1)
-    last = F.element_at(F.filter(lines, lambda l: l.startswith(SCORE_TAG)), -1)
+    last = F.try_element_at(F.filter(lines, lambda l: l.startswith(SCORE_TAG)), F.lit(-1))
     return F.coalesce(trim_ws(F.replace(last, F.lit(SCORE_TAG), F.lit(""))).try_cast("int"), F.lit(0))
 
 
@@ -89,7 +89,7 @@ def eval_explanation(text) -> Column:
     to the next 'SCORE:' line, stripped. As in the source rule, the start is
     the first line equal to that last explanation line."""
     lines = F.split(trim_ws(_c(text)), "\n", -1)
-    last = F.element_at(F.filter(lines, lambda l: l.startswith(EXPLANATION_TAG)), -1)
+    last = F.try_element_at(F.filter(lines, lambda l: l.startswith(EXPLANATION_TAG)), F.lit(-1))
     pos = F.array_position(lines, last)
     tail = F.slice(lines, pos + 1, F.greatest(F.size(lines) - pos, F.lit(1)))
     tail = F.when(pos < F.size(lines), tail).otherwise(F.array().cast("array<string>"))
@@ -113,8 +113,8 @@ def with_eval_fields(df, raw: str, score_out: str = "parsed_score",
     and every intermediate array are computed once, one projection each
     (higher-order functions run interpreted, so repeating them is costly)."""
     df = df.withColumn("_lines", F.split(trim_ws(raw), "\n", -1))
-    df = (df.withColumn("_ls", F.element_at(F.filter("_lines", lambda l: l.startswith(SCORE_TAG)), -1))
-            .withColumn("_le", F.element_at(F.filter("_lines", lambda l: l.startswith(EXPLANATION_TAG)), -1)))
+    df = (df.withColumn("_ls", F.try_element_at(F.filter("_lines", lambda l: l.startswith(SCORE_TAG)), F.lit(-1)))
+            .withColumn("_le", F.try_element_at(F.filter("_lines", lambda l: l.startswith(EXPLANATION_TAG)), F.lit(-1))))
     df = df.withColumn("_pos", F.array_position("_lines", F.col("_le")))
     n = F.size("_lines")
     df = df.withColumn("_tail", F.when(F.col("_pos") < n, F.slice("_lines", F.col("_pos") + 1, n - F.col("_pos")))

@@ -117,14 +117,22 @@ def similarity_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, *,
     row_bytes = max(1, dim) * 8 + 64
     per_block = max(1, block_bytes // row_bytes)
     n_blocks = math.ceil(n_q / per_block)
+    block_of = lambda nb: F.pmod(F.xxhash64("_qid"), F.lit(nb))
+    while n_blocks > 1:
+        # hash blocks are uneven: check every block against the bound (twice
+        # the nominal block, one small aggregation) and use more blocks until
+        # all fit
+        largest = q.groupBy(block_of(n_blocks).alias("b")).count().agg(F.max("count")).first()[0]
+        if largest <= 2 * per_block:
+            break
+        n_blocks *= 2
     corpus_p = corpus.select(doc_id, doc_vec, *match_cols)
     parts = []
     for b in range(n_blocks):
-        blk = q if n_blocks == 1 else q.filter(
-            F.pmod(F.xxhash64("_qid"), F.lit(n_blocks)) == b)
+        blk = q if n_blocks == 1 else q.filter(block_of(n_blocks) == b)
         pdf = blk.toPandas()
-        if len(pdf) * row_bytes > 2 * block_bytes:
-            raise RuntimeError("query block exceeds its size bound; lower block_bytes")
+        if pdf.empty:
+            continue
         payload = {"ids": pdf["_qid"].to_numpy(), "mat": _as_matrix(pdf["_qv"]),
                    "keys": [pdf[f"_qk{i}"].to_numpy() for i in range(len(match_cols))]}
         bc = spark.sparkContext.broadcast(payload)
