@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tessera.operators.knn import SCORE_DECIMALS as ROUND
 from tessera.operators.knn import similarity_topk
 
 
@@ -19,14 +20,16 @@ def mmr_order(ids: np.ndarray, rel: np.ndarray, vecs: np.ndarray, k: int,
               lambda_mult: float) -> list[int]:
     """Greedy MMR: first the most relevant row, then repeatedly
     argmax lambda*rel - (1-lambda)*max sim to the chosen rows; ties to the
-    smallest id. Returns row positions in pick order."""
+    smallest id. Similarities and scores are rounded to 12 decimals so that
+    last-bit noise of the matrix product cannot break a tie. Returns row
+    positions in pick order."""
     n = len(ids)
     if n == 0:
         return []
     norms = np.linalg.norm(vecs, axis=1)
     norms[norms == 0] = np.inf
     unit = vecs / norms[:, None]
-    sims = unit @ unit.T
+    sims = np.round(unit @ unit.T, ROUND)
     chosen: list[int] = []
     max_sim = np.full(n, -np.inf)
     taken = np.zeros(n, dtype=bool)
@@ -34,7 +37,7 @@ def mmr_order(ids: np.ndarray, rel: np.ndarray, vecs: np.ndarray, k: int,
         if step == 0:
             score = rel.astype(np.float64).copy()
         else:
-            score = lambda_mult * rel - (1.0 - lambda_mult) * max_sim
+            score = np.round(lambda_mult * rel - (1.0 - lambda_mult) * max_sim, ROUND)
         score = np.where(taken, -np.inf, score)
         best = np.max(score)
         cand = np.flatnonzero(score == best)

@@ -51,7 +51,34 @@ def knn_filtered(spark, sf_dir):
             .select("query_id", "label", "rank", "vec_id", F.round("score", 6).alias("score")))
 
 
-@register("knn_mmr")
+@register("knn_mmr", sql=f"""
+WITH RECURSIVE {_VEC_SQL},
+s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc, round({_COS_SQL}, 12) AS score
+      FROM v q JOIN v d ON q.vec_id <> d.vec_id),
+pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS r FROM s)
+         WHERE r <= 20),
+ps AS (SELECT a.query_id, a.doc AS a, b.doc AS b,
+              round(list_dot_product(q.e, d.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(d.e, d.e))), 12)
+                AS sim
+       FROM pool a JOIN pool b ON a.query_id = b.query_id JOIN v q ON q.vec_id = a.doc JOIN v d ON d.vec_id = b.doc),
+mmr(query_id, step, chosen) AS (
+  SELECT query_id, 1, [doc] FROM pool WHERE r = 1
+  UNION ALL
+  SELECT query_id, step + 1, list_append(chosen, doc) FROM (
+    SELECT c.*, row_number() OVER (PARTITION BY c.query_id ORDER BY c.mmr DESC, c.doc) AS pick FROM (
+      SELECT m.query_id, m.step, m.chosen, p.doc,
+             round(0.5 * p.score - 0.5 * max(ps.sim), 12) AS mmr
+      FROM mmr m
+      JOIN pool p ON p.query_id = m.query_id AND NOT list_contains(m.chosen, p.doc)
+      JOIN ps ON ps.query_id = m.query_id AND ps.a = p.doc AND list_contains(m.chosen, ps.b)
+      WHERE m.step < 10
+      GROUP BY m.query_id, m.step, m.chosen, p.doc, p.score) c) x
+  WHERE pick = 1),
+fin AS (SELECT query_id, chosen FROM mmr WHERE step = 10)
+SELECT f.query_id, CAST(u.rank AS INTEGER) AS rank, u.vec_id, round(p.score, 6) AS score
+FROM fin f, LATERAL (SELECT unnest(f.chosen) AS vec_id, generate_subscripts(f.chosen, 1) AS rank) u
+JOIN pool p ON p.query_id = f.query_id AND p.doc = u.vec_id
+""")
 def knn_mmr(spark, sf_dir):
     """MMR re-ranking of a fetch_k=20 pool down to k=10, lambda 0.5."""
     emb = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
