@@ -48,6 +48,9 @@ class IdfModel:
     n_docs: Column
     dim: int
 
+    def unpersist(self) -> None:
+        self.df.unpersist()
+
     def transform_sparse(self, data: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """(id, bucket, value): normalised signed buckets that hold a token."""
         tf = term_counts(data, id_col, text_col)
@@ -89,8 +92,11 @@ class HashingEmbedder:
 
     def fit(self, corpus: DataFrame, id_col: str, text_col: str) -> IdfModel:
         tf = term_counts(corpus, id_col, text_col)
+        # the fitted table is used by every transform: kept like a model
+        # (``IdfModel.unpersist`` releases it)
         df = tf.groupBy("tok").agg(F.count(F.lit(1)).alias("df")) \
-            .withColumn("bucket", _bucket(F.col("tok"), self.dim)).withColumn("sign", _sign(F.col("tok")))
+            .withColumn("bucket", _bucket(F.col("tok"), self.dim)).withColumn("sign", _sign(F.col("tok"))) \
+            .persist()
         n_docs = tf.select(F.count_distinct(id_col)).scalar()
         return IdfModel(df, n_docs, self.dim)
 

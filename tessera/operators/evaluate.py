@@ -55,3 +55,24 @@ def run_summary(scored: DataFrame) -> DataFrame:
     return agg.select("test_type", "total", "passed", (F.col("total") - F.col("passed")).alias("failed"),
                       F.when(F.col("total") > 0, F.round(F.col("passed") * 100.0 / F.col("total"), 1))
                       .alias("success_rate"))
+
+
+def case_violations(cases: DataFrame) -> DataFrame:
+    """Test cases that are not valid (B7): no prompt, or neither an expected
+    response nor an expected repository. Columns: name, has_prompt,
+    expected_response, has_expected_repo, skip."""
+    has_expected = F.coalesce(F.length("expected_response"), F.lit(0)) > 0
+    problem = (F.when(~F.col("has_prompt"), F.lit("missing prompt"))
+               .when(~has_expected & ~F.col("has_expected_repo"), F.lit("missing expected repo")))
+    return cases.filter(~F.col("skip")).select("name", problem.alias("problem")).filter(F.col("problem").isNotNull())
+
+
+def runnable_cases(cases: DataFrame) -> DataFrame:
+    """Cases to run: skipped ones out; any invalid case is an error."""
+    bad = case_violations(cases)
+    first = bad.first()
+    if first is not None:
+        raise ValueError(f"Invalid test case {first['name']}: {first['problem']}")
+    return cases.filter(~F.col("skip")).withColumn(
+        "test_type", F.when(F.coalesce(F.length("expected_response"), F.lit(0)) > 0, F.lit("simple"))
+        .when(F.col("has_expected_repo"), F.lit("integration")).otherwise(F.lit("simple")))

@@ -103,6 +103,9 @@ def similarity_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, *,
     q = queries.select(F.col(query_id).alias("_qid"), F.col(query_vec).alias("_qv"),
                        *[F.col(c).alias(f"_qk{i}") for i, c in enumerate(match_cols)]) \
         .filter(F.col("_qv").isNotNull())
+    # the query side feeds the size check and every block collect: compute
+    # it once (released below, once the blocks are broadcast)
+    q = q.persist()
     # size check before any broadcast: count and vector width of the query side
     stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_qv")).alias("d")).first()
     n_q, dim = int(stats["n"]), int(stats["d"] or 0)
@@ -112,6 +115,7 @@ def similarity_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, *,
                                T.StructField("doc_id", id_type),
                                T.StructField("score", T.DoubleType())])
     if n_q == 0:
+        q.unpersist()
         empty = spark.createDataFrame([], out_schema)
         return _finish(empty, k, query_id, doc_id)
     row_bytes = max(1, dim) * 8 + 64
@@ -138,6 +142,7 @@ def similarity_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, *,
         bc = spark.sparkContext.broadcast(payload)
         fn = _make_scorer(bc, k, doc_id, doc_vec, list(match_cols), exclude_self, normalize)
         parts.append(corpus_p.mapInPandas(fn, out_schema))
+    q.unpersist()
     cand = parts[0]
     for p in parts[1:]:
         cand = cand.unionByName(p)

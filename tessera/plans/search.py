@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions.text import truncate_text
 from tessera.operators.embed import HashingEmbedder, TOKEN_PATTERN
 from tessera.operators.knn import similarity_topk
 from tessera.operators.retrieve import format_code_hits, format_doc_hits
@@ -93,7 +94,7 @@ def text_search_docs(spark, sf_dir):
     return hits.select("query_id", "rank", "chunk_id", _score(F.col("score")).alias("score"))
 
 
-@register("doc_hit_blocks", sql=f"""WITH {CHUNKS_SQL},
+@register("doc_hit_blocks", sql=f"""WITH blocks AS (WITH {CHUNKS_SQL},
 {_CHUNK_EMBED},
 hits AS ({topk_sql("qv", "cv", 10, "query_id", "chunk_id")})
 SELECT h.query_id, CAST(count(*) AS INTEGER) AS n_hits,
@@ -101,12 +102,16 @@ SELECT h.query_id, CAST(count(*) AS INTEGER) AS n_hits,
                   || 'Section Header: ' || coalesce(c.header, 'N/A') || chr(10) || chr(10)
                   || coalesce(c.text_chunk, 'No content found.'),
                   chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY h.rank) AS result
-FROM hits h JOIN chunks c USING (chunk_id) GROUP BY h.query_id""")
+FROM hits h JOIN chunks c USING (chunk_id) GROUP BY h.query_id)
+SELECT query_id, n_hits, result,
+       CASE WHEN length(result) > 500 THEN left(result, 500) || '...' ELSE result END AS snippet
+FROM blocks""")
 def doc_hit_blocks(spark, sf_dir):
     """Formatted documentation answer per query: URL, header and text of
-    each hit in rank order (C17, F5)."""
+    each hit in rank order, plus its 500-character snippet (C17, F5, C12)."""
     hits, chunks = _search_chunks(spark, sf_dir)
-    return format_doc_hits(hits.join(chunks.select("chunk_id", "url", "header", "text_chunk"), "chunk_id"))
+    out = format_doc_hits(hits.join(chunks.select("chunk_id", "url", "header", "text_chunk"), "chunk_id"))
+    return out.withColumn("snippet", truncate_text("result", 500))
 
 
 DIMS = (32, 64, 128)
