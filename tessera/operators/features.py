@@ -176,3 +176,28 @@ def materialize(df: DataFrame, path: str, partition_col: str = "period") -> None
     overwrite: a run that recomputes some periods replaces only those."""
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(partition_col).parquet(path))
+
+
+def session_starts(df: DataFrame, key: str, ts: str, gap_seconds: int, bucket_seconds: int = 7 * 86400,
+                   tie_col: str | None = None) -> DataFrame:
+    """Flag the events that open a session: the first event of a key, or one
+    more than ``gap`` after the key's previous event (gaps-and-islands).
+
+    Skew-safe: the previous event is found within (key, time bucket) by a
+    lag; for a bucket's first event it is the last event of the key's
+    previous non-empty bucket, taken from one row per (key, bucket). A key
+    holding a third of all rows is spread over its buckets. Counting flags
+    counts sessions; a session's start time is its flagged event's time.
+    Among events at the same instant, ``tie_col`` decides which one opens.
+    """
+    base = df.withColumn("_tsu", ts_micros(ts)).withColumn(
+        "_b", F.floor(F.col("_tsu") / F.lit(bucket_seconds * US)))
+    w = Window.partitionBy(key, "_b").orderBy("_tsu", *([tie_col] if tie_col else []))
+    with_prev = base.withColumn("_prev", F.lag("_tsu").over(w))
+    last_per_bucket = base.groupBy(key, "_b").agg(F.max("_tsu").alias("_last"))
+    wb = Window.partitionBy(key).orderBy("_b")
+    carry = last_per_bucket.select(key, "_b", F.lag("_last").over(wb).alias("_carry"))
+    out = with_prev.join(carry, [key, "_b"], "left")
+    prev = F.coalesce(F.col("_prev"), F.col("_carry"))
+    return (out.withColumn("is_session_start", prev.isNull() | (F.col("_tsu") - prev > F.lit(gap_seconds * US)))
+            .drop("_tsu", "_b", "_prev", "_carry"))

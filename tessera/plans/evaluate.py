@@ -270,30 +270,30 @@ def corpus_upsert(spark, sf_dir):
 
 
 @register("query_list_parse", sql=f"""WITH ql AS (
-  SELECT user_id,
-         CASE WHEN user_id % 2 = 0
+  SELECT event_id // 10 AS list_id,
+         CASE WHEN (event_id // 10) % 2 = 0
               THEN '[' || string_agg('"' || event_type || ' near ' || CAST(event_id AS VARCHAR) || '"', ', ' ORDER BY event_id) || ']'
               ELSE string_agg('- ' || event_type || ' near ' || CAST(event_id AS VARCHAR), chr(10) || chr(10) ORDER BY event_id)
          END AS txt
-  FROM events GROUP BY user_id),
-arr AS (SELECT user_id, CASE WHEN json_valid(txt) AND json_type(txt) = 'ARRAY'
+  FROM events GROUP BY event_id // 10),
+arr AS (SELECT list_id, CASE WHEN json_valid(txt) AND json_type(txt) = 'ARRAY'
                              THEN CAST(json_extract(txt, '$') AS VARCHAR[]) END AS a, txt FROM ql),
-lines AS (SELECT user_id, coalesce(a, list_transform(list_filter(string_split_regex(txt, {S.q(S.LINE_BREAK)}),
+lines AS (SELECT list_id, coalesce(a, list_transform(list_filter(string_split_regex(txt, {S.q(S.LINE_BREAK)}),
                                                                  lambda l: {S.trim_ws('l')} <> ''),
                                                      lambda l: regexp_replace(l, '^[- ]+|[- ]+$', '', 'g'))) AS qs
           FROM arr)
-SELECT user_id, CAST(pos AS INTEGER) AS pos, q AS query
-FROM (SELECT user_id, unnest(qs) AS q, generate_subscripts(qs, 1) - 1 AS pos FROM lines)""")
+SELECT list_id, CAST(pos AS INTEGER) AS pos, q AS query
+FROM (SELECT list_id, unnest(qs) AS q, generate_subscripts(qs, 1) - 1 AS pos FROM lines)""")
 def query_list_parse(spark, sf_dir):
-    """Generated query lists: JSON array, else non-blank lines without '- ' (C11)."""
+    """Generated query lists (up to 10 queries each, by blocks of event
+    ids): a JSON array, else non-blank lines without '- ' (C11)."""
     from tessera.functions.parse import query_list
-    ev = read_table(spark, sf_dir, "events", "event_id", "user_id", "event_type")
+    ev = read_table(spark, sf_dir, "events", "event_id", "event_type")
     item = F.concat(F.col("event_type"), F.lit(" near "), F.col("event_id").cast("string"))
     srt = F.array_sort(F.collect_list(F.struct("event_id", item.alias("q"))))
-    g = ev.groupBy("user_id").agg(
+    g = ev.groupBy((F.col("event_id") / 10).cast("long").alias("list_id")).agg(
         F.concat(F.lit("["), F.array_join(F.transform(srt, lambda x: F.concat(F.lit('"'), x["q"], F.lit('"'))), ", "),
                  F.lit("]")).alias("js"),
         F.array_join(F.transform(srt, lambda x: F.concat(F.lit("- "), x["q"])), "\n\n").alias("bl"))
-    txt = F.when(F.col("user_id") % 2 == 0, F.col("js")).otherwise(F.col("bl"))
-    return g.select("user_id", F.posexplode(query_list(txt)).alias("pos", "query"))
-
+    txt = F.when(F.col("list_id") % 2 == 0, F.col("js")).otherwise(F.col("bl"))
+    return g.select("list_id", F.posexplode(query_list(txt)).alias("pos", "query"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.vectors import cosine, haversine_km
 from tessera.operators.features import (WindowAgg, asof_join, latest_per_key, range_window_features,
-                                        sessionize, time_tiles, ts_micros)
+                                        session_starts, time_tiles, ts_micros)
 from tessera.plans.registry import register
 from tessera.sources.tables import read_table
 
@@ -122,11 +122,14 @@ SELECT user_id, count(*) AS n_sessions,
        count(*) FILTER (WHERE start_t > (SELECT et FROM edge) - {_us(30 * D)}) AS n_sessions_30d
 FROM ss GROUP BY user_id""")
 def sessions_30d(spark, sf_dir):
-    """Sessions (30-minute gap) per user, in total and started within 7 and
-    30 days of the latest event time (H13, J3)."""
+    """Sessions (a gap of more than 30 minutes opens one) per user, in total
+    and started within 7 and 30 days of the latest event time (H13, J3).
+    Session starts come from a time-bucketed lag (skew-safe); streams use
+    Spark's session_window (``sessionize``)."""
     ev = events(spark, sf_dir, "user_id", "ts")
     edge = ev.select(F.max(ts_micros("ts"))).scalar()
-    s = sessionize(ev, "user_id", "ts", "30 minutes").withColumn("st", ts_micros("session_start"))
+    s = session_starts(ev, "user_id", "ts", 30 * 60).filter("is_session_start") \
+        .withColumn("st", ts_micros("ts"))
     return s.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("n_sessions"),
         F.count_if(F.col("st") > edge - F.lit(7 * D * 1_000_000)).alias("n_sessions_7d"),

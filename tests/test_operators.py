@@ -195,3 +195,18 @@ def test_materialize_uses_checkpoint_dir(spark):
     assert df.count() == 5
     strip = lambda u: u.split(":", 1)[-1].lstrip("/")
     assert strip(df.inputFiles()[0]).startswith(strip(spark.sparkContext.getCheckpointDir()))
+
+
+def test_session_starts_across_buckets(spark):
+    from tessera.operators.features import session_starts
+    rng = np.random.default_rng(5)
+    base = pd.Timestamp("2024-01-01")
+    rows = [(int(i), int(rng.integers(0, 2)), base + pd.Timedelta(minutes=int(rng.integers(0, 3 * 24 * 60))))
+            for i in range(400)]
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["id", "k", "ts"])) \
+        .withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    got = {r.id: r.is_session_start for r in session_starts(df, "k", "ts", 30 * 60, bucket_seconds=3600, tie_col="id").collect()}
+    for i, k, t in rows:
+        prev = [tt for _, kk, tt in rows if kk == k and (tt, _) < (t, i)]
+        earlier = max(prev) if prev else None
+        assert got[i] == (earlier is None or (t - earlier) > pd.Timedelta(minutes=30)), i
