@@ -201,3 +201,88 @@ def session_starts(df: DataFrame, key: str, ts: str, gap_seconds: int, bucket_se
     prev = F.coalesce(F.col("_prev"), F.col("_carry"))
     return (out.withColumn("is_session_start", prev.isNull() | (F.col("_tsu") - prev > F.lit(gap_seconds * US)))
             .drop("_tsu", "_b", "_prev", "_carry"))
+
+
+TILE_FNS = ("sum", "count", "count_if", "min", "max")
+
+
+def _tile_input(a: WindowAgg) -> Column:
+    c = F.col(a.col) if isinstance(a.col, str) else a.col
+    if a.fn == "count":
+        return F.when(c.isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("long") if c is not None else F.lit(1).cast("long")
+    if a.fn == "count_if":
+        return F.when(c, F.lit(1)).otherwise(F.lit(0)).cast("long")
+    return c
+
+
+def _tile_agg(fn: str, c: Column) -> Column:
+    return {"sum": F.sum, "count": F.sum, "count_if": F.sum, "min": F.min, "max": F.max}[fn](c)
+
+
+def _tile_combine(fn: str, parts: list[Column]) -> Column:
+    if fn in ("min", "max"):
+        return (F.least if fn == "min" else F.greatest)(*parts)   # both skip nulls
+    total = F.lit(0).cast("long") if fn != "sum" else None
+    out = None
+    for p in parts:
+        out = p if out is None else F.when(out.isNull(), p).when(p.isNull(), out).otherwise(out + p)
+    return F.coalesce(out, total) if total is not None else out
+
+
+def tiled_window_features(df: DataFrame, key: str, ts: str, id_col: str, aggs: list[WindowAgg],
+                          tile_seconds: int = 3600) -> DataFrame:
+    """Exact (t - w, t] aggregates for sum / count / count_if / min / max in
+    O(rows) per key, for windows that are whole multiples of the tile.
+
+    A sliding range frame re-aggregates the whole frame for each row, which
+    is quadratic for a key with many rows per window. Here the window of a
+    row in tile i is split into: its own tile up to t (a running aggregate
+    within (key, tile)); the whole tiles i-m+1 .. i-1 (a range window over
+    the per-(key, tile) aggregates: one row per tile); and the rows of tile
+    i-m later than t - w (a suffix aggregate of that tile, found by one
+    ordered lookup keyed by (key, tile)). Every step partitions by (key,
+    tile) or works on one row per tile, so a hot key is spread over its
+    tiles. ``id_col`` must identify a row within its key.
+    """
+    tau = tile_seconds * US
+    for a in aggs:
+        if a.fn not in TILE_FNS or a.seconds % tile_seconds:
+            raise ValueError(f"{a.name}: tiles need {TILE_FNS} and a window that is a multiple of the tile")
+    m_of = {a.name: a.seconds // tile_seconds for a in aggs}
+    base = (df.withColumn("_tsu", ts_micros(ts))
+            .withColumn("_tile", F.floor(F.col("_tsu") / F.lit(tau)))
+            .withColumn("_off", F.col("_tsu") - F.col("_tile") * F.lit(tau)))
+    base = base.select("*", *[_tile_input(a).alias(f"_v_{a.name}") for a in aggs])
+    wt = Window.partitionBy(key, "_tile").orderBy("_off")
+    rows = base.select("*", *[_tile_agg(a.fn, F.col(f"_v_{a.name}")).over(
+                              wt.rangeBetween(Window.unboundedPreceding, 0)).alias(f"_A_{a.name}") for a in aggs],
+                       *[_tile_agg(a.fn, F.col(f"_v_{a.name}")).over(
+                           wt.rangeBetween(0, Window.unboundedFollowing)).alias(f"_S_{a.name}") for a in aggs])
+    # whole tiles: one row per (key, tile)
+    tiles = base.groupBy(key, "_tile").agg(*[_tile_agg(a.fn, F.col(f"_v_{a.name}")).alias(f"_T_{a.name}")
+                                            for a in aggs])
+    wk = Window.partitionBy(key).orderBy("_tile")
+    between = tiles.select(key, "_tile", *[
+        (_tile_agg(a.fn, F.col(f"_T_{a.name}")).over(wk.rangeBetween(-(m_of[a.name] - 1), -1))
+         if m_of[a.name] > 1 else F.lit(None).cast(tiles.schema[f"_T_{a.name}"].dataType)).alias(f"_B_{a.name}")
+        for a in aggs])
+    # start tile: suffix of tile i-m after the row's offset
+    payload = F.struct(*[F.col(f"_S_{a.name}").alias(a.name) for a in aggs])
+    feat = rows.select(key, "_tile", "_off", F.lit(0).alias("_side"), payload.alias("_p"),
+                       F.lit(None).cast("long").alias("_m"), F.lit(None).cast(df.schema[id_col].dataType).alias("_id"))
+    ms = sorted(set(m_of.values()))
+    qs = rows.select(key, "_tile", "_off", F.col(id_col).alias("_id"),
+                     F.explode(F.array(*[F.lit(m).cast("long") for m in ms])).alias("_m"))
+    qs = qs.select(key, (F.col("_tile") - F.col("_m")).alias("_tile"), "_off", F.lit(1).alias("_side"),
+                   F.lit(None).cast(feat.schema["_p"].dataType).alias("_p"), "_m", "_id")
+    wu = (Window.partitionBy(key, "_tile").orderBy("_off", "_side")
+          .rowsBetween(1, Window.unboundedFollowing))
+    found = (feat.unionByName(qs).select(key, "_side", "_m", "_id", F.first("_p", ignorenulls=True).over(wu).alias("_f"))
+             .filter(F.col("_side") == 1))
+    start = found.groupBy(key, "_id").agg(*[
+        F.max(F.when(F.col("_m") == m_of[a.name], F.col("_f")[a.name])).alias(f"_C_{a.name}") for a in aggs])
+    out = (rows.join(between, [key, "_tile"], "left")
+           .join(start.withColumnRenamed("_id", id_col), [key, id_col], "left"))
+    feats = [_tile_combine(a.fn, [F.col(f"_A_{a.name}"), F.col(f"_B_{a.name}"), F.col(f"_C_{a.name}")]).alias(a.name)
+             for a in aggs]
+    return out.select(*df.columns, *feats)

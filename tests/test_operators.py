@@ -210,3 +210,18 @@ def test_session_starts_across_buckets(spark):
         prev = [tt for _, kk, tt in rows if kk == k and (tt, _) < (t, i)]
         earlier = max(prev) if prev else None
         assert got[i] == (earlier is None or (t - earlier) > pd.Timedelta(minutes=30)), i
+
+
+def test_tiled_windows_match_frames(spark):
+    from tessera.operators.features import tiled_window_features
+    rng = np.random.default_rng(11)
+    base = pd.Timestamp("2024-01-01")
+    rows = [(int(i), int(rng.integers(0, 3)), base + pd.Timedelta(seconds=int(rng.integers(0, 5 * 86400))),
+             float(rng.integers(0, 100)), bool(rng.integers(0, 2))) for i in range(500)]
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["id", "k", "ts", "v", "f"])) \
+        .withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    aggs = [WindowAgg("s1h", "sum", "v", 3600), WindowAgg("mx1d", "max", "v", 86400),
+            WindowAgg("mn3h", "min", "v", 3 * 3600), WindowAgg("c2d", "count_if", F.col("f"), 2 * 86400)]
+    got = {r.id: tuple(r[a.name] for a in aggs) for r in tiled_window_features(df, "k", "ts", "id", aggs).collect()}
+    want = {r.id: tuple(r[a.name] for a in aggs) for r in range_window_features(df, "k", "ts", aggs).collect()}
+    assert got == want
