@@ -244,7 +244,7 @@ def example_rows(spark, sf_dir):
 @register("small_file_filter", sql=f"""WITH f AS (
   SELECT CASE WHEN CAST(substr(source, 4) AS INTEGER) % 2 = 0 THEN 'rift' ELSE 'spark' END AS directory_type,
          source, text FROM documents)
-SELECT directory_type, source, count(*) AS n_files, sum(length(text)) AS n_chars
+SELECT directory_type, source, count(*) AS n_files, CAST(sum(length(text)) AS BIGINT) AS n_chars
 FROM f WHERE length({S.trim_ws('text')}) >= 50 GROUP BY directory_type, source""")
 def small_file_filter(spark, sf_dir):
     """Files per folder kind, tiny files (stripped < 50 chars) skipped (A2, B1, H3)."""
