@@ -53,3 +53,21 @@ def test_pandas_mode_transform(spark):
     fn = pandas_transform(lambda pdf: pdf[["user_id", "value", "ts"]], schema)
     fv = FeatureView("p", ["user_id"], "ts", transform=fn)
     assert fv.features(_events(spark)).columns == ["user_id", "value", "ts"]
+
+
+def test_window_percentile_within_rank_error(spark):
+    """percentile_approx(accuracy=100) is within 1/100 of the frame size in
+    rank of the true median, and is one of the frame's values."""
+    import pandas as pd
+    from tessera.plans.features import window_percentile
+    ev = _events(spark).select("event_id", "user_id", "ts", "value").toPandas()
+    got = {r.event_id: r.p50_1h for r in window_percentile(spark, SMALL).collect()}
+    for _, r in ev.iterrows():
+        frame = ev[(ev.user_id == r.user_id) & (ev.ts <= r.ts) & (ev.ts > r.ts - pd.Timedelta(hours=1))]
+        vals = sorted(frame.value)
+        v = got[r.event_id]
+        assert v in vals
+        target = (len(vals) - 1) * 0.5
+        lo, hi = vals.index(v), len(vals) - 1 - vals[::-1].index(v)
+        slack = len(vals) / 100 + 1
+        assert lo - slack <= target <= hi + slack
