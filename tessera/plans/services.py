@@ -1,5 +1,6 @@
-"""Feature-service metadata queries (FX7: services per region, feature views
-per nation, deterministic overrides, realtime views with sources)."""
+"""Feature-service metadata queries (FX7: a service per supplier over
+nation and region views, deterministic overrides, realtime views with
+sources)."""
 
 from __future__ import annotations
 
@@ -15,62 +16,73 @@ def _empty_map():
 
 
 def fx7(spark, sf_dir):
+    """One feature service per supplier; it references the views of its
+    nation and of its region. Views carry entity keys; nation views of
+    some nations are realtime views reading their region's view; overrides
+    and request fields follow fixed rules on the keys."""
+    sup = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey")
     n = read_table(spark, sf_dir, "nation", "n_nationkey", "n_regionkey")
     r = read_table(spark, sf_dir, "region", "r_regionkey", "r_name")
-    svc = F.concat(F.lit("svc_"), F.lower(F.regexp_replace("r_name", " ", "_")))
-    services = r.select(svc.alias("service"), F.concat(F.lit("Features for "), F.col("r_name")).alias("description"),
-                        "r_regionkey")
-    k = F.col("n_nationkey")
-    view = F.concat(F.lit("fv_"), k.cast("string"))
-    refs = (n.join(services, n["n_regionkey"] == services["r_regionkey"])
-            .select("service", view.alias("view"), k.alias("position"),
-                    F.when(k % 4 == 1, F.create_map(F.lit("user_id"), F.lit("customer_id")))
-                    .otherwise(_empty_map()).alias("override")))
-    entities = (n.select(view.alias("view"), F.lit("user_id").alias("key"), F.lit(0).alias("key_pos"),
+    sk, nk, rk = F.col("s_suppkey"), F.col("n_nationkey"), F.col("r_regionkey")
+    svc = F.concat(F.lit("svc_"), sk.cast("string"))
+    services = sup.select(svc.alias("service"), F.concat(F.lit("Features for supplier "), sk.cast("string"))
+                          .alias("description"), "s_suppkey", "s_nationkey")
+    sn = sup.join(n, sup["s_nationkey"] == n["n_nationkey"])
+    nview = F.concat(F.lit("fv_n"), F.col("n_nationkey").cast("string"))
+    rview = F.concat(F.lit("fv_r"), F.col("n_regionkey").cast("string"))
+    ovr = F.when(sk % 4 == 1, F.create_map(F.lit("user_id"), F.lit("customer_id"))).otherwise(_empty_map())
+    refs = (sn.select(svc.alias("service"), nview.alias("view"), F.lit(0).alias("position"), ovr.alias("override"))
+            .unionByName(sn.select(svc.alias("service"), rview.alias("view"), F.lit(1).alias("position"),
+                                   ovr.alias("override"))))
+    nv = F.concat(F.lit("fv_n"), nk.cast("string"))
+    rv = F.concat(F.lit("fv_r"), rk.cast("string"))
+    entities = (n.select(nv.alias("view"), F.lit("user_id").alias("key"), F.lit(0).alias("key_pos"),
                          F.lit("Int64").alias("type"))
-                .unionByName(n.filter(k % 3 == 0).select(view.alias("view"), F.lit("merchant_id").alias("key"),
-                                                         F.lit(1).alias("key_pos"), F.lit("String").alias("type")))
-                .unionByName(n.filter(k % 5 == 0).select(view.alias("view"), F.lit("event_day").alias("key"),
-                                                         F.lit(2).alias("key_pos"), F.lit("Timestamp").alias("type"))))
-    sources = n.filter(k % 6 == 2).select(
-        view.alias("view"), F.concat(F.lit("fv_"), ((k + 1) % 25).cast("string")).alias("source_view"),
+                .unionByName(n.filter(nk % 3 == 0).select(nv.alias("view"), F.lit("merchant_id").alias("key"),
+                                                          F.lit(1).alias("key_pos"), F.lit("String").alias("type")))
+                .unionByName(r.select(rv.alias("view"), F.lit("user_id").alias("key"), F.lit(0).alias("key_pos"),
+                                      F.lit("Int64").alias("type")))
+                .unionByName(r.select(rv.alias("view"), F.lit("event_day").alias("key"), F.lit(1).alias("key_pos"),
+                                      F.lit("Timestamp").alias("type"))))
+    sources = n.filter(nk % 6 == 2).select(
+        nv.alias("view"), F.concat(F.lit("fv_r"), F.col("n_regionkey").cast("string")).alias("source_view"),
         F.lit(0).alias("source_pos"),
-        F.when(k % 12 == 2, F.create_map(F.lit("user_id"), F.lit("buyer_id"))).otherwise(_empty_map())
+        F.when(nk % 12 == 2, F.create_map(F.lit("user_id"), F.lit("buyer_id"))).otherwise(_empty_map())
         .alias("source_override"))
-    features = (n.select(view.alias("view"), F.lit(0).alias("feature_pos"),
-                         F.concat(view, F.lit("__count")).alias("feature"))
-                .unionByName(n.select(view.alias("view"), F.lit(1).alias("feature_pos"),
-                                      F.concat(view, F.lit("__sum")).alias("feature"))))
-    rk = F.col("r_regionkey")
+    views = n.select(nv.alias("view")).unionByName(r.select(rv.alias("view")))
+    features = (views.select("view", F.lit(0).alias("feature_pos"), F.concat("view", F.lit("__count")).alias("feature"))
+                .unionByName(views.select("view", F.lit(1).alias("feature_pos"),
+                                          F.concat("view", F.lit("__sum")).alias("feature"))))
     schema = F.map_concat(
         F.create_map(F.lit("amount"), F.lit("Float64")),
-        F.when(rk % 2 == 0, F.create_map(F.lit("query_embedding"), F.lit("Array(Float32)"))).otherwise(_empty_map()),
-        F.when(rk == 1, F.create_map(F.lit("tags"), F.lit("Map(String, Int64)"))).otherwise(_empty_map()))
+        F.when(sk % 2 == 0, F.create_map(F.lit("query_embedding"), F.lit("Array(Float32)"))).otherwise(_empty_map()),
+        F.when(sk % 5 == 1, F.create_map(F.lit("tags"), F.lit("Map(String, Int64)"))).otherwise(_empty_map()))
     request = services.select("service", schema.alias("schema"))
-    return services.drop("r_regionkey"), refs, entities, sources, features, request
+    return services.select("service", "description"), refs, entities, sources, features, request
 
 
-FX7_SQL = """services AS (SELECT 'svc_' || lower(replace(r_name, ' ', '_')) AS service,
-                     'Features for ' || r_name AS description, r_regionkey FROM region),
-refs AS (SELECT s.service, 'fv_' || CAST(n.n_nationkey AS VARCHAR) AS view, n.n_nationkey AS position
-         FROM nation n JOIN services s ON n.n_regionkey = s.r_regionkey),
-ref_ovr AS (SELECT 'fv_' || CAST(n_nationkey AS VARCHAR) AS view, 'user_id' AS from_key, 'customer_id' AS to_key
-            FROM nation WHERE n_nationkey % 4 = 1),
-entities AS (SELECT 'fv_' || CAST(n_nationkey AS VARCHAR) AS view, 'user_id' AS key, 0 AS key_pos, 'Int64' AS type FROM nation
-             UNION ALL SELECT 'fv_' || CAST(n_nationkey AS VARCHAR), 'merchant_id', 1, 'String' FROM nation WHERE n_nationkey % 3 = 0
-             UNION ALL SELECT 'fv_' || CAST(n_nationkey AS VARCHAR), 'event_day', 2, 'Timestamp' FROM nation WHERE n_nationkey % 5 = 0),
-sources AS (SELECT 'fv_' || CAST(n_nationkey AS VARCHAR) AS view,
-                   'fv_' || CAST((n_nationkey + 1) % 25 AS VARCHAR) AS source_view, 0 AS source_pos
-            FROM nation WHERE n_nationkey % 6 = 2),
-src_ovr AS (SELECT 'fv_' || CAST(n_nationkey AS VARCHAR) AS view, 'user_id' AS from_key, 'buyer_id' AS to_key
+FX7_SQL = """services AS (SELECT 'svc_' || CAST(s_suppkey AS VARCHAR) AS service,
+                     'Features for supplier ' || CAST(s_suppkey AS VARCHAR) AS description, s_suppkey, s_nationkey
+              FROM supplier),
+sn AS (SELECT s.*, n.n_regionkey FROM services s JOIN nation n ON s.s_nationkey = n.n_nationkey),
+refs AS (SELECT service, 'fv_n' || CAST(s_nationkey AS VARCHAR) AS view, 0 AS position, s_suppkey FROM sn
+         UNION ALL SELECT service, 'fv_r' || CAST(n_regionkey AS VARCHAR), 1, s_suppkey FROM sn),
+ref_ovr AS (SELECT service, 'user_id' AS from_key, 'customer_id' AS to_key FROM services WHERE s_suppkey % 4 = 1),
+entities AS (SELECT 'fv_n' || CAST(n_nationkey AS VARCHAR) AS view, 'user_id' AS key, 0 AS key_pos, 'Int64' AS type FROM nation
+             UNION ALL SELECT 'fv_n' || CAST(n_nationkey AS VARCHAR), 'merchant_id', 1, 'String' FROM nation WHERE n_nationkey % 3 = 0
+             UNION ALL SELECT 'fv_r' || CAST(r_regionkey AS VARCHAR), 'user_id', 0, 'Int64' FROM region
+             UNION ALL SELECT 'fv_r' || CAST(r_regionkey AS VARCHAR), 'event_day', 1, 'Timestamp' FROM region),
+sources AS (SELECT 'fv_n' || CAST(n_nationkey AS VARCHAR) AS view, 'fv_r' || CAST(n_regionkey AS VARCHAR) AS source_view,
+                   0 AS source_pos FROM nation WHERE n_nationkey % 6 = 2),
+src_ovr AS (SELECT 'fv_n' || CAST(n_nationkey AS VARCHAR) AS view, 'user_id' AS from_key, 'buyer_id' AS to_key
             FROM nation WHERE n_nationkey % 12 = 2),
-features AS (SELECT 'fv_' || CAST(n_nationkey AS VARCHAR) AS view, 0 AS feature_pos,
-                    'fv_' || CAST(n_nationkey AS VARCHAR) || '__count' AS feature FROM nation
-             UNION ALL SELECT 'fv_' || CAST(n_nationkey AS VARCHAR), 1,
-                    'fv_' || CAST(n_nationkey AS VARCHAR) || '__sum' FROM nation),
+views AS (SELECT 'fv_n' || CAST(n_nationkey AS VARCHAR) AS view FROM nation
+          UNION ALL SELECT 'fv_r' || CAST(r_regionkey AS VARCHAR) FROM region),
+features AS (SELECT view, 0 AS feature_pos, view || '__count' AS feature FROM views
+             UNION ALL SELECT view, 1, view || '__sum' FROM views),
 request AS (SELECT service, 'amount' AS name, 'Float64' AS type FROM services
-            UNION ALL SELECT service, 'query_embedding', 'Array(Float32)' FROM services WHERE r_regionkey % 2 = 0
-            UNION ALL SELECT service, 'tags', 'Map(String, Int64)' FROM services WHERE r_regionkey = 1)"""
+            UNION ALL SELECT service, 'query_embedding', 'Array(Float32)' FROM services WHERE s_suppkey % 2 = 0
+            UNION ALL SELECT service, 'tags', 'Map(String, Int64)' FROM services WHERE s_suppkey % 5 = 1)"""
 
 
 def _type_sql(x: str) -> str:
@@ -89,13 +101,13 @@ def _type_sql(x: str) -> str:
 direct AS (SELECT r.service, r.position, 0 AS stage, 0 AS source_pos, e.key_pos,
                   coalesce(o.to_key, e.key) AS name, e.type
            FROM refs r JOIN entities e USING (view)
-           LEFT JOIN ref_ovr o ON o.view = r.view AND o.from_key = e.key),
+           LEFT JOIN ref_ovr o ON o.service = r.service AND o.from_key = e.key),
 src AS (SELECT r.service, r.position, 1 AS stage, s.source_pos, e.key_pos,
                coalesce(o.to_key, coalesce(so.to_key, e.key)) AS name, e.type
         FROM refs r JOIN sources s USING (view)
         JOIN entities e ON e.view = s.source_view
         LEFT JOIN src_ovr so ON so.view = r.view AND so.from_key = e.key
-        LEFT JOIN ref_ovr o ON o.view = r.view AND o.from_key = coalesce(so.to_key, e.key)),
+        LEFT JOIN ref_ovr o ON o.service = r.service AND o.from_key = coalesce(so.to_key, e.key)),
 keys AS (SELECT service, name,
                 arg_max(type, position * 1000000 + stage * 10000 + source_pos * 100 + key_pos) AS type
          FROM (SELECT * FROM direct UNION ALL SELECT * FROM src) GROUP BY service, name),
