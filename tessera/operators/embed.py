@@ -90,13 +90,14 @@ class HashingEmbedder:
     def name(self) -> str:
         return f"hash-{self.dim}"
 
-    def fit(self, corpus: DataFrame, id_col: str, text_col: str) -> IdfModel:
+    def fit(self, corpus: DataFrame, id_col: str, text_col: str, cache: bool = True) -> IdfModel:
         tf = term_counts(corpus, id_col, text_col)
         # the fitted table is used by every transform: kept like a model
         # (``IdfModel.unpersist`` releases it)
         df = tf.groupBy("tok").agg(F.count(F.lit(1)).alias("df")) \
-            .withColumn("bucket", _bucket(F.col("tok"), self.dim)).withColumn("sign", _sign(F.col("tok"))) \
-            .persist()
+            .withColumn("bucket", _bucket(F.col("tok"), self.dim)).withColumn("sign", _sign(F.col("tok")))
+        if cache:
+            df = df.persist()
         n_docs = tf.select(F.count_distinct(id_col)).scalar()
         return IdfModel(df, n_docs, self.dim)
 

@@ -14,6 +14,12 @@ from tessera.plans.registry import ORACLE, register
 from tessera.sources.tables import read_table
 
 
+def release(*cached) -> None:
+    """Drop caches used while the plan was built (query-block collects)."""
+    for c in cached:
+        c.unpersist()
+
+
 def _score(c):
     """Round for output; adding 0.0 turns -0.0 into 0.0."""
     return F.round(c, 6) + F.lit(0.0)
@@ -65,7 +71,7 @@ def hash_embed(spark, sf_dir):
     """Built-in embedder over whole documents: tokens, tf-idf, 64 signed
     md5 buckets, L2 norm; sparse output (F1)."""
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
-    model = HashingEmbedder(64).fit(docs, "doc_id", "text")
+    model = HashingEmbedder(64).fit(docs, "doc_id", "text", cache=False)   # used once
     sp = model.transform_sparse(docs, "doc_id", "text")
     return sp.select("doc_id", "bucket", _score(F.col("value")).alias("value"))
 
@@ -78,6 +84,8 @@ def _search_chunks(spark, sf_dir, k=10, dim=64):
     qvec = model.transform(bench, "item_id", "text")
     hits = similarity_topk(qvec.withColumnRenamed("item_id", "query_id"), cvec, k, query_id="query_id",
                            query_vec="vector", doc_id="chunk_id", doc_vec="vector")
+    # caches served the query-block collects; the returned plan recomputes
+    release(model, chunks)
     return hits, chunks
 
 
@@ -136,8 +144,10 @@ def multi_model_hits(spark, sf_dir):
     width = max(DIMS)
     pad = lambda c, d: F.concat(F.col(c), F.array_repeat(F.lit(0.0), width - d))
     idx, qs = None, None
+    models = []
     for d in DIMS:
         m = HashingEmbedder(d).fit(chunks, "chunk_id", "text_chunk")
+        models.append(m)
         c = m.transform(chunks, "chunk_id", "text_chunk").select(
             "chunk_id", pad("vector", d).alias("vector"), F.lit(f"hash-{d}").alias("model"))
         q = m.transform(bench, "item_id", "text").select(
@@ -147,6 +157,7 @@ def multi_model_hits(spark, sf_dir):
         qs = q if qs is None else qs.unionByName(q)
     hits = similarity_topk(qs, idx, 5, query_id="qkey", query_vec="vector", doc_id="chunk_id",
                            doc_vec="vector", match_cols=("model",))
+    release(*models, chunks)
     return hits.join(qs.select("qkey", "model", F.col("item_id").alias("query_id")), "qkey").select(
         "model", "query_id", "rank", "chunk_id", _score(F.col("score")).alias("score"))
 
@@ -174,4 +185,5 @@ def hit_blocks_distinct(spark, sf_dir):
     hits = similarity_topk(m.transform(bench, "item_id", "text").withColumnRenamed("item_id", "query_id"),
                            m.transform(ex, "ex_id", "text"), 10, query_id="query_id", query_vec="vector",
                            doc_id="ex_id", doc_vec="vector")
+    release(m, ex)
     return format_code_hits(hits.join(ex.select("ex_id", "code"), "ex_id"))
