@@ -275,7 +275,7 @@ def service_vector(spark, sf_dir):
 
 @register("request_cosine", sql="""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
 SELECT q.vec_id AS request_id, u.vec_id AS user_vec_id,
-       round(list_dot_product(q.e, u.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(u.e, u.e))), 6)
+       round(list_dot_product(q.e, u.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(u.e, u.e))), 6) + 0.0
          AS cosine_similarity
 FROM v q JOIN v u ON u.vec_id = q.vec_id + 1""")
 def request_cosine(spark, sf_dir):

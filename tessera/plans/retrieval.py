@@ -19,7 +19,7 @@ WITH {_VEC_SQL},
 s AS (SELECT q.vec_id AS query_id, d.vec_id AS vec_id, {_COS_SQL} AS score
       FROM v q JOIN v d ON q.vec_id <> d.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_id) AS rank FROM s)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) + 0.0 AS score
 FROM r WHERE rank <= 10
 """)
 def knn_topk(spark, sf_dir):
@@ -36,7 +36,7 @@ WITH {_VEC_SQL},
 s AS (SELECT q.vec_id AS query_id, q.label AS label, d.vec_id AS vec_id, {_COS_SQL} AS score
       FROM v q JOIN v d ON q.label = d.label AND q.vec_id <> d.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_id) AS rank FROM s)
-SELECT query_id, label, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score
+SELECT query_id, label, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) + 0.0 AS score
 FROM r WHERE rank <= 10
 """)
 def knn_filtered(spark, sf_dir):
@@ -75,7 +75,7 @@ mmr(query_id, step, chosen) AS (
       GROUP BY m.query_id, m.step, m.chosen, p.doc, p.score) c) x
   WHERE pick = 1),
 fin AS (SELECT query_id, chosen FROM mmr WHERE step = 10)
-SELECT f.query_id, CAST(u.rank AS INTEGER) AS rank, u.vec_id, round(p.score, 6) AS score
+SELECT f.query_id, CAST(u.rank AS INTEGER) AS rank, u.vec_id, round(p.score, 6) + 0.0 AS score
 FROM fin f, LATERAL (SELECT unnest(f.chosen) AS vec_id, generate_subscripts(f.chosen, 1) AS rank) u
 JOIN pool p ON p.query_id = f.query_id AND p.doc = u.vec_id
 """)

@@ -55,7 +55,7 @@ def embed_sql(p: str, corpus: str, cid: str, ctext: str, dim: int, data: list[tu
 
 def topk_sql(q: str, d: str, k: int, qname: str = "query_id", dname: str = "doc_id") -> str:
     """All (query, doc) pairs scored by the sparse dot product, top-k."""
-    return f"""SELECT query_id AS {qname}, CAST(rank AS INTEGER) AS rank, doc AS {dname}, round(score, 6) AS score
+    return f"""SELECT query_id AS {qname}, CAST(rank AS INTEGER) AS rank, doc AS {dname}, round(score, 6) + 0.0 AS score
 FROM (SELECT qi.id AS query_id, di.id AS doc, coalesce(s.score, 0.0) AS score,
              row_number() OVER (PARTITION BY qi.id ORDER BY round(coalesce(s.score, 0.0), 12) DESC, di.id) AS rank
       FROM (SELECT DISTINCT id FROM {q}_vec) qi CROSS JOIN (SELECT DISTINCT id FROM {d}_vec) di
@@ -66,7 +66,7 @@ WHERE rank <= {k}"""
 
 
 @register("hash_embed", sql="WITH " + embed_sql("c", "documents", "doc_id", "text", 64, [("dv", "documents", "doc_id", "text")])
-          + "\nSELECT id AS doc_id, bucket, round(value, 6) AS value FROM dv_vec")
+          + "\nSELECT id AS doc_id, bucket, round(value, 6) + 0.0 AS value FROM dv_vec")
 def hash_embed(spark, sf_dir):
     """Built-in embedder over whole documents: tokens, tf-idf, 64 signed
     md5 buckets, L2 norm; sparse output (F1)."""
