@@ -203,7 +203,7 @@ def session_starts(df: DataFrame, key: str, ts: str, gap_seconds: int, bucket_se
             .drop("_tsu", "_b", "_prev", "_carry"))
 
 
-TILE_FNS = ("sum", "count", "count_if", "min", "max")
+TILE_FNS = ("sum", "count", "count_if", "min", "max", "approx_distinct")
 
 
 def _tile_input(a: WindowAgg) -> Column:
@@ -216,10 +216,25 @@ def _tile_input(a: WindowAgg) -> Column:
 
 
 def _tile_agg(fn: str, c: Column) -> Column:
+    """Aggregate raw tile inputs (values; HLL sketch for approx_distinct)."""
+    if fn == "approx_distinct":
+        return F.hll_sketch_agg(c)
     return {"sum": F.sum, "count": F.sum, "count_if": F.sum, "min": F.min, "max": F.max}[fn](c)
 
 
+def _tile_merge(fn: str, c: Column) -> Column:
+    """Aggregate partial results (tile aggregates / sketches)."""
+    if fn == "approx_distinct":
+        return F.hll_union_agg(c)
+    return _tile_agg(fn, c)
+
+
 def _tile_combine(fn: str, parts: list[Column]) -> Column:
+    if fn == "approx_distinct":
+        out = None
+        for p in parts:
+            out = p if out is None else F.when(out.isNull(), p).when(p.isNull(), out).otherwise(F.hll_union(out, p))
+        return F.coalesce(F.hll_sketch_estimate(out), F.lit(0).cast("long"))
     if fn in ("min", "max"):
         return (F.least if fn == "min" else F.greatest)(*parts)   # both skip nulls
     total = F.lit(0).cast("long") if fn != "sum" else None
@@ -231,8 +246,9 @@ def _tile_combine(fn: str, parts: list[Column]) -> Column:
 
 def tiled_window_features(df: DataFrame, key: str, ts: str, id_col: str, aggs: list[WindowAgg],
                           tile_seconds: int = 3600) -> DataFrame:
-    """Exact (t - w, t] aggregates for sum / count / count_if / min / max in
-    O(rows) per key, for windows that are whole multiples of the tile.
+    """(t - w, t] aggregates for sum / count / count_if / min / max (exact)
+    and approx_distinct (HLL sketches, the sketch path for distinct counts)
+    in O(rows) per key, for windows that are whole multiples of the tile.
 
     A sliding range frame re-aggregates the whole frame for each row, which
     is quadratic for a key with many rows per window. Here the window of a
@@ -263,7 +279,7 @@ def tiled_window_features(df: DataFrame, key: str, ts: str, id_col: str, aggs: l
                                             for a in aggs])
     wk = Window.partitionBy(key).orderBy("_tile")
     between = tiles.select(key, "_tile", *[
-        (_tile_agg(a.fn, F.col(f"_T_{a.name}")).over(wk.rangeBetween(-(m_of[a.name] - 1), -1))
+        (_tile_merge(a.fn, F.col(f"_T_{a.name}")).over(wk.rangeBetween(-(m_of[a.name] - 1), -1))
          if m_of[a.name] > 1 else F.lit(None).cast(tiles.schema[f"_T_{a.name}"].dataType)).alias(f"_B_{a.name}")
         for a in aggs])
     # start tile: suffix of tile i-m after the row's offset

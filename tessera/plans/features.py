@@ -97,6 +97,18 @@ def window_distinct(spark, sf_dir):
     return out.select("event_id", "user_id", F.col("distinct_k_3d").cast("long").alias("distinct_k_3d"))
 
 
+@register("window_distinct_approx")
+def window_distinct_approx(spark, sf_dir):
+    """Distinct ``props.k`` per user over 3 days from HLL sketches on hour
+    tiles: O(rows) per user, for dense windows (H9 sketch path).
+    Approximate: rows-only check; accuracy is tested against the exact count."""
+    ev = events(spark, sf_dir, "event_id", "user_id", "ts", "props") \
+        .withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    out = tiled_window_features(ev, "user_id", "ts", "event_id",
+                                [WindowAgg("distinct_k_3d", "approx_distinct", "k", 3 * D)], tile_seconds=H)
+    return out.select("event_id", "user_id", "distinct_k_3d")
+
+
 @register("entity_rate", sql="""SELECT user_id, count(*) AS n_events,
        count(*) FILTER (WHERE event_type = 'error') AS n_errors,
        round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END), 6) AS error_rate,

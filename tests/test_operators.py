@@ -225,3 +225,18 @@ def test_tiled_windows_match_frames(spark):
     got = {r.id: tuple(r[a.name] for a in aggs) for r in tiled_window_features(df, "k", "ts", "id", aggs).collect()}
     want = {r.id: tuple(r[a.name] for a in aggs) for r in range_window_features(df, "k", "ts", aggs).collect()}
     assert got == want
+
+
+def test_tiled_approx_distinct_close_to_exact(spark):
+    from tessera.operators.features import tiled_window_features
+    rng = np.random.default_rng(17)
+    base = pd.Timestamp("2024-01-01")
+    rows = [(int(i), int(rng.integers(0, 2)), base + pd.Timedelta(seconds=int(rng.integers(0, 3 * 86400))),
+             int(rng.integers(0, 400))) for i in range(1500)]
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["id", "k", "ts", "m"])) \
+        .withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    approx = {r.id: r.d for r in tiled_window_features(
+        df, "k", "ts", "id", [WindowAgg("d", "approx_distinct", "m", 86400)]).collect()}
+    exact = {r.id: r.d for r in range_window_features(df, "k", "ts", [WindowAgg("d", "distinct", "m", 86400)]).collect()}
+    for i, e in exact.items():
+        assert abs(approx[i] - e) <= max(2, 0.05 * e), (i, approx[i], e)
