@@ -11,15 +11,10 @@ from tessera.operators.retrieve import format_code_hits, format_doc_hits
 from tessera.plans.corpus import CHUNKS_SQL, chunk_index
 from tessera.plans.evaluate import example_rows
 from tessera.plans.registry import ORACLE, register
+from tessera.session import materialize
 from tessera.sources.tables import read_table
 
 
-def release(*cached) -> None:
-    """Drop caches used while the plan was built (query-block collects)."""
-    for c in cached:
-        c.unpersist()
-
-
 def _score(c):
     """Round for output; adding 0.0 turns -0.0 into 0.0."""
     return F.round(c, 6) + F.lit(0.0)
@@ -77,15 +72,15 @@ def hash_embed(spark, sf_dir):
 
 
 def _search_chunks(spark, sf_dir, k=10, dim=64):
-    chunks = chunk_index(spark, sf_dir).cache()
+    # the index build: chunk rows are written once (shared checkpoint
+    # folder) and every later step reads them
+    chunks = materialize(chunk_index(spark, sf_dir), "chunk-index")
     bench = read_table(spark, sf_dir, "benchmark", "item_id", "text")
-    model = HashingEmbedder(dim).fit(chunks, "chunk_id", "text_chunk")
+    model = HashingEmbedder(dim).fit(chunks, "chunk_id", "text_chunk", cache=False)
     cvec = model.transform(chunks, "chunk_id", "text_chunk")
     qvec = model.transform(bench, "item_id", "text")
     hits = similarity_topk(qvec.withColumnRenamed("item_id", "query_id"), cvec, k, query_id="query_id",
                            query_vec="vector", doc_id="chunk_id", doc_vec="vector")
-    # caches served the query-block collects; the returned plan recomputes
-    release(model, chunks)
     return hits, chunks
 
 
@@ -139,15 +134,13 @@ def multi_model_hits(spark, sf_dir):
     """The same queries against one index holding three embedding models
     (hash-32/64/128); each query only meets vectors of its own model, all
     in one job (F7, F8)."""
-    chunks = chunk_index(spark, sf_dir).cache()
+    chunks = materialize(chunk_index(spark, sf_dir), "chunk-index")
     bench = read_table(spark, sf_dir, "benchmark", "item_id", "text")
     width = max(DIMS)
     pad = lambda c, d: F.concat(F.col(c), F.array_repeat(F.lit(0.0), width - d))
     idx, qs = None, None
-    models = []
     for d in DIMS:
-        m = HashingEmbedder(d).fit(chunks, "chunk_id", "text_chunk")
-        models.append(m)
+        m = HashingEmbedder(d).fit(chunks, "chunk_id", "text_chunk", cache=False)
         c = m.transform(chunks, "chunk_id", "text_chunk").select(
             "chunk_id", pad("vector", d).alias("vector"), F.lit(f"hash-{d}").alias("model"))
         q = m.transform(bench, "item_id", "text").select(
@@ -157,7 +150,6 @@ def multi_model_hits(spark, sf_dir):
         qs = q if qs is None else qs.unionByName(q)
     hits = similarity_topk(qs, idx, 5, query_id="qkey", query_vec="vector", doc_id="chunk_id",
                            doc_vec="vector", match_cols=("model",))
-    release(*models, chunks)
     return hits.join(qs.select("qkey", "model", F.col("item_id").alias("query_id")), "qkey").select(
         "model", "query_id", "rank", "chunk_id", _score(F.col("score")).alias("score"))
 
@@ -178,12 +170,11 @@ FROM best GROUP BY query_id""")
 def hit_blocks_distinct(spark, sf_dir):
     """Example index (labelled code examples) searched with the benchmark
     texts; distinct code blocks per query in rank order (C18, H5)."""
-    ex = example_rows(spark, sf_dir).select((F.col("o_orderkey") * 100 + F.col("pos")).alias("ex_id"),
-                                            "text", "code").cache()
+    ex = materialize(example_rows(spark, sf_dir).select(
+        (F.col("o_orderkey") * 100 + F.col("pos")).alias("ex_id"), "text", "code"), "example-index")
     bench = read_table(spark, sf_dir, "benchmark", "item_id", "text")
-    m = HashingEmbedder(64).fit(ex, "ex_id", "text")
+    m = HashingEmbedder(64).fit(ex, "ex_id", "text", cache=False)
     hits = similarity_topk(m.transform(bench, "item_id", "text").withColumnRenamed("item_id", "query_id"),
                            m.transform(ex, "ex_id", "text"), 10, query_id="query_id", query_vec="vector",
                            doc_id="ex_id", doc_vec="vector")
-    release(m, ex)
     return format_code_hits(hits.join(ex.select("ex_id", "code"), "ex_id"))
