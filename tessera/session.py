@@ -34,12 +34,22 @@ def build_session(master: str | None = None, app: str = "tessera",
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_code()
     return spark
 
 
 def apply_required_conf(spark: SparkSession) -> None:
     for k, v in REQUIRED_CONF.items():
         spark.conf.set(k, v)
+    ship_code()
+
+
+def ship_code() -> None:
+    """Send this package's functions to Python workers with the tasks that
+    use them (pickled by value), so executors need no installed copy."""
+    import tessera
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(tessera)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
