@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import packing, quality_rules
+from tessera.llm import packing, quality_rules, simhash
 from tessera.session import materialize
 from tessera.sources.tables import table_path
 
@@ -14,6 +14,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_rules.keep(docs)
 
 
+def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document of smallest id stays."""
+    return simhash.keep_one(docs, shingle=3, distance=3)
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents as pieces in length buckets and token-budget batches."""
     return packing.pack(docs)
@@ -21,6 +26,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [
     ("quality rules", quality_stage),
+    ("simhash near-dedup", simhash_stage),
     ("packing", packing_stage),
 ]
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import oracles, packing, quality_rules, sharding
+from tessera.llm import oracles, packing, quality_rules, sharding, simhash
 from tessera.llm.common import read
 from tessera.plans.registry import register
 
@@ -28,3 +28,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op4_sharding", oracles.SHARDING.format(limit=SHARD_BYTES))
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(read(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+@register("op8_simhash")
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, distance=3)
+    return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
