@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import packing, quality_rules, simhash
+from tessera.llm import decontaminate, packing, quality_rules, simhash
 from tessera.session import materialize
 from tessera.sources.tables import table_path
 
@@ -19,6 +19,11 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return simhash.keep_one(docs, shingle=3, distance=3)
 
 
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a benchmark item go."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(table_path(sf_dir, "benchmark")))
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents as pieces in length buckets and token-budget batches."""
     return packing.pack(docs)
@@ -27,6 +32,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [
     ("quality rules", quality_stage),
     ("simhash near-dedup", simhash_stage),
+    ("benchmark decontamination", decontamination_stage),
     ("packing", packing_stage),
 ]
 
