@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, packing, quality_rules, simhash
+from tessera.llm import decontaminate, line_dedup, packing, quality_rules, simhash
 from tessera.session import materialize
 from tessera.sources.tables import table_path
 
@@ -14,6 +14,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_rules.keep(docs)
 
 
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines equal or near to an earlier line go; so do documents left without a line."""
+    return line_dedup.clean(docs)
+
+
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of smallest id stays."""
     return simhash.keep_one(docs, shingle=3, distance=3)
@@ -31,6 +36,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [
     ("quality rules", quality_stage),
+    ("line dedup", line_stage),
     ("simhash near-dedup", simhash_stage),
     ("benchmark decontamination", decontamination_stage),
     ("packing", packing_stage),

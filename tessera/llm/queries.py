@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import (decontaminate, language_id, oracles, packing, quality_rules, sharding, simhash,
-                         substring_dedup)
+from tessera.llm import (decontaminate, language_id, license_scan, line_dedup, oracles, packing, quality_rules,
+                         sharding, simhash, substring_dedup)
 from tessera.llm.common import read
 from tessera.plans.registry import register
 
@@ -54,3 +54,25 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs, ~language_id.held_out(F.col("doc_id")))
     found = language_id.predict(docs, model)
     return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def file_tree(docs: DataFrame) -> DataFrame:
+    """``documents`` as files: directories by source and decimal digits of the
+    id; an id that ends in zeros is the licence file of its directory."""
+    i = F.col("doc_id")
+    steps = [F.col("source"), *(F.floor(i / n).cast("string") for n in (10_000, 1_000, 100, 10))]
+    path = F.concat_ws("/", *steps, F.concat(i.cast("string"), F.lit(".txt")))
+    for depth, n in ((5, 10), (4, 100), (3, 1_000), (2, 10_000)):
+        path = F.when(i % n == 0, F.concat_ws("/", *steps[:depth], F.lit("LICENSE"))).otherwise(path)
+    return docs.select("doc_id", F.when(i.isNotNull(), path).alias("path"), "text")
+
+
+@register("op1_license_scan")
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(file_tree(read(spark, sf_dir, "documents")), carry=("doc_id",))
+
+
+@register("op3_line_dedup")
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup(read(spark, sf_dir, "documents"), out="d")
+    return found.select("doc_id", "d.n_lines", "d.n_removed", F.sha2("d.text", 256).alias("kept_sha256"))
