@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import (decontaminate, language_id, license_scan, line_dedup, oracles, packing, quality_rules,
-                         sharding, simhash, substring_dedup)
+                         sharding, simhash, substring_dedup, suffix_dedup)
 from tessera.llm.common import read
 from tessera.plans.registry import register
 
@@ -76,3 +76,9 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup(read(spark, sf_dir, "documents"), out="d")
     return found.select("doc_id", "d.n_lines", "d.n_removed", F.sha2("d.text", 256).alias("kept_sha256"))
+
+
+@register("op5_suffix_dedup")
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup(read(spark, sf_dir, "documents"), length=100)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
