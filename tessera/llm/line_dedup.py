@@ -14,9 +14,11 @@ shift bound allows. Index entries and probes carry hashes only; candidate
 pairs are then verified on their characters by Spark's banded
 ``levenshtein(a, b, threshold)``, the built-in with the cut-off band.
 
-All of it is DataFrame functions. Equal lines are one row before the join, a
-line's segments are only compared within one length, and a segment that very
-many different lines share is split between tasks by adaptive execution.
+All of it is DataFrame functions. Equal lines are one row before the join, and
+a segment that very many different lines share is split between tasks by
+adaptive execution. Within a segment the join compares letter counts (an edit
+changes them by two at most) and hands on only pairs they allow, so a group of
+lines that share a segment but differ in a word does not become all its pairs.
 
 Edge cases. A null text has no lines and stays null; blank lines (no word)
 are kept and never compared. Rows that repeat a doc_id are one document
@@ -36,15 +38,17 @@ from tessera.session import materialize
 THRESHOLD = 2
 MIN_CHARS = 24
 MAX_BROADCAST_IDS = 4_000_000
+# Frequent letters, counted to reject pairs early.
+LETTERS = ("e", "n", "t", "a", "i", "o", "r", "s", "d", "h")
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _key(line: Column) -> Column:
+def _key(line: Column) -> list[Column]:
     """128-bit stand-in for a line."""
-    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(3), line).alias("b"))
+    return [F.xxhash64(line).alias("a"), F.xxhash64(F.lit(3), line).alias("b")]
 
 
 def _bounds(length: Column, k: int, parts: int) -> tuple[Column, Column]:
@@ -88,54 +92,86 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             .where(F.col("line").rlike(r"[^\x20\x09-\x0D]")))
 
 
+def _line_id(line: Column) -> Column:
+    """64-bit name of a line in index and probes: 34 hash bits, and its counts
+    of ten letters modulo 8. Equal names only cost a verification more."""
+    out = F.shiftrightunsigned(F.xxhash64(line), 30)
+    for c in LETTERS:
+        n = F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))
+        out = F.shiftleft(out, 3).bitwiseOR(n.bitwiseAND(7).cast("long"))
+    return out
+
+
+def _letters_allow(x: Column, y: Column, threshold: int) -> Column:
+    """An edit changes letter counts by two in all; more cannot be explained."""
+    total = F.lit(0)
+    for i in range(len(LETTERS)):
+        a, b = (F.shiftright(v, 3 * i).bitwiseAND(F.lit(7).cast("long")) for v in (x, y))
+        d = (a - b).bitwiseAND(F.lit(7).cast("long"))
+        total = total + F.least(d, 8 - d)
+    return total <= 2 * threshold
+
+
+def _long(found: DataFrame, threshold: int) -> DataFrame:
+    return found.where(F.length("line") >= max(MIN_CHARS, threshold + 1))
+
+
 def candidate_pairs(found: DataFrame, threshold: int) -> DataFrame:
-    """(x, y), x < y: line hashes that share a segment where the bounds allow."""
-    length = F.length("line")
-    long = found.where(length >= max(MIN_CHARS, threshold + 1)).withColumn("len", length)
+    """(x, y), x < y: names of lines that share a segment where the bounds
+    allow, and whose letter counts allow the threshold."""
+    long = _long(found, threshold).withColumn("len", F.length("line"))
     line, size = F.col("line"), F.col("len")
-    keys = long.select(_key(line).alias("key"), _index(line, size, threshold).alias("own"),
-                       _probes(line, size, threshold).alias("probes"))
-    lines = keys.select("key", "own", F.array_except("probes", "own").alias("more")).dropDuplicates(["key"])
-    index = lines.select(F.explode("own").alias("seg"), F.col("key.a").alias("x"))
-    # An index entry is also the line's probe at its own place.
-    probe = lines.select(F.explode("more").alias("seg"), F.col("key.a").alias("y"))
-    met = (index.join(probe, "seg").select("x", "y")
-           .unionByName(index.join(index.withColumnRenamed("x", "y"), "seg").where("x < y").select("x", "y")))
-    return met.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    own, probes = _index(line, size, threshold), _probes(line, size, threshold)
+    keys = long.select(*_key(line), _line_id(line).alias("id"),
+                       F.concat(own, F.array_except(probes, own)).alias("segs"))
+    lines = keys.dropDuplicates(["a", "b"])
+    # The first threshold + 1 are the index; a line probes with these and the others.
+    all_segs = lines.select(F.posexplode("segs").alias("no", "seg"), "id")
+    index = all_segs.where(F.col("no") <= threshold).select("seg", F.col("id").alias("x"))
+    probe = all_segs.select("seg", F.col("id").alias("y"))
+    met = index.join(probe, "seg").where((F.col("x") != F.col("y")) & _letters_allow(F.col("x"), F.col("y"), threshold))
+    return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
+def _few(ids: DataFrame) -> DataFrame:
+    """Broadcast a column of ids if it is small; a shuffle join serves else."""
+    return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
 
 
 def near_pairs(found: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(a, b): keys of the different lines within the threshold, of the lines
-    in ``found`` (column line); each pair is given in both directions."""
+    """(a, b, c, d): keys (a, b) and (c, d) of the different lines within the
+    threshold, of the lines in ``found``; each pair in both directions."""
     pairs = materialize(candidate_pairs(found, threshold), "line-candidates")
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-    if wanted.count() <= MAX_BROADCAST_IDS:  # eight bytes each; else a shuffle of the lines
-        wanted = F.broadcast(wanted)
-    texts = materialize(found.select(_key(F.col("line")).alias("key"), "line").where(
-        F.length("line") >= max(MIN_CHARS, threshold + 1)).withColumn("id", F.col("key.a"))
-        .join(wanted, "id", "left_semi").dropDuplicates(["key"]), "line-texts")
-    both = (pairs.join(texts.select(F.col("id").alias("x"), F.col("key").alias("a"), F.col("line").alias("s")), "x")
-            .join(texts.select(F.col("id").alias("y"), F.col("key").alias("b"), F.col("line").alias("t")), "y"))
-    near = both.where(F.levenshtein("s", "t", threshold) >= 0)
-    return near.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
-                       .alias("p")).select("p.a", "p.b")
+    line = F.col("line")
+    texts = materialize(_long(found, threshold).select(_line_id(line).alias("id"), "line")
+                        .join(_few(wanted), "id", "left_semi").distinct(), "line-texts")
+    left, right = (texts.select(F.col("id").alias(n), F.struct(*_key(line)).alias(k), line.alias(t))
+                   for n, k, t in (("x", "l", "s"), ("y", "r", "t")))
+    near = pairs.join(left, "x").join(right, "y").where(F.levenshtein("s", "t", threshold) >= 0)
+    return near.select(F.explode(F.array(
+        *(F.struct(F.col(f"{i}.a").alias("a"), F.col(f"{i}.b").alias("b"), F.col(f"{j}.a").alias("c"),
+                   F.col(f"{j}.b").alias("d")) for i, j in (("l", "r"), ("r", "l"))))).alias("p")).select("p.*")
 
 
 def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
     """(doc_id, no) of the lines that go, once each; no counts from 0."""
     found = occurrences(docs, id_col, text_col)
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "no")
-    at = found.select("doc_id", "no", _key(F.col("line")).alias("key"), place.alias("place"))
-    firsts = materialize(at.groupBy("key").agg(F.min("place").alias("first"), F.count("*").alias("n")), "line-firsts")
     pairs = materialize(near_pairs(found, threshold), "line-pairs")
-    earlier = (pairs.join(firsts.select(F.col("key").alias("b"), F.col("first").alias("other")), "b")
-               .groupBy(F.col("a").alias("key")).agg(F.min("other").alias("other")))
-    # Lines that stand once and have no earlier near line stay; they need no look-up.
-    verdict = (firsts.join(earlier, "key", "left").where((F.col("n") > 1) | (F.col("other") < F.col("first")))
-               .select("key", F.when(F.col("other") < F.col("first"), F.lit(None)).otherwise(F.col("first"))
-                       .alias("stays")))
-    return (at.join(verdict, "key").where(~F.col("place").eqNullSafe(F.col("stays")))
+    at = found.select("doc_id", "no", *_key(F.col("line")))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "no")
+    near = _few(pairs.select("a", "b").distinct()).withColumn("near", F.lit(True))
+    # A line that stands once and is near no other stays; it needs no look-up.
+    firsts = materialize(at.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+                         .join(near, ["a", "b"], "left").where("n > 1 or near").drop("n", "near"), "line-firsts")
+    others = firsts.select(F.col("a").alias("c"), F.col("b").alias("d"), F.col("first").alias("other"))
+    earlier = pairs.join(others, ["c", "d"]).groupBy("a", "b").agg(F.min("other").alias("other"))
+    verdict = firsts.join(earlier, ["a", "b"], "left").select(
+        "a", "b", F.when(F.col("other") < F.col("first"), F.lit(None)).otherwise(F.col("first")).alias("stays"))
+    return (at.join(verdict, ["a", "b"])
+            .where(F.col("stays").isNull() | ~(F.col("doc_id").eqNullSafe(F.col("stays.doc_id"))
+                                               & (F.col("no") == F.col("stays.no"))))
             .select("doc_id", "no").distinct())
 
 
