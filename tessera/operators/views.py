@@ -76,18 +76,30 @@ class FeatureView:
             out = out.filter(F.col(self.timestamp_field) >= start)   # B8; reaches the scan
         return out
 
+    def _keyed(self, df: DataFrame, names: list[str] | None = None) -> tuple[DataFrame, str]:
+        """``df`` and the one column that stands for all keys: the key itself,
+        or a struct of them (``names``: what the frame calls them)."""
+        names = names or self.keys
+        if names == self.keys and len(self.keys) == 1:
+            return df, self.keys[0]
+        return df.withColumn("_key", F.struct(*(F.col(n).alias(k) for n, k in zip(names, self.keys, strict=True)))), "_key"
+
+    def _unkeyed(self, df: DataFrame, key: str) -> DataFrame:
+        if key != "_key":
+            return df
+        rest = [c for c in df.columns if c != "_key" and c not in self.keys]
+        return df.select("_key.*", *rest)
+
     def features(self, df: DataFrame) -> DataFrame:
         """Batch values: one row per input row with every aggregate over its
         (t - w, t] window per key (H7-H10)."""
-        out = self._input(df)
+        return self._features(self._input(df))
+
+    def _features(self, out: DataFrame) -> DataFrame:
         if not self.aggregations:
             return out
-        if len(self.keys) != 1:
-            out = out.withColumn("_key", F.struct(*self.keys))
-            key = "_key"
-        else:
-            key = self.keys[0]
-        res = range_window_features(out, key, self.timestamp_field, self.aggregations)
+        keyed, key = self._keyed(out)
+        res = range_window_features(keyed, key, self.timestamp_field, self.aggregations)
         return res.drop("_key") if key == "_key" else res
 
     def stream_features(self, stream_df: DataFrame, value: str, window: str = "1 hour",
@@ -96,18 +108,25 @@ class FeatureView:
         the same call on a batch DataFrame gives the backfill."""
         src = self._input(with_event_time(stream_df, self.timestamp_field) if stream_df.isStreaming
                           else stream_df)
-        return sliding_aggregates(src, self.keys[0], self.timestamp_field, value, window, slide, delay)
+        keyed, key = self._keyed(src)
+        return self._unkeyed(sliding_aggregates(keyed, key, self.timestamp_field, value, window, slide, delay), key)
 
     def materialize(self, df: DataFrame, path: str, start: str | None = None, end: str | None = None) -> None:
         """Offline store by period (H15, H16): rows in [start, end) are
         computed and written, one folder per period; a re-run replaces only
-        the periods it covers (dynamic partition overwrite)."""
-        out = self.features(df)
-        ts = F.col(self.timestamp_field)
-        if start:
-            out = out.filter(ts >= F.lit(start).cast(out.schema[self.timestamp_field].dataType))
-        if end:
-            out = out.filter(ts < F.lit(end).cast(out.schema[self.timestamp_field].dataType))
+        the periods it covers (dynamic partition overwrite). Of the source only
+        [start - largest window, end) is read."""
+        out = self._input(df)
+        ts, kind = F.col(self.timestamp_field), out.schema[self.timestamp_field].dataType
+        first, last = (F.lit(x).cast(kind) if x else None for x in (start, end))
+        if last is not None:
+            out = out.filter(ts < last)
+        if first is not None:
+            reach = max((a.seconds for a in self.aggregations), default=0)
+            out = out.filter(ts >= first - F.expr(f"INTERVAL {int(reach)} SECONDS"))
+        out = self._features(out)
+        if first is not None:
+            out = out.filter(ts >= first)
         out = out.withColumn("period", F.date_trunc(self.batch_schedule, ts).cast("date"))
         (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("period").parquet(path))
@@ -116,21 +135,24 @@ class FeatureView:
         """Latest value per key (J2), null when older than the ttl relative
         to the latest event time (H17, J3)."""
         out = self._input(df)
-        lat = latest_per_key(out, self.keys[0], self.timestamp_field, tie_col, value_cols)
+        keyed, key = self._keyed(out)
+        lat = self._unkeyed(latest_per_key(keyed, key, self.timestamp_field, tie_col, value_cols), key)
         if self.ttl_seconds is None:
             return lat
         us = F.unix_micros(F.col(self.timestamp_field).cast("timestamp"))
         edge = out.select(F.max(F.unix_micros(F.col(self.timestamp_field).cast("timestamp")))).scalar()
         fresh = us > edge - F.lit(self.ttl_seconds * 1_000_000)
-        return lat.select(self.keys[0], self.timestamp_field, tie_col,
+        return lat.select(*self.keys, self.timestamp_field, tie_col,
                           *[F.when(fresh, F.col(c)).alias(c) for c in value_cols])
 
     def training_rows(self, spine: DataFrame, df: DataFrame, value_cols: list[str], tie_col: str) -> DataFrame:
         """Point-in-time values for every spine row."""
         if self.ttl_seconds is None:
             raise ValueError("a ttl bounds how far back a value counts; set ttl_seconds")
-        return asof_join(spine, self._input(df), self.keys[0], self.timestamp_field, value_cols,
-                         self.ttl_seconds, tie_col)
+        data, key = self._keyed(self._input(df))
+        rows, _ = self._keyed(spine)
+        found = asof_join(rows, data, key, self.timestamp_field, value_cols, self.ttl_seconds, tie_col)
+        return found.drop("_key") if key == "_key" else found
 
 
 @dataclass
@@ -146,9 +168,10 @@ class FeatureService:
         out = spine
         for view, data, cols in self.views:
             vals = view.online(data, cols, tie_col)
-            key = view.keys[0]
-            spine_key = self.key_overrides.get(view.name, {}).get(key, key)
-            vals = vals.select(F.col(key).alias(f"_{view.name}_k"),
+            named = {k: f"_{view.name}_{k}" for k in view.keys}
+            vals = vals.select(*[F.col(k).alias(n) for k, n in named.items()],
                                *[F.col(c).alias(f"{view.name}__{c}") for c in cols])
-            out = out.join(vals, out[spine_key] == vals[f"_{view.name}_k"], "left").drop(f"_{view.name}_k")
+            renamed = self.key_overrides.get(view.name, {})
+            same = [out[renamed.get(k, k)] == vals[n] for k, n in named.items()]
+            out = out.join(vals, same, "left").drop(*named.values())
         return out

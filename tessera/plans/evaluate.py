@@ -192,7 +192,7 @@ def run_summary_q(spark, sf_dir):
 
 # FX8: one extraction answer per order (its lines' [returnflag, linestatus]
 # pairs; line 3 gives a 1-element pair; every 13th answer is malformed) and
-# a small code file per order; urgent orders come from the "rift" folder.
+# a small code file per order; urgent orders come from the "native" folder.
 def fx8_files(spark, sf_dir):
     o = read_table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus", "o_orderpriority")
     li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
@@ -207,7 +207,7 @@ def fx8_files(spark, sf_dir):
     answer = answer.otherwise(F.concat(F.lit('{"declarations": ['), F.col("pairs"), F.lit("]}")))
     code = F.concat(F.lit("# order "), F.col("o_orderkey").cast("string"), F.lit("\nstatus = '"),
                     F.col("o_orderstatus"), F.lit("'\npriority = '"), F.col("o_orderpriority"), F.lit("'\n"))
-    kind = F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), F.lit("rift")).otherwise(F.lit("spark"))
+    kind = F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), F.lit("native")).otherwise(F.lit("spark"))
     return (o.join(ans, o["o_orderkey"] == ans["l_orderkey"])
             .select("o_orderkey", answer.alias("answer"), code.alias("code"), kind.alias("directory_type")))
 
@@ -222,7 +222,7 @@ fx8 AS (SELECT o_orderkey,
                     ELSE '{"declarations": [' || pairs || ']}' END AS answer,
                '# order ' || CAST(o_orderkey AS VARCHAR) || chr(10) || 'status = ''' || o_orderstatus || '''' || chr(10)
                || 'priority = ''' || o_orderpriority || '''' || chr(10) AS code,
-               CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'rift' ELSE 'spark' END AS directory_type
+               CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'native' ELSE 'spark' END AS directory_type
         FROM orders JOIN a ON o_orderkey = l_orderkey),
 ok AS (SELECT * FROM fx8 WHERE json_valid(answer)),
 d AS (SELECT o_orderkey, code, directory_type,
@@ -242,14 +242,14 @@ def example_rows(spark, sf_dir):
 
 
 @register("small_file_filter", sql=f"""WITH f AS (
-  SELECT CASE WHEN CAST(substr(source, 4) AS INTEGER) % 2 = 0 THEN 'rift' ELSE 'spark' END AS directory_type,
+  SELECT CASE WHEN CAST(substr(source, 4) AS INTEGER) % 2 = 0 THEN 'native' ELSE 'spark' END AS directory_type,
          source, text FROM documents)
 SELECT directory_type, source, count(*) AS n_files, CAST(sum(length(text)) AS BIGINT) AS n_chars
 FROM f WHERE length({S.trim_ws('text')}) >= 50 GROUP BY directory_type, source""")
 def small_file_filter(spark, sf_dir):
     """Files per folder kind, tiny files (stripped < 50 chars) skipped (A2, B1, H3)."""
     d = read_table(spark, sf_dir, "documents", "source", "text")
-    kind = F.when(F.substring("source", 4, 100).try_cast("int") % 2 == 0, F.lit("rift")).otherwise(F.lit("spark"))
+    kind = F.when(F.expr("substring(source, 4)").try_cast("int") % 2 == 0, F.lit("native")).otherwise(F.lit("spark"))
     return (d.filter(F.length(trim_ws("text")) >= 50)
             .groupBy(kind.alias("directory_type"), "source")
             .agg(F.count(F.lit(1)).alias("n_files"), F.sum(F.length("text")).cast("long").alias("n_chars")))

@@ -132,12 +132,16 @@ EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
 @register("event_pivot", sql="SELECT user_id, " + ", ".join(
-    f"count(*) FILTER (WHERE event_type = '{t}') AS {t}" for t in EVENT_TYPES) + " FROM events GROUP BY user_id")
+    f"count(*) FILTER (WHERE event_type = '{t}') AS {t}" for t in EVENT_TYPES) + ", count(*) FILTER (WHERE event_type IS NULL OR event_type NOT IN ("
+          + ", ".join(f"'{t}'" for t in EVENT_TYPES) + ")) AS other FROM events GROUP BY user_id")
 def event_pivot(spark, sf_dir):
-    """Counts per event type per user, one column per type (H12). The value
-    list is given, so no extra job computes it."""
+    """Counts per event type per user, one column per type (H12), and one for
+    all types not listed. The value list is given, so no extra job computes it."""
     ev = events(spark, sf_dir, "user_id", "event_type")
-    return ev.groupBy("user_id").pivot("event_type", EVENT_TYPES).count().fillna(0, subset=EVENT_TYPES)
+    kind = F.when(F.col("event_type").isin(EVENT_TYPES), F.col("event_type")).otherwise(F.lit("other"))
+    columns = [*EVENT_TYPES, "other"]
+    return (ev.select("user_id", kind.alias("event_type")).groupBy("user_id").pivot("event_type", columns).count()
+            .fillna(0, subset=columns))
 
 
 @register("sessions_30d", sql=f"""WITH e AS (SELECT user_id, {E_US}(ts) AS t FROM events),

@@ -55,12 +55,15 @@ def ship_code() -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (spark.checkpoint.dir).
 
-    A cluster names a shared folder there; we only fall back to a fresh
-    scratch folder when nothing is configured (local runs and tests).
+    A cluster names a shared folder there. A fresh scratch folder is only made
+    for a local master (tests); elsewhere each executor would write to its own
+    disk, so a missing setting is an error.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith(("local[", "local")) or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="tessera-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if not sc.getCheckpointDir():

@@ -54,11 +54,12 @@ def write_index(spark: SparkSession, index: DataFrame, index_path: str, model: s
 
 
 def upsert_index(current: DataFrame, new_rows: DataFrame) -> DataFrame:
-    """Add rows; a new row replaces an existing one with the same id."""
+    """Add rows; a new row replaces an existing one with the same id. Of
+    several new rows with one id the one of largest content hash stays."""
     both = current.withColumn("_v", F.lit(0)).unionByName(new_rows.withColumn("_v", F.lit(1)))
     cols = [c for c in current.columns if c != "id"]
     # max_by reduces map-side: an id repeated many times is not one hot task
-    return (both.groupBy("id").agg(F.max_by(F.struct(*cols), F.col("_v")).alias("_b"))
+    return (both.groupBy("id").agg(F.max_by(F.struct(*cols), F.struct("_v", F.xxhash64(*cols))).alias("_b"))
             .select("id", "_b.*"))
 
 

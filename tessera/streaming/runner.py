@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,8 +82,10 @@ class VersionedTable:
         if self.version is None:
             try:  # restarted driver: continue from the highest written version
                 self.version = self.spark.read.parquet(self.path).agg(F.max("version")).first()[0]
-            except Exception:  # noqa: BLE001  (nothing written yet)
-                return None
+            except AnalysisException as e:
+                if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                    raise
+                return None  # nothing written yet
             if self.version is None:
                 return None
         return self.spark.read.parquet(self.path).filter(F.col("version") == self.version).drop("version")

@@ -36,7 +36,7 @@ def test_case_validation(spark):
 
 def test_extract_examples(spark):
     code = "user = Entity(name='user', join_keys=[Field('id', Int64)], description='A user of the shop')\n"
-    files = spark.createDataFrame([("a.py", code, "rift"), ("tiny.py", "x = 1", "spark")],
+    files = spark.createDataFrame([("a.py", code, "native"), ("tiny.py", "x = 1", "spark")],
                                   "path string, content string, directory_type string")
     rows = extract_examples(files).collect()
     assert [(r.path, r.text) for r in rows] == [("a.py", "Example of Entity. A user of the shop")]

@@ -159,8 +159,8 @@ def test_files_and_sinks(spark, tmp_path):
     code_root = tmp_path / "code"
     code_root.mkdir()
     (code_root / "x.py").write_text("print(1)\n" * 10)
-    cf, _ = files.read_code_roots(spark, [(str(code_root), "rift"), (str(tmp_path / "missing"), "spark")])
-    assert [r.directory_type for r in cf.collect()] == ["rift"]
+    cf, _ = files.read_code_roots(spark, [(str(code_root), "native"), (str(tmp_path / "missing"), "spark")])
+    assert [r.directory_type for r in cf.collect()] == ["native"]
     out = str(tmp_path / "chunks")
     df = spark.createDataFrame([("x", "1.0"), ("y", "1.1")], "t string, doc_version string")
     files.write_partitioned(df, out, "doc_version")
