@@ -111,8 +111,10 @@ def test_sharding_deep_levels_match_the_statement(spark):
 
 def _mutate(rng, text, n):
     y = list(text)
-    for _ in range(n if y else 0):
-        k = rng.randrange(max(1, len(y)))
+    for _ in range(n):
+        if not y:
+            break
+        k = rng.randrange(len(y))
         y[k:k + 1] = rng.choice([[], [rng.choice("xyz")], [y[k], rng.choice("xyz")]])
     return "".join(y)
 
