@@ -83,19 +83,21 @@ def merge(parts: list[Transform], depth: int) -> tuple[np.ndarray, np.ndarray]:
     first = (np.cumsum(counts) - counts)[counts > 0]
     suffix = np.arange(n, dtype=np.int32)
     parted = np.zeros(n, dtype=np.int16)
-    parted[0] = 1
+    apart = np.zeros(n, dtype=bool)
     block = np.zeros(n, dtype=np.int32)
-    places = np.arange(n, dtype=np.int32)
+    new = np.empty(n, dtype=bool)
     for h in range(1, depth + 1):
         order = np.argsort(before[suffix], kind="stable")
         suffix = longer[suffix[order]]
         suffix[:len(ends)] = ends  # end marks lead each part, in order
         source = block[order]
-        new = np.empty(n, dtype=bool)
         new[0] = True
         np.not_equal(source[1:], source[:-1], out=new[1:])
         new[first] = True
         new[:len(ends)] = True
-        parted[new & (parted == 0)] = h
-        block = np.maximum.accumulate(np.where(parted > 0, places, 0))
+        new &= ~apart
+        if new.any():
+            parted[new] = h
+            apart |= new
+            block = np.cumsum(apart, dtype=np.int32)
     return suffix, parted

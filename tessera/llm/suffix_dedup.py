@@ -40,7 +40,7 @@ from tessera.session import materialize
 LENGTH = 100
 GRAM = 32
 CHUNK_BYTES = 1 << 20
-GROUP_BYTES = 1 << 20  # contexts merged together, unless those of one minimizer are more
+GROUP_BYTES = 1 << 17  # contexts merged together, unless those of one minimizer are more
 SHARDS = 8
 
 
@@ -83,12 +83,16 @@ def _class_of(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _own_repeat(context: bytes, length: int) -> bool:
-    """Whether a string stands twice in the context: only if it has a period,
-    so one of its grams does too."""
+    """Whether a string stands twice in the context. Then the bytes that all
+    its strings have in common, or its middle if they have none, repeat too."""
     n = len(context) - length + 1
     if n < 2:
         return False
-    return context.find(context[n - 1:n - 1 + length]) < n - 1 or len({context[i:i + length] for i in range(n)}) < n
+    if n <= length - 8:
+        core = context[n - 1:length]
+        if context.find(core) == n - 1 and context.find(core, n) < 0:
+            return False
+    return len({context[i:i + length] for i in range(n)}) < n
 
 
 def first_strings(keys: np.ndarray, contexts: list[bytes], length: int) -> list[np.ndarray]:
