@@ -115,7 +115,7 @@ def test_topo_levels_and_cycle(spark):
     assert lv == {"a": 2, "b": 1, "c": 0, "d": 0}
     cyc = spark.createDataFrame([("a", "b"), ("b", "a")], "src string, dst string")
     with pytest.raises(RuntimeError):
-        topo_levels(nodes, cyc, max_depth=5)
+        topo_levels(nodes, cyc)
 
 
 def test_retriever_signature_and_formatting(spark):
