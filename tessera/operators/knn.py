@@ -1,15 +1,20 @@
 """Exact similarity top-k (vector search) as a Spark job.
 
-Plan shape, chosen for large corpora:
-
-* The query side is cut into blocks whose size in bytes is checked before
-  anything is broadcast (``block_bytes``); every block is one scan of the
-  corpus. No Cartesian product is planned and no pair is materialised.
-* Each corpus partition scores its rows against the broadcast block with a
-  matrix product (Arrow batches through ``mapInPandas``) and keeps only a
-  running top-k per query, so a partition emits at most ``k`` rows per query.
-* The global top-k is a ``row_number`` window over those few candidates
-  (Spark plans it with ``WindowGroupLimit``), shuffled by query id only.
+Both sides are dealt into blocks of bounded size by a hash of their rows, and
+every pair of a query block and a corpus block is one group of a cogroup:
+
+* A query row goes to each corpus block and a corpus row to each query block,
+  so a group holds two blocks, whatever the size of either side. Neither side
+  passes through the driver; it only learns two row counts and the vector width.
+* Columns that must match are part of the group key: a query never meets, nor
+  scores, a corpus row with another value.
+* A group is scored by matrix products and emits at most ``k`` rows per query.
+  The global top-k is a ``row_number`` window over those candidates (Spark
+  plans it with ``WindowGroupLimit``), shuffled by query id only.
+
+Each side is read twice (to count it, then to score it): pass a derived index
+as a written table. Repeated query rows are one query. Rows without a vector
+or with a null in a matching column take no part.
 """
 
 from __future__ import annotations
@@ -18,11 +23,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DEFAULT_BLOCK_BYTES = 32 * 1024 * 1024   # query block broadcast per corpus scan
+DEFAULT_BLOCK_BYTES = 8 * 1024 * 1024    # vectors of one block
+SMALL_BLOCK_ROWS = 512                   # corpus blocks are not cut below this only for more tasks
 SCORE_CELLS = 4 * 1024 * 1024            # score-matrix cells held at once per task
 SCORE_DECIMALS = 12  # matrix products of equal vectors can differ in the last bit; ties must stay ties
 
@@ -48,45 +54,49 @@ def _topk_merge(best_s, best_i, s, ids, k):
     return np.ascontiguousarray(all_s), np.ascontiguousarray(all_i)
 
 
-def _make_scorer(bc, k, doc_id, doc_vec, part_cols, exclude_self, normalize):
-    def score(batches):
-        blk = bc.value
-        qids, qmat, qkeys = blk["ids"], blk["mat"], blk["keys"]
+def _unit(mat: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(mat, axis=1)
+    norm[norm == 0] = np.inf
+    return mat / norm[:, None]
+
+
+def _make_scorer(k, exclude_self, normalize):
+    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
+        qids, ids = left["_qid"].to_numpy(), right["_did"].to_numpy()
+        qmat, dmat = _as_matrix(left["_vec"]), _as_matrix(right["_vec"])
         if normalize:
-            qn = np.linalg.norm(qmat, axis=1)
-            qn[qn == 0] = np.inf
-            qmat = qmat / qn[:, None]
+            qmat, dmat = _unit(qmat), _unit(dmat)
         best_s = best_i = None
-        chunk = max(256, SCORE_CELLS // max(1, len(qids)))
-        for pdf in batches:
-            pdf = pdf[pdf[doc_vec].notna()]
-            for start in range(0, len(pdf), chunk):
-                part = pdf.iloc[start:start + chunk]
-                dmat = _as_matrix(part[doc_vec])
-                if dmat.size == 0:
-                    continue
-                if normalize:
-                    dn = np.linalg.norm(dmat, axis=1)
-                    dn[dn == 0] = np.inf
-                    dmat = dmat / dn[:, None]
-                s = np.round(qmat @ dmat.T, SCORE_DECIMALS)
-                ids = part[doc_id].to_numpy()
-                if exclude_self:
-                    s = np.where(qids[:, None] == ids[None, :], -np.inf, s)
-                for j, c in enumerate(part_cols):
-                    dk = part[c].to_numpy()
-                    s = np.where(qkeys[j][:, None] == dk[None, :], s, -np.inf)
-                best_s, best_i = _topk_merge(best_s, best_i, s, ids, k)
-        if best_s is None:
-            return
-        qi = np.repeat(qids, best_s.shape[1])
-        out = pd.DataFrame({"query_id": qi, "doc_id": best_i.ravel(), "score": best_s.ravel()})
-        out = out[np.isfinite(out["score"].to_numpy())]
-        if len(out):
-            yield out
+        chunk = max(256, SCORE_CELLS // len(qids))
+        for start in range(0, len(ids), chunk):
+            part = slice(start, start + chunk)
+            s = np.round(qmat @ dmat[part].T, SCORE_DECIMALS)
+            if exclude_self:
+                s = np.where(qids[:, None] == ids[None, part], -np.inf, s)
+            best_s, best_i = _topk_merge(best_s, best_i, s, ids[part], k)
+        out = pd.DataFrame({"query_id": np.repeat(qids, best_s.shape[1]), "doc_id": best_i.ravel(),
+                            "score": best_s.ravel()})
+        return out[np.isfinite(out["score"].to_numpy())]
     return score
 
 
+def _side(df: DataFrame, row_id: str, vec: str, keys: tuple[str, ...], name: str) -> DataFrame:
+    """(name, _vec, _k0 ..): the rows that can take part."""
+    cols = [F.col(row_id).alias(name), F.col(vec).alias("_vec"),
+            *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)]]
+    return df.select(*cols).dropna(subset=["_vec", *[f"_k{i}" for i in range(len(keys))]])
+
+
+def _block(row_id: str, n: int) -> Column:
+    return F.pmod(F.xxhash64(row_id, "_vec"), F.lit(n)).cast("int")
+
+
+def _every(n: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+
 def similarity_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, *,
                     query_id: str = "query_id", query_vec: str = "vector",
                     doc_id: str = "id", doc_vec: str = "vector",
@@ -96,56 +106,26 @@ def similarity_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, *,
 
     ``match_cols``: per-query equality filters; a query only sees corpus rows
     whose columns equal its own (the batch form of a metadata pre-filter).
-    Returns ``(query_id, rank, doc_id, score)`` with the caller's id names.
+    ``block_bytes`` bounds the vectors of a block on average; a result does not
+    depend on it. Returns ``(query_id, rank, doc_id, score)`` with the caller's
+    id names.
     """
-    spark = queries.sparkSession
-    normalize = metric == "cosine"
-    q = queries.select(F.col(query_id).alias("_qid"), F.col(query_vec).alias("_qv"),
-                       *[F.col(c).alias(f"_qk{i}") for i, c in enumerate(match_cols)]) \
-        .filter(F.col("_qv").isNotNull())
-    # the query side feeds the size check and every block collect: compute
-    # it once (released below, once the blocks are broadcast)
-    q = q.persist()
-    # size check before any broadcast: count and vector width of the query side
-    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_qv")).alias("d")).first()
-    n_q, dim = int(stats["n"]), int(stats["d"] or 0)
-    id_type = corpus.schema[doc_id].dataType
-    qid_type = queries.schema[query_id].dataType
-    out_schema = T.StructType([T.StructField("query_id", qid_type),
-                               T.StructField("doc_id", id_type),
+    q = _side(queries, query_id, query_vec, match_cols, "_qid").dropDuplicates()
+    d = _side(corpus, doc_id, doc_vec, match_cols, "_did")
+    n_q, width = q.agg(F.count("*"), F.max(F.size("_vec"))).first()
+    n_d = d.count()
+    per_block = max(1, block_bytes // (8 * (width or 0) + 64))
+    tasks = queries.sparkSession.sparkContext.defaultParallelism
+    q_blocks = max(1, math.ceil(n_q / per_block))
+    d_blocks = max(1, math.ceil(n_d / per_block), min(tasks, n_d // SMALL_BLOCK_ROWS))
+    keys = ["_qb", "_db", *[f"_k{i}" for i in range(len(match_cols))]]
+    left = q.withColumn("_qb", _block("_qid", q_blocks)).withColumn("_db", _every(d_blocks))
+    right = d.withColumn("_db", _block("_did", d_blocks)).withColumn("_qb", _every(q_blocks))
+    out_schema = T.StructType([T.StructField("query_id", queries.schema[query_id].dataType),
+                               T.StructField("doc_id", corpus.schema[doc_id].dataType),
                                T.StructField("score", T.DoubleType())])
-    if n_q == 0:
-        q.unpersist()
-        empty = spark.createDataFrame([], out_schema)
-        return _finish(empty, k, query_id, doc_id)
-    row_bytes = max(1, dim) * 8 + 64
-    per_block = max(1, block_bytes // row_bytes)
-    n_blocks = math.ceil(n_q / per_block)
-    block_of = lambda nb: F.pmod(F.xxhash64("_qid"), F.lit(nb))
-    while n_blocks > 1:
-        # hash blocks are uneven: check every block against the bound (twice
-        # the nominal block, one small aggregation) and use more blocks until
-        # all fit
-        largest = q.groupBy(block_of(n_blocks).alias("b")).count().agg(F.max("count")).first()[0]
-        if largest <= 2 * per_block:
-            break
-        n_blocks *= 2
-    corpus_p = corpus.select(doc_id, doc_vec, *match_cols)
-    parts = []
-    for b in range(n_blocks):
-        blk = q if n_blocks == 1 else q.filter(block_of(n_blocks) == b)
-        pdf = blk.toPandas()
-        if pdf.empty:
-            continue
-        payload = {"ids": pdf["_qid"].to_numpy(), "mat": _as_matrix(pdf["_qv"]),
-                   "keys": [pdf[f"_qk{i}"].to_numpy() for i in range(len(match_cols))]}
-        bc = spark.sparkContext.broadcast(payload)
-        fn = _make_scorer(bc, k, doc_id, doc_vec, list(match_cols), exclude_self, normalize)
-        parts.append(corpus_p.mapInPandas(fn, out_schema))
-    q.unpersist()
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
+    cand = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
+        _make_scorer(k, exclude_self, metric == "cosine"), out_schema)
     return _finish(cand, k, query_id, doc_id)
 
 

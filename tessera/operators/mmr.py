@@ -15,8 +15,7 @@ from pyspark.sql import types as T
 
 from tessera.operators.knn import SCORE_DECIMALS as ROUND
 from tessera.operators.knn import similarity_topk
-
-MAX_BROADCAST_IDS = 2_000_000  # ids (8 bytes each) a pool may broadcast
+from tessera.session import materialize
 
 
 def mmr_order(ids: np.ndarray, rel: np.ndarray, vecs: np.ndarray, k: int,
@@ -62,13 +61,11 @@ def mmr_rerank(queries: DataFrame, corpus: DataFrame, k: int = 10, fetch_k: int
     pool = similarity_topk(queries, corpus, k=fetch_k, query_id=query_id, query_vec=query_vec,
                            doc_id=doc_id, doc_vec=doc_vec, match_cols=match_cols,
                            exclude_self=exclude_self)
+    pool = materialize(pool, "mmr-pool")  # read twice
     # vectors of pool members only: the corpus is filtered by the pool's ids
-    # (a semi join) instead of shuffling every corpus vector into a join. The
-    # id set holds at most queries x fetch_k ids: broadcast when that bound is
-    # small, else a shuffled semi join.
+    # (a semi join, broadcast by adaptive execution where the ids turn out few)
+    # instead of shuffling every corpus vector into a join
     ids = pool.select(doc_id).distinct()
-    if queries.count() * fetch_k <= MAX_BROADCAST_IDS:
-        ids = F.broadcast(ids)
     vecs = corpus.select(doc_id, doc_vec).join(ids, doc_id, "left_semi")
     pool = pool.join(vecs, doc_id)
     qtype = pool.schema[query_id].dataType

@@ -77,8 +77,8 @@ def _search_chunks(spark, sf_dir, k=10, dim=64):
     chunks = materialize(chunk_index(spark, sf_dir), "chunk-index")
     bench = read_table(spark, sf_dir, "benchmark", "item_id", "text")
     model = HashingEmbedder(dim).fit(chunks, "chunk_id", "text_chunk", cache=False)
-    cvec = model.transform(chunks, "chunk_id", "text_chunk")
-    qvec = model.transform(bench, "item_id", "text")
+    cvec = materialize(model.transform(chunks, "chunk_id", "text_chunk"), "chunk-vectors")
+    qvec = materialize(model.transform(bench, "item_id", "text"), "query-vectors")
     hits = similarity_topk(qvec.withColumnRenamed("item_id", "query_id"), cvec, k, query_id="query_id",
                            query_vec="vector", doc_id="chunk_id", doc_vec="vector")
     return hits, chunks
@@ -148,6 +148,7 @@ def multi_model_hits(spark, sf_dir):
             F.lit(f"hash-{d}").alias("model"))
         idx = c if idx is None else idx.unionByName(c)
         qs = q if qs is None else qs.unionByName(q)
+    idx, qs = materialize(idx, "model-vectors"), materialize(qs, "model-queries")
     hits = similarity_topk(qs, idx, 5, query_id="qkey", query_vec="vector", doc_id="chunk_id",
                            doc_vec="vector", match_cols=("model",))
     return hits.join(qs.select("qkey", "model", F.col("item_id").alias("query_id")), "qkey").select(
@@ -174,7 +175,8 @@ def hit_blocks_distinct(spark, sf_dir):
         (F.col("o_orderkey") * 100 + F.col("pos")).alias("ex_id"), "text", "code"), "example-index")
     bench = read_table(spark, sf_dir, "benchmark", "item_id", "text")
     m = HashingEmbedder(64).fit(ex, "ex_id", "text", cache=False)
-    hits = similarity_topk(m.transform(bench, "item_id", "text").withColumnRenamed("item_id", "query_id"),
-                           m.transform(ex, "ex_id", "text"), 10, query_id="query_id", query_vec="vector",
+    qvec = materialize(m.transform(bench, "item_id", "text"), "query-vectors")
+    evec = materialize(m.transform(ex, "ex_id", "text"), "example-vectors")
+    hits = similarity_topk(qvec.withColumnRenamed("item_id", "query_id"), evec, 10, query_id="query_id", query_vec="vector",
                            doc_id="ex_id", doc_vec="vector")
     return format_code_hits(hits.join(ex.select("ex_id", "code"), "ex_id"))

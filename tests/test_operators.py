@@ -48,6 +48,34 @@ def test_topk_matches_brute_force_and_blocks(spark):
         assert res == want
 
 
+def test_topk_with_repeated_queries_and_null_keys(spark):
+    c = _vecs(spark)
+    q = c.where("id = 1").withColumnRenamed("id", "qid")
+    many = q.crossJoin(spark.range(300)).drop("id")  # one query given 300 times
+    once = similarity_topk(q, c, 5, query_id="qid", doc_id="id").collect()
+    assert sorted(similarity_topk(many, c, 5, query_id="qid", doc_id="id", block_bytes=1280).collect()) == sorted(once)
+    keyed = c.withColumn("key", F.when(F.col("id") % 3 > 0, F.col("id") % 3))
+    got = similarity_topk(keyed.withColumnRenamed("id", "qid"), keyed, 3, query_id="qid", doc_id="id",
+                          match_cols=("key",), block_bytes=1280).collect()
+    assert got and all(r.qid % 3 == r.id % 3 != 0 for r in got)
+    assert similarity_topk(q.where("false"), c, 5, query_id="qid", doc_id="id").count() == 0
+
+
+def test_topk_reads_no_query_rows_on_the_driver(spark, monkeypatch):
+    frame, read = type(spark.range(1)), []
+    collect = frame.collect
+
+    def spied(self):
+        rows = collect(self)
+        read.append(len(rows))
+        return rows
+    monkeypatch.setattr(frame, "collect", spied)
+    monkeypatch.delattr(frame, "toPandas")
+    c = _vecs(spark)
+    assert similarity_topk(c.withColumnRenamed("id", "qid"), c, 5, query_id="qid", doc_id="id").count() > 0
+    assert sum(read) <= 1  # the row counts and the width
+
+
 def test_plan_has_no_cartesian(spark):
     c = _vecs(spark)
     df = similarity_topk(c.withColumnRenamed("id", "qid"), c, 5, query_id="qid", doc_id="id")
