@@ -75,29 +75,32 @@ def merge(parts: list[Transform], depth: int) -> tuple[np.ndarray, np.ndarray]:
     base = np.concatenate(([0], np.cumsum(sizes)))
     n = int(base[-1])
     before = np.concatenate([t.before for t in parts])
-    longer = np.empty(n, dtype=np.int32)  # the suffix one byte longer, in its own part
+    longer = np.empty(n, dtype=np.intp)  # the suffix one byte longer, in its own part
     for k, t in enumerate(parts):
         longer[base[k] + np.argsort(t.before, kind="stable")] = np.arange(base[k], base[k + 1])
     ends = np.concatenate([np.arange(base[k], base[k] + np.count_nonzero(t.before == 0)) for k, t in enumerate(parts)])
     counts = np.bincount(before, minlength=256)
     first = (np.cumsum(counts) - counts)[counts > 0]
-    suffix = np.arange(n, dtype=np.int32)
+    suffix, held = np.arange(n), np.empty(n, dtype=np.intp)
+    byte = np.empty(n, dtype=np.uint8)
     parted = np.zeros(n, dtype=np.int16)
-    apart = np.zeros(n, dtype=bool)
-    block = np.zeros(n, dtype=np.int32)
+    apart = np.zeros(n, dtype=np.int32)
+    block, source = np.zeros(n, dtype=np.int32), np.empty(n, dtype=np.int32)
     new = np.empty(n, dtype=bool)
     for h in range(1, depth + 1):
-        order = np.argsort(before[suffix], kind="stable")
-        suffix = longer[suffix[order]]
+        # "clip" only spares the check of indexes, which are all within bounds.
+        order = np.argsort(np.take(before, suffix, out=byte, mode="clip"), kind="stable")
+        np.take(longer, np.take(suffix, order, out=held, mode="clip"), out=suffix, mode="clip")
         suffix[:len(ends)] = ends  # end marks lead each part, in order
-        source = block[order]
+        np.take(block, order, out=source, mode="clip")
         new[0] = True
         np.not_equal(source[1:], source[:-1], out=new[1:])
         new[first] = True
         new[:len(ends)] = True
-        new &= ~apart
-        if new.any():
-            parted[new] = h
-            apart |= new
-            block = np.cumsum(apart, dtype=np.int32)
+        new &= apart == 0
+        at = np.flatnonzero(new)
+        if len(at):
+            parted[at] = h
+            apart[at] = 1
+            np.cumsum(apart, out=block)
     return suffix, parted

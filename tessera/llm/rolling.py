@@ -85,16 +85,18 @@ class Windows:
     def runs(self, chosen: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first, end) of the maximal runs of chosen windows of one sequence
         that share a key."""
-        at = np.nonzero(chosen & self.valid)[0]
-        if not len(at):
-            return at, at
-        first = np.zeros(len(at), dtype=bool)
-        first[0] = True
-        first[1:] = (np.diff(at) != 1) | (self.key[at[1:]] != self.key[at[:-1]])
-        first[np.isin(at, starts)] = True
-        f = np.nonzero(first)[0]
-        end = np.concatenate((f[1:], [len(at)])) - 1
-        return at[f], at[end] + 1
+        if not self.n:
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        chosen = chosen & self.valid
+        cut = np.ones(self.n, dtype=bool)  # no run goes on over these windows
+        np.not_equal(self.key[1:], self.key[:-1], out=cut[1:])
+        cut[1:] |= ~chosen[:-1]
+        cut[starts[starts < self.n]] = True
+        cut |= ~chosen
+        at = np.flatnonzero(cut)
+        end = np.append(at[1:], self.n)
+        is_run = chosen[at]
+        return at[is_run], end[is_run]
 
 
 def cover(flagged: np.ndarray, length: int, n: int) -> np.ndarray:

@@ -71,10 +71,9 @@ def _word_windows(texts: list[bytes], known: _WordHash, window: int):
 
 def _runs(ids, starts, win, sketch, bits, window):
     """Runs of windows that may repeat: (first, end, key, payload)."""
-    chosen = win.valid.copy()
-    at = np.nonzero(chosen)[0]
-    chosen[at] = count_min.may_repeat(win.key[at], sketch, bits)
-    first, end = win.runs(chosen, starts)
+    first, end = win.runs(win.valid, starts)
+    chosen = count_min.may_repeat(win.key[first], sketch, bits)
+    first, end = first[chosen], end[chosen]
     if not len(first):
         return first, end, np.empty(0, dtype=np.int64), []
     h = rolling.window_hash(ids, window, rolling.WINDOW_BASE)

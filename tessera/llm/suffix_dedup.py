@@ -10,8 +10,10 @@ never too low). A minimizer whose runs all have one and the same context needs
 no comparison: every occurrence after the first goes whole.
 
 What is left are minimizers with several contexts. Their contexts, each once,
-are dealt by minimizer; a task forms shards of them, builds the transform of
-each and merges these by iterative interleave refinement (``bwt.merge``).
+are dealt by minimizer; a task cuts them to the pieces whose strings may stand
+twice (equal strings have equal hashes, so none is lost), forms shards of the
+pieces, builds the transform of each and merges these by iterative interleave
+refinement (``bwt.merge``), which compares bytes.
 After ``length`` rounds the places that have not parted are the repeated
 intervals; the earliest place of an interval keeps its string.
 
@@ -39,7 +41,7 @@ from tessera.session import materialize
 
 LENGTH = 100
 GRAM = 32
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18  # texts handled as one array
 GROUP_BYTES = 1 << 17  # contexts merged together, unless those of one minimizer are more
 SHARDS = 8
 
@@ -66,10 +68,9 @@ def _windows(texts: list[bytes], length: int):
 def _contexts(texts, length, may):
     """(text, start, strings, key, context) of the runs whose key passes ``may``."""
     laid, starts, win = _windows(texts, length)
-    chosen = win.valid.copy()
-    at = np.nonzero(chosen)[0]
-    chosen[at] = may(win.key[at])
-    first, end = win.runs(chosen, starts)
+    first, end = win.runs(win.valid, starts)
+    chosen = may(win.key[first])
+    first, end = first[chosen], end[chosen]
     doc = np.searchsorted(starts, first, side="right") - 1
     context = [laid[a:b + length - 1] for a, b in zip(first.tolist(), end.tolist(), strict=True)]
     return doc, first - starts[doc], end - first, win.key[first].view(np.int64), context
@@ -95,9 +96,45 @@ def _own_repeat(context: bytes, length: int) -> bool:
     return len({context[i:i + length] for i in range(n)}) < n
 
 
+def _pieces(contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, first, end) of the maximal runs of strings whose hash stands
+    elsewhere in the contexts too; a string outside them stands once."""
+    size = np.array([len(c) for c in contexts], dtype=np.int64)
+    starts = np.cumsum(size) - size
+    ids = np.frombuffer(b"".join(contexts), dtype=np.uint8).astype(np.uint64) + np.uint64(1)
+    row = np.repeat(np.arange(len(contexts)), size - length + 1)
+    ordinal = np.arange(len(row)) - np.repeat(np.cumsum(size - length + 1) - (size - length + 1), size - length + 1)
+    value = rolling.window_hash(ids, length, rolling.WINDOW_BASE)[starts[row] + ordinal]
+    order = np.argsort(value)
+    same = np.concatenate(([False], np.diff(value[order]) == 0, [False]))
+    twice = np.zeros(len(row), dtype=bool)
+    twice[order] = same[1:] | same[:-1]
+    at = np.flatnonzero(twice)
+    if not len(at):
+        return at, at, at
+    begin = np.concatenate(([True], (np.diff(at) != 1) | (np.diff(row[at]) != 0)))
+    first = at[begin]
+    last = at[np.concatenate((np.flatnonzero(begin)[1:], [len(at)])) - 1]
+    return row[first], ordinal[first], ordinal[last] + 1
+
+
 def first_strings(keys: np.ndarray, contexts: list[bytes], length: int) -> list[np.ndarray]:
     """For every context a mask of its strings: set if no equal string stands
-    earlier among the contexts of its key, which are in order of place."""
+    earlier among the contexts of its key, which are in order of place. Only
+    the pieces of contexts whose strings may stand twice are merged."""
+    out = [np.ones(len(c) - length + 1, dtype=bool) for c in contexts]
+    row, first, end = _pieces(contexts, length)
+    spans = list(zip(row.tolist(), first.tolist(), end.tolist(), strict=True))
+    masks = _first_in_pieces(keys[row], [contexts[i][a:b + length - 1] for i, a, b in spans], length)
+    for (i, a, b), mask in zip(spans, masks, strict=True):
+        out[i][a:b] = mask
+    return out
+
+
+def _first_in_pieces(keys: np.ndarray, contexts: list[bytes], length: int) -> list[np.ndarray]:
+    """``first_strings`` by merged transforms, some keys at a time."""
+    if not contexts:
+        return []
     out = [np.empty(0, dtype=bool)] * len(contexts)
     cut = np.concatenate(([0], np.nonzero(np.diff(keys))[0] + 1, [len(keys)]))
     group, held = [], 0
