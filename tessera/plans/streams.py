@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 from tessera.operators.features import latest_per_key
 from tessera.plans.registry import register
 from tessera.sources.tables import read_table
-from tessera.streaming.features import (dedup_events, latest_state, sliding_aggregates, upsert_latest,
-                                        with_event_time)
-from tessera.streaming.runner import FileStream, VersionedTable, time_slices
+from tessera.streaming.features import dedup_events, sliding_aggregates, with_event_time
+from tessera.streaming.runner import ChangeLog, FileStream, time_slices
 
 N_SLICES = 4
 MIN_US = 60 * 1_000_000
@@ -66,35 +65,36 @@ def stream_dedup(spark, sf_dir):
 @register("stream_latest", sql="""SELECT user_id, ts, event_id, value, event_type FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
 def stream_latest(spark, sf_dir):
-    """Latest value per user kept in keyed state (applyInPandasWithState);
-    the sink is the change log, compacted to its latest row per user; it
-    equals the batch latest values (J2, J4)."""
+    """Latest value per user: a running max_by in update mode, so each
+    micro-batch hands on the users it changed to the change log, whose latest
+    rows equal the batch latest values (J2, J4)."""
     ev, fs = _event_stream(spark, sf_dir, "stream-latest", "user_id", "ts", "event_id", "value", "event_type")
+    log = ChangeLog(spark, f"{fs.base}/log")
     for sl in time_slices(ev, "ts", N_SLICES):
         fs.land(sl)
-        fs.run_append(lambda s: latest_state(s, "user_id", "ts", "event_id", ["value", "event_type"]))
-    log = fs.read_sink()
-    lat = latest_per_key(log, "user_id", "ts", "event_id", ["value", "event_type"])
+        fs.run_foreach_batch(lambda s: latest_per_key(s, "user_id", "ts", "event_id", ["value", "event_type"]),
+                             log.write, mode="update")
+    lat = latest_per_key(log.read(), "user_id", "ts", "event_id", ["value", "event_type"])
     return lat.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id", "value", "event_type")
 
 
 @register("stream_ingest", sql="""SELECT md5(text) AS id, doc_id, n_chars FROM documents
 QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id DESC) = 1""")
 def stream_ingest(spark, sf_dir):
-    """New documents arrive as files; every micro-batch is upserted by
-    content id (md5 of the text) into a versioned table; the newest copy
-    of a text wins (J5, A8)."""
+    """New documents arrive as files; every micro-batch appends its rows, one
+    per content id (md5 of the text), to the change log; the newest copy of a
+    text wins on read (J5, A8)."""
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "n_chars")
     fs = FileStream(spark, "stream-ingest", docs.schema)
-    table = VersionedTable(spark, f"{fs.base}/table")
+    log = ChangeLog(spark, f"{fs.base}/log")
 
-    def handle(batch, epoch_id):
+    def handle(batch, epoch):
         rows = batch.select(F.md5("text").alias("id"), "doc_id", "n_chars")
-        table.write(upsert_latest(table.current(), rows, "id", "doc_id"), epoch_id)
+        log.write(latest_per_key(rows, "id", "doc_id", "doc_id", ["n_chars"]), epoch)
 
     lo, hi = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     step = (hi - lo) // N_SLICES + 1
     for i in range(N_SLICES):
         fs.land(docs.filter((F.col("doc_id") >= lo + i * step) & (F.col("doc_id") < lo + (i + 1) * step)))
         fs.run_foreach_batch(lambda s: s, handle)
-    return table.current().select("id", "doc_id", "n_chars")
+    return latest_per_key(log.read(), "id", "doc_id", "doc_id", ["n_chars"]).select("id", "doc_id", "n_chars")

@@ -6,15 +6,8 @@ Every transformation here takes a DataFrame that may be batch or streaming
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from tessera.operators.features import latest_per_key
 
 
 def with_event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
@@ -41,43 +34,3 @@ def dedup_events(df: DataFrame, id_col: str, ts: str, delay: str = "1 hour") ->
     if df.isStreaming:
         return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark([id_col])
     return df.dropDuplicates([id_col])
-
-
-def latest_state(df: DataFrame, key: str, ts: str, tie_col: str, cols: list[str]) -> DataFrame:
-    """Latest row per key kept in keyed state (J2): each micro-batch emits
-    the keys whose latest row changed (a change log of online values)."""
-    fields = [df.schema[c] for c in [key, ts, tie_col, *cols]]
-    out_schema = T.StructType(fields)
-    state_schema = T.StructType([T.StructField("ts_us", T.LongType()), T.StructField("tie", T.LongType()),
-                                 T.StructField("row", T.StringType())])
-    order_cols = [ts, tie_col]
-    names = [f.name for f in fields]
-
-    def step(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best = None
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            top = pdf.sort_values(order_cols).iloc[-1]
-            if best is None or (top[ts], top[tie_col]) > (best[ts], best[tie_col]):
-                best = top
-        if best is None:
-            return
-        cur_us = int(pd.Timestamp(best[ts]).value // 1000)
-        if state.exists:
-            prev_us, prev_tie, _ = state.get
-            if (prev_us, prev_tie) >= (cur_us, int(best[tie_col])):
-                return
-        state.update((cur_us, int(best[tie_col]), ""))
-        yield pd.DataFrame([{n: best[n] for n in names}])
-
-    return df.groupBy(key).applyInPandasWithState(step, out_schema, state_schema, "append",
-                                                  GroupStateTimeout.NoTimeout)
-
-
-def upsert_latest(current: DataFrame | None, batch: DataFrame, key: str, order_col: str) -> DataFrame:
-    """Merge a micro-batch into a keyed table: per key the row with the
-    largest ``order_col`` wins (upsert by id, J5)."""
-    both = batch if current is None else current.unionByName(batch)
-    cols = [c for c in both.columns if c not in (key, order_col)]
-    return latest_per_key(both, key, order_col, order_col, cols).select(*both.columns)

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,8 +45,8 @@ class FileStream:
             raise q.exception()
 
     def run_foreach_batch(self, build: Callable[[DataFrame], DataFrame],
-                          handle: Callable[[DataFrame, int], None]) -> None:
-        q = (build(self.read()).writeStream.foreachBatch(handle)
+                          handle: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+        q = (build(self.read()).writeStream.foreachBatch(handle).outputMode(mode)
              .option("checkpointLocation", self.checkpoint)
              .trigger(availableNow=True).start())
         q.awaitTermination()
@@ -70,27 +69,18 @@ def time_slices(df: DataFrame, ts: str, n: int) -> list[DataFrame]:
     return [df.filter((t >= lo + i * step) & (t < lo + (i + 1) * step)) for i in range(n)]
 
 
-class VersionedTable:
-    """A keyed table merged batch by batch. Each micro-batch writes a new
-    version partition (dynamic overwrite, so a re-run batch replaces its own
-    version: idempotent); readers take the highest version."""
+class ChangeLog:
+    """Rows of keyed updates, appended batch by batch: one folder per
+    micro-batch, and a batch that is run again replaces its own folder. Earlier
+    batches are never rewritten; readers take the latest row of a key
+    (``latest_per_key``)."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.version = spark, path, None
-
-    def current(self) -> DataFrame | None:
-        if self.version is None:
-            try:  # restarted driver: continue from the highest written version
-                self.version = self.spark.read.parquet(self.path).agg(F.max("version")).first()[0]
-            except AnalysisException as e:
-                if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                    raise
-                return None  # nothing written yet
-            if self.version is None:
-                return None
-        return self.spark.read.parquet(self.path).filter(F.col("version") == self.version).drop("version")
-
-    def write(self, df: DataFrame, version: int) -> None:
-        (df.withColumn("version", F.lit(version)).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(self.path))
-        self.version = version
+        self.spark, self.path = spark, path
+
+    def write(self, batch: DataFrame, epoch: int) -> None:
+        (batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(self.path))
+
+    def read(self) -> DataFrame:
+        return self.spark.read.parquet(self.path).drop("epoch")
