@@ -96,6 +96,19 @@ def test_suffix_on_the_small_table(spark):
     assert got == brute_suffix(texts, 100)
 
 
+@pytest.mark.parametrize("length", [1, 2, 5, 8])
+def test_first_strings_match_brute_force(length):
+    rng = random.Random(length)
+    for _ in range(100):
+        contexts = [bytes(rng.choice(b"abc") for _ in range(length + rng.randint(0, 20))) for _ in range(rng.randint(1, 25))]
+        masks = suffix_dedup.first_strings(np.zeros(len(contexts), dtype=np.int64), contexts, length)
+        seen = set()
+        for context, mask in zip(contexts, masks, strict=True):
+            for i in range(len(context) - length + 1):
+                assert mask[i] == (context[i:i + length] not in seen)
+                seen.add(context[i:i + length])
+
+
 def test_bwt_merge_sorts_and_finds_repeats():
     rng = random.Random(2)
     for _ in range(60):
