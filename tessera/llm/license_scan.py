@@ -7,11 +7,11 @@ without one takes the licence of the nearest ancestor directory (its own
 first) in which a licence file was recognised.
 
 A word's weight is (1 + ln tf) * idf, idf = 1 + ln((1 + N) / (1 + df)) with df
-counted over all files. Words that are in no template carry the largest idf
-(df = 0): they only lengthen a unit's vector. Few lines can reach the
-threshold, and they are found exactly: without a template's heaviest words,
-up to where the rest's norm falls below the threshold, no unit can reach it
-(prefix filtering). Only units that hold such a word are scored.
+counted over all files, for the words of the templates and all words of the
+units scored. Few lines can reach the threshold, and they are found exactly:
+without a template's heaviest words, up to where the rest's norm falls below
+the threshold, no unit can reach it (prefix filtering). Only units that hold
+such a word are scored.
 
 All of it is DataFrame functions. The templates are a fixed short list;
 corpus tables are joined on words and directories only. Ancestors are joined
@@ -69,23 +69,35 @@ def _template_words() -> list[dict[str, int]]:
     return out
 
 
+def _file_words(files: DataFrame, text_col: str) -> Column:
+    """The words of a file, '' among them; none for a null text."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    return F.split(F.lower(text), r"[.-]*[^\p{L}\p{N}.-]+[.-]*|^[.-]+|[.-]+$")
+
+
 def document_frequencies(files: DataFrame, text_col: str = "text") -> tuple[int, dict[str, int]]:
     """Number of files, and how many of them hold each template word."""
     vocabulary = sorted({w for t in _template_words() for w in t})
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    held = F.array_intersect(F.split(F.lower(text), r"[.-]*[^\p{L}\p{N}.-]+[.-]*|^[.-]+|[.-]+$"),
-                             F.array(*(F.lit(w) for w in vocabulary)))
+    held = F.array_intersect(_file_words(files, text_col), F.array(*(F.lit(w) for w in vocabulary)))
     rows = (files.select(F.explode(F.concat(held, F.array(F.lit(None).cast("string")))).alias("w"))
             .groupBy("w").agg(F.count("*").alias("n")).collect())  # the vocabulary, and null for all files
     df = {r["w"]: r["n"] for r in rows}
     return df.pop(None, 0), df
 
 
+def unit_idf(files: DataFrame, units: DataFrame, n_files: int, text_col: str = "text") -> DataFrame:
+    """(word, idf) of every word of the units, counted over all files."""
+    wanted = units.select(F.explode("words").alias("word")).distinct()
+    held = files.select(F.explode(F.array_distinct(_file_words(files, text_col))).alias("word"))
+    # Counted before the join: a task hands on each word once, however many files hold it.
+    df = held.groupBy("word").agg(F.count("*").alias("df")).join(wanted, "word")
+    return df.select("word", (1 + F.log(F.lit(1.0 + n_files) / (1 + F.col("df")))).alias("idf"))
+
+
 class Weights:
     """Idf and template vectors, from the corpus frequencies."""
 
     def __init__(self, n_files: int, df: dict[str, int], threshold: float):
-        self.other = 1 + math.log(1 + n_files)
         words = _template_words()
         self.idf = {w: 1 + math.log((1 + n_files) / (1 + df.get(w, 0))) for t in words for w in t}
         self.vectors, self.anchors = [], set()
@@ -126,11 +138,11 @@ def own_licences(files: DataFrame, threshold: float = THRESHOLD, path_col: str =
     distinct = materialize(distinct, "license-distinct")
     tf = distinct.select("unit", F.explode("words").alias("word")).groupBy("unit", "word").agg(
         (1 + F.log(F.count("*"))).alias("tf"))
-    idf = spark.createDataFrame(sorted(w.idf.items()), "word string, idf double")
+    idf = unit_idf(files, distinct, n, text_col)
     parts = spark.createDataFrame([(i, TEMPLATES[i][0], word, x) for i, v in enumerate(w.vectors)
                                    for word, x in sorted(v.items())], "t int, license string, word string, x double")
-    weighed = tf.join(F.broadcast(idf), "word", "left").select(
-        "unit", "word", (F.col("tf") * F.coalesce("idf", F.lit(w.other))).alias("y"))
+    weighed = materialize(tf.join(idf, "word").select("unit", "word", (F.col("tf") * F.col("idf")).alias("y")),
+                          "license-weights")
     norms = weighed.groupBy("unit").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("norm"))
     dots = weighed.join(F.broadcast(parts), "word").groupBy("unit", "t", "license").agg(
         F.sum(F.col("x") * F.col("y")).alias("dot"))

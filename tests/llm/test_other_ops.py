@@ -2,6 +2,7 @@
 the pipeline: brute force, oracles and edge cases."""
 import collections
 import random
+import re
 
 import pytest
 
@@ -238,6 +239,36 @@ def test_licences_and_inheritance(spark):
     assert license_scan.scan(files.where("false")).count() == 0
 
 
+def brute_licence_score(texts, line):
+    """TF-IDF cosine of a line to its best template, df counted for every word."""
+    import math
+
+    def words(t):
+        return collections.Counter(x for w in re.split(r"[^a-z0-9.-]+", t.lower()) if (x := w.strip(".-")))
+
+    df = collections.Counter(w for t in texts for w in set(words(t or "")))
+
+    def vector(t):
+        v = {w: (1 + math.log(n)) * (1 + math.log((1 + len(texts)) / (1 + df[w]))) for w, n in words(t).items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    mine = vector(line)
+    return max(sum(x * mine.get(w, 0) for w, x in vector(t).items()) for _, t in license_scan.TEMPLATES)
+
+
+def test_licence_lines_weigh_all_words_by_their_frequency(spark):
+    lines = ["It was released under the MIT License as that.", "Released as it was under the MIT License.",
+             "Released for all under the MIT License."]
+    plain = ["it was as that and so on - for you, under the..."] * 300 + [None, "", "all of it", "mit license"]
+    texts = plain + lines
+    files = spark.createDataFrame([(f"d/{i}.txt", t) for i, t in enumerate(texts)], "path string, text string")
+    got = {r.path: (r.license, r.score) for r in license_scan.own_licences(files).collect()}
+    for i, line in enumerate(lines, len(plain)):
+        want = brute_licence_score(texts, line)
+        assert want >= 0.7 and got[f"d/{i}.txt"] == ("MIT", pytest.approx(want, abs=1e-5))
+
+
 def test_every_operator_has_a_query():
     names = {n.split("_")[0] for n in E.queries() if n.startswith("op")}
     assert names == {f"op{i}" for i in range(1, 11)} and "pipeline" in E.queries()
