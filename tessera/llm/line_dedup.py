@@ -3,7 +3,7 @@
 Two lines are near if their edit distance (in characters) is at most
 ``threshold`` and both have at least ``MIN_CHARS`` characters; shorter lines
 are only compared for equality. A line goes if an equal or near line stands
-earlier, in order of (doc_id, line number), judged on the input.
+earlier, in order of (doc_id, text hashes, line number), judged on the input.
 
 Near lines are found by segment partition. A line of length l is cut into
 threshold + 1 segments; of two lines within the threshold, at least one
@@ -21,8 +21,11 @@ changes them by two at most) and hands on only pairs they allow, so a group of
 lines that share a segment but differ in a word does not become all its pairs.
 
 Edge cases. A null text has no lines and stays null; blank lines (no word)
-are kept and never compared. Rows that repeat a doc_id are one document
-given more than once, and keep and lose the same line numbers. Null ids sort after all others.
+are kept and never compared. A document is known by its doc_id and two hashes
+of its text: rows equal in both are one document given more than once, and
+keep and lose the same line numbers; rows that share an id (or have none) but
+not the text are documents of their own, in order of the hashes. Null ids sort
+after all others.
 An empty table gives an empty result. Extra columns are carried along
 untouched.
 """
@@ -32,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import let
+from tessera.llm.common import let, text_key
 from tessera.session import materialize
 
 THRESHOLD = 2
@@ -86,9 +89,11 @@ def _probes(line: Column, length: Column, threshold: int) -> Column:
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, no, line) of the lines that hold a word."""
-    return (docs.select(F.col(f"`{id_col}`").alias("doc_id"),
-                        F.posexplode(_lines(F.col(f"`{text_col}`").cast("string"))).alias("no", "line"))
+    """(doc_id, k1, k2, no, line) of the lines that hold a word."""
+    text = F.col(f"`{text_col}`").cast("string")
+    # Hashed once for each row, below the explode.
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), *text_key(text), text.alias("text"))
+    return (rows.select("doc_id", "k1", "k2", F.posexplode(_lines(F.col("text"))).alias("no", "line"))
             .where(F.col("line").rlike(r"[^\x20\x09-\x0D]")))
 
 
@@ -159,11 +164,11 @@ def near_pairs(found: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
-    """(doc_id, no) of the lines that go, once each; no counts from 0."""
+    """(doc_id, k1, k2, no) of the lines that go, once each; no counts from 0."""
     found = occurrences(docs, id_col, text_col)
     pairs = materialize(near_pairs(found, threshold), "line-pairs")
-    at = found.select("doc_id", "no", *_key(F.col("line")))
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "no")
+    at = found.select("doc_id", "k1", "k2", "no", *_key(F.col("line")))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2", "no")
     near = _few(pairs.select("a", "b").distinct()).withColumn("near", F.lit(True))
     # A line that stands once and is near no other stays; it needs no look-up.
     firsts = materialize(at.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n"))
@@ -174,19 +179,24 @@ def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "do
         "a", "b", F.when(F.col("other") < F.col("first"), F.lit(None)).otherwise(F.col("first")).alias("stays"))
     return (at.join(verdict, ["a", "b"])
             .where(F.col("stays").isNull() | ~(F.col("doc_id").eqNullSafe(F.col("stays.doc_id"))
+                                               & (F.col("k1") == F.col("stays.k1"))
+                                               & (F.col("k2") == F.col("stays.k2"))
                                                & (F.col("no") == F.col("stays.no"))))
-            .select("doc_id", "no").distinct())
+            .select("doc_id", "k1", "k2", "no").distinct())
 
 
 def dedup(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text",
           out: str = "dedup") -> DataFrame:
     """``docs`` plus a struct column ``out``: n_lines, n_removed and text (the
     kept lines joined by a line break; null for a null text)."""
-    gone = (removed_lines(docs, threshold, id_col, text_col).groupBy(F.col("doc_id").alias("__doc"))
+    gone = (removed_lines(docs, threshold, id_col, text_col)
+            .groupBy(F.col("doc_id").alias("__doc"), F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
             .agg(F.sort_array(F.collect_list("no")).alias("__gone")))
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
-    joined = row.join(gone, F.col(f"__row.`{id_col}`").eqNullSafe(F.col("__doc")), "left")
     text = F.col(f"__row.`{text_col}`").cast("string")
+    k1, k2 = text_key(text)
+    same = F.col(f"__row.`{id_col}`").eqNullSafe(F.col("__doc")) & (k1 == F.col("__k1")) & (k2 == F.col("__k2"))
+    joined = row.join(gone, same, "left")
 
     def rebuilt(ls):
         kept = F.when(F.col("__gone").isNull(), ls).otherwise(_without(ls, F.col("__gone")))

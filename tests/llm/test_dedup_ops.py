@@ -193,6 +193,20 @@ def test_line_stage_keeps_columns_and_drops_emptied_documents(spark):
     assert got[0].asDict().keys() == dict.fromkeys(docs.columns).keys() and got[0]["__dedup"] == 4
 
 
+def test_lines_of_rows_that_share_an_id_or_have_none(spark):
+    """Other texts under one id, or none, are documents of their own."""
+    texts = [(1, "own one\nin five rows"), (None, "a\nb\nc\nd\nin five rows\ne"), (None, "b"), (None, "f\nb"),
+             (None, "g\nin five rows"), (5, "h\nk"), (5, "m\nk\nin five rows"), (5, "h"), (None, "in five rows"),
+             (None, None)]
+    rows = line_dedup.dedup(documents(spark, texts), out="d").select("doc_id", "text", "d.n_removed", "d.text").collect()
+    kept = collections.Counter(x for r in rows if r[3] for x in r[3].split("\n") if x)
+    assert kept == {x: 1 for _, t in texts if t for x in t.split("\n")}
+    for _, text, n, left in rows:
+        assert text is None and left is None or n == len(text.split("\n")) - len([x for x in left.split("\n") if x])
+    assert "in five rows" in next(r for r in rows if r.doc_id == 1)[3]
+    assert line_dedup.clean(documents(spark, texts)).count() == len({r[1] for r in rows if r[1] is None or r[3]})
+
+
 def brute_simhash(texts, shingle=3, distance=3):
     fps = []
     for i, t in texts:
