@@ -8,13 +8,20 @@ items', hits are counted in diagonal bands that overlap by half, bands that
 meet the bound are kept and verified by a banded alignment. Nothing is lost:
 the filter only drops what the lemma excludes.
 
+Items of more than ``PASSAGE`` characters are also cut into passages of that
+length, one every ``STEP`` characters and one at the end, each with an edit
+budget of its own and found in the same way: a copied part of PASSAGE + STEP
+characters holds a passage whole. Items of fewer than ``q`` characters have no
+q-gram; they are found if they stand in the text unchanged, as whole words.
+
 The items are the query set. They are read in blocks of about
 ``BLOCK_CHARS`` characters, each sent to all tasks and run over all documents;
 documents are never shuffled.
 
-Edge cases. Null and blank texts match nothing; items of fewer than ``q``
-characters after normalisation are no region and match nothing; an item too
-short for its edit budget gets the largest budget the lemma can filter. Equal
+Edge cases. Null and blank texts match nothing; an item too short for its edit
+budget gets the largest budget the lemma can filter. Passages found that
+overlap are one region, with the edits of the worst of them; those that
+overlap a find of the whole item are part of it. Equal
 items are each reported. Repeated rows are each reported. Empty tables give
 no matches. Memory is proportional to one text, or two megabytes of short
 ones. Only the named columns are read.
@@ -33,6 +40,7 @@ from tessera.llm.rolling import GRAM_BASE, window_hash
 
 Q = 12
 ERROR_RATE = 0.05
+PASSAGE, STEP = 192, 48  # items up to PASSAGE characters count as a whole only
 BLOCK_CHARS = 2_000_000
 CHUNK_CHARS, CHUNK_TEXTS = 1 << 20, 1 << 12
 
@@ -51,14 +59,26 @@ def edit_budget(m: int, q: int, rate: float) -> int:
     return max(0, min(int(m * rate), (m - q) // q))
 
 
+def passages(text: str) -> list[str]:
+    """The item, and its passages if it is longer than one."""
+    last = len(text) - PASSAGE
+    return [text, *(text[a:a + PASSAGE] for a in sorted({*range(0, last, STEP), last}) if last > 0)]
+
+
 class Items:
     """Q-gram index of one block of items."""
 
     def __init__(self, rows: list[tuple], q: int = Q, rate: float = ERROR_RATE):
-        kept = [(i, n) for i, t in rows if len(n := normalise(t)) >= q]
+        kept = [(i, n) for i, t in rows if (n := normalise(t))]
         self.q = q
         self.ids = [i for i, _ in kept]
-        self.texts = [n for _, n in kept]
+        cut = [(k, n, j == 0) for k, (_, item) in enumerate(kept) if len(item) >= q
+               for j, n in enumerate(passages(item))]
+        self.of, self.texts, self.whole = ([c[j] for c in cut] for j in range(3))
+        self.short: dict[int, dict[str, list[int]]] = {}
+        for k, (_, item) in enumerate(kept):
+            if len(item) < q:
+                self.short.setdefault(len(item), {}).setdefault(item, []).append(k)
         self.budget = np.array([edit_budget(len(n), q, rate) for n in self.texts], dtype=np.int64)
         self.need = np.array([len(n) - q + 1 - e * q for n, e in zip(self.texts, self.budget, strict=True)],
                              dtype=np.int64)
@@ -88,8 +108,8 @@ class Items:
         return at[row], self.item[k], self.offset[k]
 
     def candidates(self, texts: list[str]) -> list[tuple[int, int, int]]:
-        """(text, item, band) that meet the lemma's bound."""
-        if not self.ids:
+        """(text, passage, band) that meet the lemma's bound."""
+        if not self.texts:
             return []
         # A separator no text holds keeps q-grams inside their text.
         laid = _points("\0".join(texts))
@@ -106,6 +126,23 @@ class Items:
         keys = keys[n >= self.need[item]]
         return [(int(k >> 50), int((k >> 32) & 0x3FFFF), int(k & 0xFFFFFFFF)) for k in keys]
 
+    def exact(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
+        """(text, item, start, end, 0) of the items shorter than a q-gram."""
+        if not self.short or not texts:
+            return
+        whole = "\0".join(texts)
+        points = _points(whole).astype(np.uint64)
+        starts = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts]))).astype(np.int64)
+        for m, table in self.short.items():
+            if len(points) < m:
+                continue
+            wanted = np.array([window_hash(_points(p).astype(np.uint64), m, GRAM_BASE)[0] for p in table])
+            for s in np.flatnonzero(np.isin(window_hash(points, m, GRAM_BASE), wanted)).tolist():
+                if (p := whole[s:s + m]) in table and not _inside_word(whole, s) and not _inside_word(whole, s + m):
+                    t = int(np.searchsorted(starts, s, side="right")) - 1
+                    at = s - int(starts[t])
+                    yield from ((t, k, at, at + m, 0) for k in table[p])
+
     def verify(self, text: str, item: int, band: int) -> tuple[int, int, int] | None:
         """(start, end, edits) of the best region of a band, if within budget."""
         p, e = self.texts[item], int(self.budget[item])
@@ -144,12 +181,19 @@ def banded(pattern: str, text: str, low: int, width: int) -> tuple[int, int]:
     return int(d[best] + len(p)), int(cost[best])
 
 
+def _inside_word(text: str, at: int) -> bool:
+    """Whether a word goes on over this place."""
+    return 0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum()
+
+
 def _scan(items: Items, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
     """(text, item, start, end, edits), overlapping finds of one item merged."""
     best: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
     for t, i, band in items.candidates(texts):
         if hit := items.verify(texts[t], i, band):
             best.setdefault((t, i), []).append(hit)
+    wholes: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    parts: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
     for (t, i), hits in best.items():
         out: list[tuple[int, int, int]] = []
         for s, e, d in sorted(hits):
@@ -158,8 +202,21 @@ def _scan(items: Items, texts: list[str]) -> Iterator[tuple[int, int, int, int,
                     out[-1] = (s, e, d)
             else:
                 out.append((s, e, d))
+        (wholes if items.whole[i] else parts).setdefault((t, items.of[i]), []).extend(out)
+    for (t, i), hits in wholes.items():
+        for s, e, d in hits:
+            yield t, i, s, e, d
+    for (t, i), hits in parts.items():
+        known = wholes.get((t, i), [])
+        out = []
+        for s, e, d in sorted(h for h in hits if not any(h[0] < e and s < h[1] for s, e, _ in known)):
+            if out and s < out[-1][1]:
+                out[-1] = (out[-1][0], max(e, out[-1][1]), max(d, out[-1][2]))
+            else:
+                out.append((s, e, d))
         for s, e, d in out:
             yield t, i, s, e, d
+    yield from items.exact(texts)
 
 
 def _chunks(column: pa.Array) -> Iterator[tuple[int, list[str]]]:

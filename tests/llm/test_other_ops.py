@@ -169,6 +169,31 @@ def test_decontamination_matches_full_alignment(spark):
     assert decontaminate.matches(docs, bench.where("false")).count() == 0
 
 
+def test_parts_of_long_items_and_short_items_are_found(spark):
+    rng = random.Random(16)
+
+    def prose(n):
+        return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(n))
+
+    item = prose(160)
+    assert len(item) > 700
+    bench = spark.createDataFrame([(1, item), (2, "Q7 zz"), (3, "c++")], "item_id long, text string")
+    half = item[len(item) // 2:]
+    texts = [(0, prose(20) + " " + item[:len(item) * 9 // 10] + " " + prose(20)), (1, prose(9) + " " + half),
+             (2, prose(5) + " " + _mutate(rng, half, 6) + " " + prose(5)), (3, prose(50) + " " + item[300:360]),
+             (4, "in (q7  ZZ), so"), (5, "aq7 zz and q7 zzb"), (6, "use C++."), (7, "cc++"), (8, item), (9, None)]
+    got = collections.defaultdict(list)
+    for r in decontaminate.matches(documents(spark, texts), bench).collect():
+        got[r.doc_id].append((r.item_id, r.word_start, r.word_end, r.edits))
+    assert {d: {x[0] for x in v} for d, v in got.items()} == {0: {1}, 1: {1}, 2: {1}, 4: {2}, 6: {3}, 8: {1}}
+    assert got[4] == [(2, 1, 3, 0)] and got[8] == [(1, 0, 160, 0)]
+    [(_, first, last, edits)] = got[0]
+    found = " ".join(texts[0][1].split()[first:last])
+    assert edits <= 9 and len(found) >= len(item) * 9 // 10 - 2 * decontaminate.STEP
+    left = decontaminate.decontaminate(documents(spark, texts), bench)
+    assert sorted(r.doc_id for r in left.collect()) == [3, 5, 7, 9]
+
+
 def test_banded_alignment_equals_edit_distance():
     rng = random.Random(7)
     for _ in range(60):
