@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import (decontaminate, language_id, license_scan, line_dedup, oracles, packing, quality_rules,
-                         sharding, simhash, spelling_variants, substring_dedup, suffix_dedup)
+                         sharding, simhash, spelling_variants, substring_dedup, suffix_dedup, whitening)
 from tessera.llm.common import read
 from tessera.plans.registry import register
 
@@ -100,3 +100,10 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = slipped_words(read(spark, sf_dir, "documents"))
     found = spelling_variants.variants(spelling_variants.vocabulary(words, F.col("word")))
     return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@register("op12_embedding_whitening")
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings").select(
+        "vec_id", whitening.quantise(F.col("embedding"), 1024, 100_000).alias("x"))
+    return whitening.whiten(vectors, "vec_id", "x")
