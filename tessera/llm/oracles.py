@@ -80,3 +80,13 @@ walk AS (SELECT word, word AS at FROM g UNION ALL
 SELECT g.word, g.form, walk.at AS root, g.n, g.n_near, g.form_n
 FROM g JOIN walk USING (word) JOIN g last ON last.word = walk.at WHERE last.form IS NULL
 """
+
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+m AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY page_id DESC NULLS LAST) AS place,
+             max(page_id) OVER (PARTITION BY t) AS top FROM p)
+SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, sha1(t) AS payload_digest,
+       CASE WHEN strlen(t) >= 1000 AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN strlen(t) >= 1000 AND place > 1 THEN top END AS refers_to
+FROM m
+"""

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import (decontaminate, language_id, license_scan, line_dedup, oracles, packing, quality_rules,
-                         sharding, simhash, spelling_variants, substring_dedup, suffix_dedup, whitening)
+                         sharding, simhash, spelling_variants, substring_dedup, suffix_dedup, warc, whitening)
 from tessera.llm.common import read
 from tessera.plans.registry import register
+from tessera.session import scratch_path
 
 SHARD_BYTES = 32 * 1024 * 1024
 
@@ -107,3 +108,11 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings").select(
         "vec_id", whitening.quantise(F.col("embedding"), 1024, 100_000).alias("x"))
     return whitening.whiten(vectors, "vec_id", "x")
+
+
+@register("op11_warc", oracles.WARC)
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write(read(spark, sf_dir, "pages"), path)
+    found = warc.read(spark, path, payload=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
