@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import bidiagonal
+from tessera.session import materialize
 
 COMPONENTS = 8
 FAN = 32  # factors folded by one task
@@ -199,9 +200,10 @@ def identity_error(rows: DataFrame, vec_col: str, model: Whitening) -> float:
 
 def whiten(vectors: DataFrame, id_col: str, vec_col: str, components: int = COMPONENTS) -> DataFrame:
     """(id, component, n, deviation, whitened, explained, identity_error) of
-    every usable row and component; the id keeps its name. ``vectors`` is read
-    several times."""
-    rows = usable(vectors.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{vec_col}`").alias(vec_col)), vec_col)
+    every usable row and component; the id keeps its name. The vectors are
+    written once, as they are read five times."""
+    rows = usable(materialize(vectors.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{vec_col}`").alias(vec_col))
+                              .where(F.col(vec_col).isNotNull()), "whitening-vectors"), vec_col)
     id_type = dict(vectors.dtypes)[id_col]
     schema = (f"`{id_col}` {id_type}, component int, n long, deviation long, whitened double, explained double, "
               "identity_error double")
