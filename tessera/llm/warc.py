@@ -55,7 +55,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from tessera.session import materialize
+from tessera.session import materialize, scratch_path
 
 SHARD_BYTES = 32 << 20   # payload of a shard, at least
 MAX_SHARDS = 1 << 16     # the cuts of so many shards (3 MB) go with the tasks
@@ -72,7 +72,7 @@ INFO_FORMAT = "WARC File Format 1.1"
 
 RECORDS = ("file string, offset long, record_id string, record_type string, page_id long, target_uri string, "
            "payload_bytes long, payload_digest string, refers_to_id string, refers_to long, payload binary")
-STORED = ("shard int, page_id long, digest string, url string, refers_to long, refers_url string, is_revisit boolean, "
+STORED = ("shard int, page_id long, digest binary, url string, refers_to long, refers_url string, is_revisit boolean, "
           "single boolean, n_bytes long, payload binary")
 
 
@@ -120,14 +120,15 @@ def _record(row, ordinal: int) -> bytes:
     head = (f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {row.n_bytes}"
             "\r\n\r\n").encode()
     block = head if row.is_revisit else head + bytes(row.payload)
+    digest = bytes(row.digest)
     # The one response of a payload that may be referred to is named by the payload alone.
-    name = _urn("payload", row.digest) if row.single else _urn("record", row.digest, row.page_id, row.shard, ordinal)
+    name = _urn("payload", digest.hex()) if row.single else _urn("record", digest.hex(), row.page_id, row.shard, ordinal)
     fields = [("WARC-Type", "revisit" if row.is_revisit else "response"), ("WARC-Record-ID", name),
               ("WARC-Date", DATE), ("WARC-Target-URI", _uri(row.url, row.page_id)),
-              ("WARC-Payload-Digest", _base32(bytes.fromhex(row.digest))),
+              ("WARC-Payload-Digest", _base32(digest)),
               ("WARC-Block-Digest", _base32(hashlib.sha1(block).digest())), ("X-Page-Id", row.page_id)]
     if row.is_revisit:
-        fields += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", _urn("payload", row.digest)),
+        fields += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", _urn("payload", digest.hex())),
                    ("WARC-Refers-To-Target-URI", _uri(row.refers_url, row.refers_to)),
                    ("WARC-Refers-To-Date", DATE), ("X-Refers-To-Page-Id", row.refers_to)]
     return _member([*fields, ("Content-Type", "application/http; msgtype=response")], block)
@@ -334,7 +335,7 @@ def stage(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> Data
     payload = F.coalesce(F.col(f"`{payload_col}`").cast("binary"), F.lit(b""))
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string")
                         .alias("url"), payload.alias("payload"))
-    return rows.select("page_id", F.sha1("payload").alias("digest"), F.xxhash64("url").alias("u"),
+    return rows.select("page_id", F.unhex(F.sha1("payload")).alias("digest"), F.xxhash64("url").alias("u"),
                        F.monotonically_increasing_id().alias("n"), F.octet_length("payload").cast("long")
                        .alias("n_bytes"), "url", "payload")
 
@@ -378,7 +379,7 @@ def _order_keys(page_id: pd.Series, digest: pd.Series, u: pd.Series, n: pd.Serie
     known = page_id.notna().to_numpy()
     ids = np.array([0 if x is pd.NA or x is None or x != x else int(x) for x in page_id.tolist()], dtype=np.int64)
     parts = [known.astype(np.uint8)[:, None], wide(ids),
-             np.frombuffer(bytes.fromhex("".join(digest)), dtype=np.uint8).reshape(-1, 20), wide(u), wide(n),
+             np.frombuffer(b"".join(digest), dtype=np.uint8).reshape(-1, 20), wide(u), wide(n),
              np.ones((len(known), 1), dtype=np.uint8)]  # numpy strips zeros at the end
     return np.ascontiguousarray(np.concatenate(parts, axis=1)).view("S46").ravel()
 
@@ -402,7 +403,9 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
           overwrite: bool = False) -> None:
     """Write ``pages`` as an archive folder."""
     spark = pages.sparkSession
-    staged = materialize(stage(pages, id_col, url_col, payload_col), "warc-pages")
+    held = scratch_path(spark, "warc-pages")
+    stage(pages, id_col, url_col, payload_col).write.option("compression", "zstd").parquet(held)
+    staged = spark.read.parquet(held)
     plan = materialize(roles(staged, min_revisit), "warc-roles")
     bounds = cuts(plan, shard_bytes)
     register(spark)

@@ -145,7 +145,7 @@ def test_incomplete_and_changed_archives_are_refused(spark, tmp_path):
 def test_repeated_tasks_leave_one_set_of_files(tmp_path):
     """A task that ran twice hands in one list; the other's files go."""
     class Row:
-        shard, page_id, digest, url, refers_to, refers_url = 0, 1, hashlib.sha1(b"x").hexdigest(), "u", None, None
+        shard, page_id, digest, url, refers_to, refers_url = 0, 1, hashlib.sha1(b"x").digest(), "u", None, None
         is_revisit, single, n_bytes, payload = False, False, 1, b"x"
 
     writer = warc._Writer(str(tmp_path / "a"), 1000, False)
