@@ -10,15 +10,23 @@ threshold + 1 segments; of two lines within the threshold, at least one
 segment of the shorter stands unchanged in the longer, shifted by few places.
 Segments are indexed by (length, number, characters); every line probes the
 indexes of lengths l - threshold .. l with the substrings at the places the
-shift bound allows. Index entries and probes carry hashes only; candidate
-pairs are then verified on their characters by Spark's banded
-``levenshtein(a, b, threshold)``, the built-in with the cut-off band.
-
-All of it is DataFrame functions. Equal lines are one row before the join, and
+shift bound allows. A line goes as soon as one earlier near line is known, so
+no pairs are ever written; both passes are left semi joins, whose output is at
+most one row for each segment of a line:
+
+1. Segments carry names: hash bits of the line, and its counts of letters and
+   digits modulo 4, which an edit changes by two at most. A segment stays if
+   another line whose counts allow the threshold has it. Lines that share a
+   name by chance are marked and count as another line, so none is lost.
+2. The segments that stay get the characters and the first place of their
+   lines, and a line goes if an earlier one meets it there and Spark's
+   ``levenshtein(a, b, threshold)``, the built-in with the cut-off band, allows
+   it.
+
+All of it is DataFrame functions. Equal lines are one row before the joins, and
 a segment that very many different lines share is split between tasks by
-adaptive execution. Within a segment the join compares letter counts (an edit
-changes them by two at most) and hands on only pairs they allow, so a group of
-lines that share a segment but differ in a word does not become all its pairs.
+adaptive execution; it costs a comparison of two longs for each pair of lines
+until one is found that the counts allow.
 
 Edge cases. A null text has no lines and stays null; blank lines (no word)
 are kept and never compared. A document is known by its doc_id and two hashes
@@ -43,6 +51,9 @@ MIN_CHARS = 24
 MAX_BROADCAST_IDS = 4_000_000
 # The fifteen most frequent letters, counted to reject pairs early.
 LETTERS = ("e", "t", "a", "o", "i", "n", "s", "h", "r", "d", "l", "c", "u", "m", "w")
+DIGITS = ("0", "2", "4", "6", "8")  # each with the digit after it
+HASH_SHIFT = 2 * (len(LETTERS) + len(DIGITS)) + 2  # what a name's hash bits stand above
+INDEXED, SEVERAL = 1, 2
 
 
 def _lines(text: Column) -> Column:
@@ -97,25 +108,29 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             .where(F.col("line").rlike(r"[^\x20\x09-\x0D]")))
 
 
-def _line_id(line: Column) -> Column:
-    """64-bit name of a line in index and probes: 34 hash bits, and its counts
-    of the letters modulo 4. Equal names only cost a verification more. Each
-    letter is counted by removing it from what the one before has left, so
-    scans get shorter."""
-    out, rest = F.shiftrightunsigned(F.xxhash64(line), 30), line
-    for c in LETTERS:
+def _name(line: Column) -> Column:
+    """62-bit name of a line, above two bits for flags: 22 hash bits, and its
+    counts of the letters and of pairs of digits modulo 4. Each is counted by
+    removing it from what the one before has left, so scans get shorter."""
+    out, rest = F.shiftrightunsigned(F.xxhash64(line), HASH_SHIFT), line
+    for c in (*LETTERS, *DIGITS):
+        if c == DIGITS[0]:
+            rest = F.translate(rest, "13579", "02468")
         left = F.replace(rest, F.lit(c), F.lit(""))
         n = F.octet_length(rest) - F.octet_length(left)
         out, rest = F.shiftleft(out, 2).bitwiseOR(n.bitwiseAND(3).cast("long")), left
-    return out
+    return F.shiftleft(out, 2)
+
+
+def _bits(name: Column, bits: int) -> Column:
+    return name.bitwiseAND(F.lit(bits).cast("long"))
 
 
-def _letters_allow(x: Column, y: Column, threshold: int) -> Column:
-    """An edit changes letter counts by two in all; more cannot be explained."""
+def _counts_allow(x: Column, y: Column, threshold: int) -> Column:
+    """An edit changes the counts by two in all; more cannot be explained."""
     total = F.lit(0)
-    for i in range(len(LETTERS)):
-        a, b = (F.shiftright(v, 2 * i).bitwiseAND(F.lit(3).cast("long")) for v in (x, y))
-        d = (a - b).bitwiseAND(F.lit(3).cast("long"))
+    for i in range(1, len(LETTERS) + len(DIGITS) + 1):
+        d = _bits(_bits(F.shiftright(x, 2 * i), 3) - _bits(F.shiftright(y, 2 * i), 3), 3)
         total = total + F.least(d, 4 - d)
     return total <= 2 * threshold
 
@@ -124,65 +139,78 @@ def _long(found: DataFrame, threshold: int) -> DataFrame:
     return found.where(F.length("line") >= max(MIN_CHARS, threshold + 1))
 
 
-def candidate_pairs(found: DataFrame, threshold: int) -> DataFrame:
-    """(x, y), x < y: names of lines that share a segment where the bounds
-    allow, and whose letter counts allow the threshold."""
+def shared_segments(found: DataFrame, threshold: int) -> DataFrame:
+    """(seg, name): segments that a line shares with another one where the
+    bounds allow, and whose counts allow the threshold; at most one row for
+    each segment of a line. Flag INDEXED: the segment is one of the line's own
+    partition; SEVERAL: more lines have the name."""
     long = _long(found, threshold).withColumn("len", F.length("line"))
     line, size = F.col("line"), F.col("len")
     own, probes = _index(line, size, threshold), _probes(line, size, threshold)
-    keys = long.select(*_key(line), _line_id(line).alias("id"),
+    keys = long.select(_name(line).alias("name"), F.xxhash64(line).alias("a"),
                        F.concat(own, F.array_except(probes, own)).alias("segs"))
-    lines = keys.dropDuplicates(["a", "b"])
+    lines = keys.groupBy("name").agg((F.min("a") != F.max("a")).alias("several"), F.collect_set("segs").alias("sets"))
+    flag = F.when(F.col("several"), F.lit(SEVERAL).cast("long")).otherwise(F.lit(0).cast("long"))
+    segs = (lines.select(F.col("name").bitwiseOR(flag).alias("name"), F.explode("sets").alias("segs"))
+            .select("name", F.posexplode("segs").alias("no", "seg")))
     # The first threshold + 1 are the index; a line probes with these and the others.
-    all_segs = lines.select(F.posexplode("segs").alias("no", "seg"), "id")
-    index = all_segs.where(F.col("no") <= threshold).select("seg", F.col("id").alias("x"))
-    probe = all_segs.select("seg", F.col("id").alias("y"))
-    met = index.join(probe, "seg").where((F.col("x") != F.col("y")) & _letters_allow(F.col("x"), F.col("y"), threshold))
-    return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    rows = segs.select("seg", F.when(F.col("no") <= threshold, F.col("name").bitwiseOR(F.lit(INDEXED).cast("long")))
+                       .otherwise(F.col("name")).alias("name"))
+    x, y = F.col("name"), F.col("other")
+    differ = (F.shiftright(x, 2) != F.shiftright(y, 2)) | (_bits(x, SEVERAL) != 0)
+    met = (F.col("seg") == F.col("seg2")) & differ & (_bits(x.bitwiseOR(y), INDEXED) != 0)
+    return rows.join(rows.select(F.col("seg").alias("seg2"), F.col("name").alias("other")),
+                     met & _counts_allow(x, y, threshold), "left_semi")
 
 
 def _few(ids: DataFrame) -> DataFrame:
-    """Broadcast a column of ids if it is small; a shuffle join serves else."""
+    """Broadcast ids if they are few; a shuffle join serves else."""
     return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
 
 
-def near_pairs(found: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(a, b, c, d): keys (a, b) and (c, d) of the different lines within the
-    threshold, of the lines in ``found``; each pair in both directions."""
-    pairs = materialize(candidate_pairs(found, threshold), "line-candidates")
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+def _place() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2", "no")
+
+
+def near_earlier(found: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """Keys (a, b) of the lines in ``found`` that are within the threshold of a
+    different line whose first place is earlier."""
+    shared = materialize(shared_segments(found, threshold), "line-segments")
+    plain = F.col("name").bitwiseAND(F.lit(~(INDEXED | SEVERAL)).cast("long"))
+    names = shared.select(plain.alias("name")).distinct()
+    hashes = names.select(F.shiftrightunsigned("name", HASH_SHIFT).alias("h")).distinct()
     line = F.col("line")
-    texts = materialize(_long(found, threshold).select(_line_id(line).alias("id"), "line")
-                        .join(_few(wanted), "id", "left_semi").distinct(), "line-texts")
-    left, right = (texts.select(F.col("id").alias(n), F.struct(*_key(line)).alias(k), line.alias(t))
-                   for n, k, t in (("x", "l", "s"), ("y", "r", "t")))
-    near = pairs.join(left, "x").join(right, "y").where(F.levenshtein("s", "t", threshold) >= 0)
-    return near.select(F.explode(F.array(
-        *(F.struct(F.col(f"{i}.a").alias("a"), F.col(f"{i}.b").alias("b"), F.col(f"{j}.a").alias("c"),
-                   F.col(f"{j}.b").alias("d")) for i, j in (("l", "r"), ("r", "l"))))).alias("p")).select("p.*")
+    # The hash bits alone tell most lines; counts are made for the rest.
+    some = (_long(found, threshold).withColumn("h", F.shiftrightunsigned(F.xxhash64(line), HASH_SHIFT))
+            .join(_few(hashes), "h", "left_semi"))
+    texts = (some.withColumn("name", _name(line)).join(_few(names), "name", "left_semi")
+             .groupBy("name", "line").agg(F.min(_place()).alias("first")))
+    rows = shared.select("seg", F.col("name").alias("flags"), plain.alias("name")).join(texts, "name")
+    other = rows.select(F.col("seg").alias("seg2"), F.col("flags").alias("flags2"), F.col("line").alias("line2"),
+                        F.col("first").alias("first2"))
+    met = ((F.col("seg") == F.col("seg2")) & (_bits(F.col("flags").bitwiseOR(F.col("flags2")), INDEXED) != 0)
+           & (F.col("first2") < F.col("first")) & _counts_allow(F.col("flags"), F.col("flags2"), threshold)
+           & (F.levenshtein(line, F.col("line2"), threshold) >= 0))
+    return rows.join(other, met, "left_semi").select(*_key(line)).distinct()
 
 
 def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
-    """(doc_id, k1, k2, no) of the lines that go, once each; no counts from 0."""
+    """(doc_id, k1, k2, no) of the lines that go; no counts from 0. A document
+    that is given more than once has its lines as often."""
     found = occurrences(docs, id_col, text_col)
-    pairs = materialize(near_pairs(found, threshold), "line-pairs")
+    goes = _few(materialize(near_earlier(found, threshold), "line-near")).withColumn("goes", F.lit(True))
     at = found.select("doc_id", "k1", "k2", "no", *_key(F.col("line")))
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2", "no")
-    near = _few(pairs.select("a", "b").distinct()).withColumn("near", F.lit(True))
-    # A line that stands once and is near no other stays; it needs no look-up.
-    firsts = materialize(at.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-                         .join(near, ["a", "b"], "left").where("n > 1 or near").drop("n", "near"), "line-firsts")
-    others = firsts.select(F.col("a").alias("c"), F.col("b").alias("d"), F.col("first").alias("other"))
-    earlier = pairs.join(others, ["c", "d"]).groupBy("a", "b").agg(F.min("other").alias("other"))
-    verdict = firsts.join(earlier, ["a", "b"], "left").select(
-        "a", "b", F.when(F.col("other") < F.col("first"), F.lit(None)).otherwise(F.col("first")).alias("stays"))
+    # A line that stands once and is near no earlier one stays; it needs no look-up.
+    verdict = (at.groupBy("a", "b").agg(F.min(_place()).alias("first"), F.count("*").alias("n"))
+               .join(goes, ["a", "b"], "left").where("n > 1 or goes")
+               .select("a", "b", F.when(F.col("goes").isNull(), F.col("first")).alias("stays")))
     return (at.join(verdict, ["a", "b"])
             .where(F.col("stays").isNull() | ~(F.col("doc_id").eqNullSafe(F.col("stays.doc_id"))
                                                & (F.col("k1") == F.col("stays.k1"))
                                                & (F.col("k2") == F.col("stays.k2"))
                                                & (F.col("no") == F.col("stays.no"))))
-            .select("doc_id", "k1", "k2", "no").distinct())
+            .select("doc_id", "k1", "k2", "no"))
 
 
 def dedup(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text",
@@ -191,7 +219,7 @@ def dedup(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", t
     kept lines joined by a line break; null for a null text)."""
     gone = (removed_lines(docs, threshold, id_col, text_col)
             .groupBy(F.col("doc_id").alias("__doc"), F.col("k1").alias("__k1"), F.col("k2").alias("__k2"))
-            .agg(F.sort_array(F.collect_list("no")).alias("__gone")))
+            .agg(F.sort_array(F.collect_set("no")).alias("__gone")))
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
     text = F.col(f"__row.`{text_col}`").cast("string")
     k1, k2 = text_key(text)

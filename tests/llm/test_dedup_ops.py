@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tessera.llm import bwt, line_dedup, simhash, substring_dedup, suffix_dedup
 from tests.conftest import SMALL
@@ -207,6 +208,35 @@ def test_lines_of_rows_that_share_an_id_or_have_none(spark):
     assert line_dedup.clean(documents(spark, texts)).count() == len({r[1] for r in rows if r[1] is None or r[3]})
 
 
+def test_numbered_lines_make_rows_in_proportion(spark):
+    """Lines that differ in a number share segments, and few of them are near."""
+    rng = random.Random(8)
+    sizes = {}
+    for n in (60, 300, 1200):
+        texts = [(i, f"The record number {rng.randrange(10 ** 9):09d} was filed in the archive today.") for i in range(n)]
+        found = line_dedup.occurrences(documents(spark, texts), "doc_id", "text")
+        sizes[n] = line_dedup.shared_segments(found, line_dedup.THRESHOLD).count()
+        assert sizes[n] <= 12 * n
+    texts = [(i, f"The record number {rng.randrange(2000):04d} was filed in the archive today.") for i in range(60)]
+    got = line_dedup.dedup(documents(spark, texts), out="d").select("doc_id", "d.n_lines", "d.n_removed", "d.text")
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute_lines(texts)
+    assert sizes[1200] <= 5 * sizes[300] + 100
+
+
+def test_lines_that_share_a_name_are_compared(spark):
+    """Two different lines with equal hash bits and counts, which only the flag keeps apart."""
+    tail = " is the number of this record in the archive"
+    n = F.col("id")
+    x = F.concat(n.cast("string"), F.lit(" ab"), F.lit(tail))
+    y = F.concat(n.cast("string"), F.lit(" ba"), F.lit(tail))
+    pair = (spark.range(1 << 24).where(F.shiftrightunsigned(F.xxhash64(x), line_dedup.HASH_SHIFT)
+                                       == F.shiftrightunsigned(F.xxhash64(y), line_dedup.HASH_SHIFT))
+            .select(x.alias("x"), y.alias("y"), (line_dedup._name(x) == line_dedup._name(y)).alias("same")).first())
+    assert pair.same
+    rows = line_dedup.dedup(documents(spark, [(1, pair.x), (2, pair.y), (3, pair.x[:-9] + "register")]), out="d")
+    assert sorted((r.doc_id, r.d.n_removed) for r in rows.collect()) == [(1, 0), (2, 1), (3, 0)]
+
+
 def brute_simhash(texts, shingle=3, distance=3):
     fps = []
     for i, t in texts:
