@@ -1,34 +1,43 @@
 """Exact similarity top-k (vector search) as a Spark job.
 
-Both sides are dealt into blocks of bounded size by a hash of their rows, and
-every pair of a query block and a corpus block is one group of a cogroup:
+Corpus rows are cut into cells around sampled rows (the centres), each with the
+radius that holds its rows. A score q.x is at most q.c + |q| r for every x of a
+cell with centre c and radius r, and at least q.c - |q| r. So each query gets a
+floor that its k-th score cannot lie below, from its scores with the centres
+(they are corpus rows) and from the cells whose lower bounds hold k rows; cells
+whose upper bound lies below the floor are never scored for it. On vectors
+without clusters no cell can be left out and all pairs are scored.
 
-* A query row goes to each corpus block and a corpus row to each query block,
-  so a group holds two blocks, whatever the size of either side. Neither side
-  passes through the driver; it only learns two row counts and the vector width.
+* Neither side passes through the driver. It sees the centres, whose bytes are
+  bounded by ``CENTRE_BYTES``, and a radius and a count for each.
+* Queries are sliced by their nearest centre. A slice and a cell meet as one
+  group of a cogroup only if a query of the slice needs the cell; a cell's rows
+  are sent to those slices alone. Cells and slices with many rows (a third of
+  all may be one vector) are dealt into parts of bounded size by row number.
 * Columns that must match are part of the group key: a query never meets, nor
   scores, a corpus row with another value.
 * A group is scored by matrix products and emits at most ``k`` rows per query.
   The global top-k is a ``row_number`` window over those candidates (Spark
   plans it with ``WindowGroupLimit``), shuffled by query id only.
 
-Each side is read twice (to count it, then to score it): pass a derived index
-as a written table. Repeated query rows are one query. Rows without a vector
-or with a null in a matching column take no part.
+Both sides are written once with their cells. Repeated query rows are one
+query. Rows without a vector or with a null in a matching column take no part.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DEFAULT_BLOCK_BYTES = 8 * 1024 * 1024    # vectors of one block
-SMALL_BLOCK_ROWS = 512                   # corpus blocks are not cut below this only for more tasks
+from tessera.session import materialize
+
+DEFAULT_BLOCK_BYTES = 8 * 1024 * 1024    # vectors of one part of a cell or slice
+CELL_ROWS = 512                          # corpus rows for each centre, while centres are few
+CENTRE_BYTES = 32 * 1024 * 1024          # of all centres together
+MARGIN = 1e-9                            # bounds and scores are rounded apart from each other
 SCORE_CELLS = 4 * 1024 * 1024            # score-matrix cells held at once per task
 SCORE_DECIMALS = 12  # matrix products of equal vectors can differ in the last bit; ties must stay ties
 
@@ -89,12 +98,130 @@ def _side(df: DataFrame, row_id: str, vec: str, keys: tuple[str, ...], name: str
     return df.select(*cols).dropna(subset=["_vec", *[f"_k{i}" for i in range(len(keys))]])
 
 
-def _block(row_id: str, n: int) -> Column:
-    return F.pmod(F.xxhash64(row_id, "_vec"), F.lit(n)).cast("int")
+class _Cells:
+    """Centres with the radii and counts of their cells."""
+
+    def __init__(self, centres: np.ndarray, ids: np.ndarray, keys: np.ndarray):
+        self.centres, self.ids, self.keys = centres, ids, keys
+        self.norms = (centres ** 2).sum(axis=1)
+        self.radii = self.counts = self.parts = None
+
+    def nearest(self, mat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(cell, distance to its centre, scores with all centres)."""
+        scores = mat @ self.centres.T
+        cell = np.argmin(np.nan_to_num(self.norms[None, :] - 2 * scores, nan=np.inf), axis=1)
+        return cell, np.linalg.norm(mat - self.centres[cell], axis=1), scores
+
+    def needed(self, mat, scores, ids, keys, k, exclude_self, most_rows) -> np.ndarray:
+        """Mask (query, cell) of the cells that may hold a row of the top k."""
+        size = np.linalg.norm(mat, axis=1)[:, None]
+        reach = size * self.radii[None, :]
+        floor = np.full(len(mat), -np.inf)
+        # Centres that the query may see are rows of the corpus.
+        seen = np.where(self.keys[None, :] == keys[:, None], scores, -np.inf)
+        if exclude_self:
+            seen = np.where(self.ids[None, :] == ids[:, None], -np.inf, seen)
+        if seen.shape[1] >= k:
+            floor = np.partition(seen, seen.shape[1] - k, axis=1)[:, seen.shape[1] - k]
+        if most_rows is not None:
+            # Cells by falling lower bound, until they hold enough rows.
+            low = scores - reach
+            order = np.argsort(-low, axis=1)
+            held = np.cumsum(self.counts[order], axis=1)
+            enough = held >= k + most_rows
+            at = np.argmax(enough, axis=1)
+            rows = np.arange(len(mat))
+            floor = np.maximum(floor, np.where(enough[rows, at], low[rows, order[rows, at]], -np.inf))
+        return (scores + reach >= floor[:, None] - MARGIN * (1 + size)) & (self.counts[None, :] > 0)
+
 
+def _hash(cols: list[str]) -> Column:
+    return F.xxhash64(*cols) if cols else F.lit(0).cast("long")
 
-def _every(n: int) -> Column:
-    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+def _vectors(col: pd.Series, normalize: bool) -> np.ndarray:
+    return _unit(_as_matrix(col)) if normalize else _as_matrix(col)
+
+
+def _centres(d: DataFrame, keys: list[str], n_rows: int, width: int, normalize: bool) -> _Cells:
+    """Sampled corpus rows: those of least hash, the same at every run."""
+    count = max(1, min(-(-n_rows // CELL_ROWS), CENTRE_BYTES // (8 * max(1, width))))
+    sane = d.where(F.forall("_vec", lambda c: c.isNotNull() & ~F.isnan(c)))
+    order = F.xxhash64(F.col("_vec"), F.col("_did"))
+    rows = (sane.select("_vec", F.xxhash64("_did").alias("i"), _hash(keys).alias("k"), order.alias("o"))
+            .orderBy("o", "i").limit(count).collect())
+    if not rows:  # nothing that could be scored
+        return _Cells(np.zeros((1, width)), np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64))
+    mat = _vectors(pd.Series([r["_vec"] for r in rows]), normalize)
+    return _Cells(mat, np.array([r["i"] for r in rows], dtype=np.int64), np.array([r["k"] for r in rows], dtype=np.int64))
+
+
+def _lookup(values, at: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(int(v)) for v in values]), at + 1)
+
+
+def block_plan(queries: DataFrame, corpus: DataFrame, k: int = 10, *,
+               query_id: str = "query_id", query_vec: str = "vector", doc_id: str = "id", doc_vec: str = "vector",
+               match_cols: tuple[str, ...] = (), exclude_self: bool = False, metric: str = "cosine",
+               block_bytes: int = DEFAULT_BLOCK_BYTES) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(query rows, corpus rows, group key) of the groups to be scored."""
+    q = _side(queries, query_id, query_vec, match_cols, "_qid").dropDuplicates()
+    d = _side(corpus, doc_id, doc_vec, match_cols, "_did")
+    keys, normalize = [f"_k{i}" for i in range(len(match_cols))], metric == "cosine"
+    n_d, width = d.agg(F.count("*"), F.max(F.size("_vec"))).first()
+    per_part = max(1, block_bytes // (8 * (width or 0) + 64))
+    cells = _centres(d, keys, n_d, width or 0, normalize)
+
+    def assign(batches):
+        for b in batches:
+            if len(b):
+                cell, far, _ = cells.nearest(_vectors(b["_vec"], normalize))
+                yield b.assign(_cell=cell.astype(np.int32), _far=np.nan_to_num(far))
+
+    numbered = d.withColumn("_no", F.monotonically_increasing_id())
+    placed = materialize(numbered.mapInPandas(assign, T.StructType([*numbered.schema.fields, T.StructField(
+        "_cell", T.IntegerType()), T.StructField("_far", T.DoubleType())])), "knn-corpus")
+    cells.radii, cells.counts = np.zeros(len(cells.centres)), np.zeros(len(cells.centres), dtype=np.int64)
+    for r in placed.groupBy("_cell").agg(F.max("_far").alias("far"), F.count("*").alias("n")).collect():
+        cells.radii[r["_cell"]], cells.counts[r["_cell"]] = r["far"] * (1 + MARGIN), r["n"]
+    cells.parts = np.maximum(1, -(-cells.counts // per_part))
+    # Rows that a query may not count: those under its own id. Matching columns leave counts open.
+    most_rows = None
+    if not keys:
+        most_rows = (placed.groupBy("_did").count().agg(F.max("count")).first()[0] or 0) if exclude_self else 0
+
+    def plan(batches):
+        for b in batches:
+            if not len(b):
+                continue
+            cell, targets = [], []
+            for start in range(0, len(b), 1024):
+                part = b.iloc[start:start + 1024]
+                mat = _vectors(part["_vec"], normalize)
+                near, _, scores = cells.nearest(mat)
+                need = cells.needed(mat, scores, part["_qh"].to_numpy(), part["_kh"].to_numpy(), k, exclude_self,
+                                    most_rows)
+                cell.append(near.astype(np.int32))
+                targets += [np.flatnonzero(row).astype(np.int32) for row in need]
+            yield b.drop(columns=["_qh", "_kh"]).assign(_own=np.concatenate(cell), _cells=targets)
+
+    asked = q.withColumn("_no", F.monotonically_increasing_id())
+    hashed = asked.withColumn("_qh", F.xxhash64("_qid")).withColumn("_kh", _hash(keys))
+    planned = materialize(hashed.mapInPandas(plan, T.StructType([*asked.schema.fields, T.StructField(
+        "_own", T.IntegerType()), T.StructField("_cells", T.ArrayType(T.IntegerType()))])), "knn-queries")
+    slices = np.ones(len(cells.centres), dtype=np.int64)
+    for r in planned.groupBy("_own").count().collect():
+        slices[r["_own"]] = max(1, -(-r["count"] // per_part))
+
+    def deal(cell, counts):
+        return F.pmod(F.xxhash64("_no"), _lookup(counts, F.col(cell))).cast("int")
+
+    left = (planned.withColumn("_slice", deal("_own", slices)).withColumn("_cell", F.explode("_cells"))
+            .withColumn("_part", F.explode(F.sequence(F.lit(0), (_lookup(cells.parts, F.col("_cell")) - 1).cast("int")))))
+    group = ["_own", "_slice", "_cell", "_part"]
+    met = left.select(*(F.col(c).alias(c) for c in group)).distinct()
+    right = placed.withColumn("_part", deal("_cell", cells.parts)).join(met, ["_cell", "_part"])
+    return (left.select("_qid", "_vec", *group, *keys), right.select("_did", "_vec", *group, *keys), [*group, *keys])
 
 
 def similarity_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, *,
@@ -106,21 +233,13 @@ def similarity_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, *,
 
     ``match_cols``: per-query equality filters; a query only sees corpus rows
     whose columns equal its own (the batch form of a metadata pre-filter).
-    ``block_bytes`` bounds the vectors of a block on average; a result does not
+    ``block_bytes`` bounds the vectors of a part on average; a result does not
     depend on it. Returns ``(query_id, rank, doc_id, score)`` with the caller's
     id names.
     """
-    q = _side(queries, query_id, query_vec, match_cols, "_qid").dropDuplicates()
-    d = _side(corpus, doc_id, doc_vec, match_cols, "_did")
-    n_q, width = q.agg(F.count("*"), F.max(F.size("_vec"))).first()
-    n_d = d.count()
-    per_block = max(1, block_bytes // (8 * (width or 0) + 64))
-    tasks = queries.sparkSession.sparkContext.defaultParallelism
-    q_blocks = max(1, math.ceil(n_q / per_block))
-    d_blocks = max(1, math.ceil(n_d / per_block), min(tasks, n_d // SMALL_BLOCK_ROWS))
-    keys = ["_qb", "_db", *[f"_k{i}" for i in range(len(match_cols))]]
-    left = q.withColumn("_qb", _block("_qid", q_blocks)).withColumn("_db", _every(d_blocks))
-    right = d.withColumn("_db", _block("_did", d_blocks)).withColumn("_qb", _every(q_blocks))
+    left, right, keys = block_plan(queries, corpus, k, query_id=query_id, query_vec=query_vec, doc_id=doc_id,
+                                   doc_vec=doc_vec, match_cols=match_cols, exclude_self=exclude_self, metric=metric,
+                                   block_bytes=block_bytes)
     out_schema = T.StructType([T.StructField("query_id", queries.schema[query_id].dataType),
                                T.StructField("doc_id", corpus.schema[doc_id].dataType),
                                T.StructField("score", T.DoubleType())])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.features import WindowAgg, asof_join, range_window_features
 from tessera.operators.graph import reachable, topo_levels
+from tessera.operators import knn
 from tessera.operators.knn import similarity_topk
 from tessera.operators.mmr import mmr_order, mmr_rerank
 from tessera.operators.retrieve import format_code_hits, retriever, search
@@ -73,7 +74,8 @@ def test_topk_reads_no_query_rows_on_the_driver(spark, monkeypatch):
     monkeypatch.delattr(frame, "toPandas")
     c = _vecs(spark)
     assert similarity_topk(c.withColumnRenamed("id", "qid"), c, 5, query_id="qid", doc_id="id").count() > 0
-    assert sum(read) <= 1  # the row counts and the width
+    # The row count with the width; for each cell of up to CELL_ROWS rows its centre, radius and queries.
+    assert sum(read) <= 1 + 3 * -(-c.count() // knn.CELL_ROWS) < c.count()
 
 
 def test_plan_has_no_cartesian(spark):
