@@ -50,26 +50,39 @@ def window_features(spark, sf_dir):
 
 @register("window_features_tiled", sql=ORACLE_WINDOW_FEATURES)
 def window_features_tiled(spark, sf_dir):
-    """The same features through hour tiles: exact, O(rows) per user, for
-    keys with many rows per window (H7, H10 at scale)."""
+    """The same features through minute, hour and day tiles: exact, linear in
+    the rows of a user, for keys with many rows per window (H7, H10 at scale)."""
     ev = events(spark, sf_dir, "event_id", "user_id", "ts", "event_type", "value")
     aggs = [WindowAgg("amt_sum_1h", "sum", "value", H), WindowAgg("amt_max_1d", "max", "value", D),
             WindowAgg("amt_min_3d", "min", "value", 3 * D),
             WindowAgg("signups_7d", "count_if", F.col("event_type") == "signup", 7 * D),
             WindowAgg("signups_30d", "count_if", F.col("event_type") == "signup", 30 * D)]
-    out = tiled_window_features(ev, "user_id", "ts", "event_id", aggs, tile_seconds=H)
+    out = tiled_window_features(ev, "user_id", "ts", "event_id", aggs)
     return out.select("event_id", "user_id", "ts", F.round("amt_sum_1h", 6).alias("amt_sum_1h"),
                       "amt_max_1d", "amt_min_3d", "signups_7d", "signups_30d")
 
 
-@register("window_percentile")
+RANK_BOUND = 0.02  # of the sketches below; their error is under 1.33 % in 99 of 100 cases
+
+
+@register("window_percentile", sql=f"""WITH e AS (SELECT event_id, user_id, ts, value, {E_US}(ts) AS t FROM events)
+SELECT a.event_id, a.user_id, a.ts, count(b.value) AS n_1d, 1 AS rank_ok_1d
+FROM e a JOIN e b ON a.user_id = b.user_id AND b.t <= a.t AND b.t > a.t - {_us(D)}
+GROUP BY a.event_id, a.user_id, a.ts""")
 def window_percentile(spark, sf_dir):
-    """Approximate median of the value over the past hour (percentile 0.5,
-    accuracy 100) per user (H8). Approximate: rows-only check; the exact
-    counterpart is ``window_median_exact``."""
+    """Median of the value over the past day per user from KLL sketches kept
+    as tile state (H8), told by its rank: rank_ok_1d is 1 if the exact share of
+    the window's values up to the median, and of those below it, leave one half
+    within RANK_BOUND. The exact counterpart is ``window_median_exact``."""
     ev = events(spark, sf_dir, "event_id", "user_id", "ts", "value")
-    out = range_window_features(ev, "user_id", "ts", [WindowAgg("p50_1h", "percentile", "value", H, (0.5, 100))])
-    return out.select("event_id", "user_id", "ts", "p50_1h")
+    out = tiled_window_features(ev, "user_id", "ts", "event_id", [
+        WindowAgg("p50_1d", "quantile_sketch", "value", D, (0.5, 200)), WindowAgg("n_1d", "count", "value", D)])
+    found = range_window_features(out, "user_id", "ts", [WindowAgg("seen", "values", "value", D)])
+    below = F.size(F.filter("seen", lambda v: v < F.col("p50_1d"))) / F.col("n_1d")
+    upto = F.size(F.filter("seen", lambda v: v <= F.col("p50_1d"))) / F.col("n_1d")
+    ok = F.when(F.col("n_1d") == 0, F.col("p50_1d").isNull()).otherwise(
+        (upto >= 0.5 - RANK_BOUND) & (below <= 0.5 + RANK_BOUND))
+    return found.select("event_id", "user_id", "ts", "n_1d", ok.cast("int").alias("rank_ok_1d"))
 
 
 @register("window_median_exact", sql=f"""WITH e AS (SELECT event_id, user_id, ts, value, {E_US}(ts) AS t FROM events)
@@ -97,16 +110,23 @@ def window_distinct(spark, sf_dir):
     return out.select("event_id", "user_id", F.col("distinct_k_3d").cast("long").alias("distinct_k_3d"))
 
 
-@register("window_distinct_approx")
+@register("window_distinct_approx", sql=f"""WITH e AS (SELECT event_id, user_id, {E_US}(ts) AS t,
+                  CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events)
+SELECT a.event_id, a.user_id, count(DISTINCT b.k) AS exact_k_3d, 1 AS within_5pct
+FROM e a JOIN e b ON a.user_id = b.user_id AND b.t <= a.t AND b.t > a.t - {_us(3 * D)}
+GROUP BY a.event_id, a.user_id""")
 def window_distinct_approx(spark, sf_dir):
-    """Distinct ``props.k`` per user over 3 days from HLL sketches on hour
-    tiles: O(rows) per user, for dense windows (H9 sketch path).
-    Approximate: rows-only check; accuracy is tested against the exact count."""
+    """Distinct ``props.k`` per user over 3 days from HLL sketches kept as
+    tile state, linear in the rows of a user (H9 sketch path), told by its
+    error: within_5pct is 1 if it is within 5 % of the exact count."""
     ev = events(spark, sf_dir, "event_id", "user_id", "ts", "props") \
         .withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     out = tiled_window_features(ev, "user_id", "ts", "event_id",
-                                [WindowAgg("distinct_k_3d", "approx_distinct", "k", 3 * D)], tile_seconds=H)
-    return out.select("event_id", "user_id", "distinct_k_3d")
+                                [WindowAgg("approx_k", "approx_distinct", "k", 3 * D)])
+    out = range_window_features(out, "user_id", "ts", [WindowAgg("exact", "distinct", "k", 3 * D)])
+    exact = F.col("exact").cast("long")
+    return out.select("event_id", "user_id", exact.alias("exact_k_3d"),
+                      (F.abs(F.col("approx_k") - exact) <= 0.05 * exact).cast("int").alias("within_5pct"))
 
 
 @register("entity_rate", sql="""SELECT user_id, count(*) AS n_events,
