@@ -51,10 +51,9 @@ class IdfModel:
     def unpersist(self) -> None:
         self.df.unpersist()
 
-    def transform_sparse(self, data: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        """(id, bucket, value): normalised signed buckets that hold a token."""
-        tf = term_counts(data, id_col, text_col)
-        j = tf.join(self.df, "tok", "left")
+    def _weighed(self, terms: DataFrame, id_col: str) -> DataFrame:
+        """(id, bv): normalised (bucket, value) pairs of each text with a token."""
+        j = terms.join(self.df, "tok", "left")
         # buckets and signs were hashed once per corpus token; tokens unseen in
         # the corpus (queries) are hashed here
         bucket = F.coalesce(F.col("bucket"), _bucket(F.col("tok"), self.dim))
@@ -66,18 +65,30 @@ class IdfModel:
         per_bucket = w.groupBy(id_col, "bucket").agg(F.sum("w").alias("v"))
         per_doc = per_bucket.groupBy(id_col).agg(F.collect_list(F.struct("bucket", "v")).alias("bv"))
         norm = F.sqrt(F.aggregate(F.col("bv"), F.lit(0.0), lambda acc, x: acc + x["v"] * x["v"]))
-        return (per_doc.withColumn("norm", norm).filter(F.col("norm") > 0)
-                .select(id_col, F.explode(F.transform("bv", lambda x: F.struct(
-                    x["bucket"].alias("bucket"), (x["v"] / F.col("norm")).alias("value")))).alias("e"))
-                .select(id_col, "e.bucket", "e.value"))
+        return per_doc.withColumn("norm", norm).filter(F.col("norm") > 0).select(id_col, F.transform(
+            "bv", lambda x: F.struct(x["bucket"].alias("bucket"), (x["v"] / F.col("norm")).alias("value"))).alias("bv"))
+
+    def transform_terms_sparse(self, terms: DataFrame, id_col: str) -> DataFrame:
+        """(id, bucket, value) from the term counts (id, tok, tf) of texts."""
+        return self._weighed(terms, id_col).select(id_col, F.explode("bv").alias("e")).select(
+            id_col, "e.bucket", "e.value")
+
+    def transform_terms(self, terms: DataFrame, id_col: str, out_col: str = "vector") -> DataFrame:
+        """(id, vector): dense normalised vectors of length ``dim``, from the
+        term counts (id, tok, tf) of texts."""
+        def dense(m):  # a lambda variable is evaluated once, not for each place
+            return F.transform(F.sequence(F.lit(0), F.lit(self.dim - 1)),
+                               lambda i: F.coalesce(F.element_at(m, i), F.lit(0.0)))
+        found = F.get(F.transform(F.array(F.map_from_entries("bv")), dense), F.lit(0))
+        return self._weighed(terms, id_col).select(id_col, found.alias(out_col))
+
+    def transform_sparse(self, data: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        """(id, bucket, value): normalised signed buckets that hold a token."""
+        return self.transform_terms_sparse(term_counts(data, id_col, text_col), id_col)
 
     def transform(self, data: DataFrame, id_col: str, text_col: str, out_col: str = "vector") -> DataFrame:
         """(id, vector): dense normalised vectors of length ``dim``."""
-        sp = self.transform_sparse(data, id_col, text_col)
-        g = sp.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("m"))
-        dense = F.transform(F.sequence(F.lit(0), F.lit(self.dim - 1)),
-                            lambda i: F.coalesce(F.element_at(F.col("m"), i), F.lit(0.0)))
-        return g.select(id_col, dense.alias(out_col))
+        return self.transform_terms(term_counts(data, id_col, text_col), id_col, out_col)
 
 
 class HashingEmbedder:
@@ -90,16 +101,22 @@ class HashingEmbedder:
     def name(self) -> str:
         return f"hash-{self.dim}"
 
+    def model(self, frequencies: DataFrame, n_docs: Column) -> IdfModel:
+        """Model of document frequencies (tok, df) that are known already."""
+        df = frequencies.withColumn("bucket", _bucket(F.col("tok"), self.dim)).withColumn("sign", _sign(F.col("tok")))
+        return IdfModel(df, n_docs, self.dim)
+
+    def fit_terms(self, terms: DataFrame, id_col: str) -> IdfModel:
+        """Model of the term counts (id, tok, tf) of a corpus. Pass a written
+        table: it is read for the frequencies and for the number of texts."""
+        return self.model(terms.groupBy("tok").agg(F.count(F.lit(1)).alias("df")),
+                          terms.select(F.count_distinct(id_col)).scalar())
+
     def fit(self, corpus: DataFrame, id_col: str, text_col: str, cache: bool = True) -> IdfModel:
-        tf = term_counts(corpus, id_col, text_col)
+        m = self.fit_terms(term_counts(corpus, id_col, text_col), id_col)
         # the fitted table is used by every transform: kept like a model
         # (``IdfModel.unpersist`` releases it)
-        df = tf.groupBy("tok").agg(F.count(F.lit(1)).alias("df")) \
-            .withColumn("bucket", _bucket(F.col("tok"), self.dim)).withColumn("sign", _sign(F.col("tok")))
-        if cache:
-            df = df.persist()
-        n_docs = tf.select(F.count_distinct(id_col)).scalar()
-        return IdfModel(df, n_docs, self.dim)
+        return IdfModel(m.df.persist(), m.n_docs, m.dim) if cache else m
 
 
 class PandasEmbedder:

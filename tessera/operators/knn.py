@@ -10,7 +10,7 @@ without clusters no cell can be left out and all pairs are scored.
 
 * Neither side passes through the driver. It sees the centres, whose bytes are
   bounded by ``CENTRE_BYTES``, and a radius and a count for each.
-* Queries are sliced by their nearest centre. A slice and a cell meet as one
+* Queries are sliced by their nearest centres. A slice and a cell meet as one
   group of a cogroup only if a query of the slice needs the cell; a cell's rows
   are sent to those slices alone. Cells and slices with many rows (a third of
   all may be one vector) are dealt into parts of bounded size by row number.
@@ -69,11 +69,17 @@ def _unit(mat: np.ndarray) -> np.ndarray:
     return mat / norm[:, None]
 
 
+def _plain(col: pd.Series) -> np.ndarray:
+    """Ids as numbers or Python objects, not as pandas' own string type, whose
+    columns can come apart into several Arrow chunks."""
+    return col.to_numpy() if col.dtype.kind in "iufb" else col.to_numpy(dtype=object)
+
+
 def _make_scorer(k, exclude_self, normalize):
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
-        qids, ids = left["_qid"].to_numpy(), right["_did"].to_numpy()
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("query_id", "doc_id", "score")})
+        qids, ids = _plain(left["_qid"]), _plain(right["_did"])
         qmat, dmat = _as_matrix(left["_vec"]), _as_matrix(right["_vec"])
         if normalize:
             qmat, dmat = _unit(qmat), _unit(dmat)
@@ -85,8 +91,8 @@ def _make_scorer(k, exclude_self, normalize):
             if exclude_self:
                 s = np.where(qids[:, None] == ids[None, part], -np.inf, s)
             best_s, best_i = _topk_merge(best_s, best_i, s, ids[part], k)
-        out = pd.DataFrame({"query_id": np.repeat(qids, best_s.shape[1]), "doc_id": best_i.ravel(),
-                            "score": best_s.ravel()})
+        out = pd.DataFrame({"query_id": pd.Series(np.repeat(qids, best_s.shape[1]), dtype=qids.dtype),
+                            "doc_id": pd.Series(best_i.ravel(), dtype=ids.dtype), "score": best_s.ravel()})
         return out[np.isfinite(out["score"].to_numpy())]
     return score
 
@@ -112,6 +118,20 @@ class _Cells:
         cell = np.argmin(np.nan_to_num(self.norms[None, :] - 2 * scores, nan=np.inf), axis=1)
         return cell, np.linalg.norm(mat - self.centres[cell], axis=1), scores
 
+    def slices(self, asking: np.ndarray, per_part: int) -> tuple[np.ndarray, np.ndarray]:
+        """(parts, first number) of the slices of the queries of each cell.
+        Cells with few queries share a slice with others, taken in order of
+        their score with the first centre; those with many are cut."""
+        parts = np.maximum(1, -(-asking // per_part))
+        first, number, held = np.zeros(len(asking), dtype=np.int64), 0, 0
+        for cell in np.argsort(-(self.centres @ self.centres[0]), kind="stable"):
+            if held and held + asking[cell] > max(CELL_ROWS, asking[cell]):
+                number, held = number + 1, 0
+            first[cell], held = number, held + asking[cell]
+            if parts[cell] > 1 or held >= CELL_ROWS:
+                number, held = number + parts[cell], 0
+        return parts, first
+
     def needed(self, mat, scores, ids, keys, k, exclude_self, most_rows) -> np.ndarray:
         """Mask (query, cell) of the cells that may hold a row of the top k."""
         size = np.linalg.norm(mat, axis=1)[:, None]
@@ -209,16 +229,18 @@ def block_plan(queries: DataFrame, corpus: DataFrame, k: int = 10, *,
     hashed = asked.withColumn("_qh", F.xxhash64("_qid")).withColumn("_kh", _hash(keys))
     planned = materialize(hashed.mapInPandas(plan, T.StructType([*asked.schema.fields, T.StructField(
         "_own", T.IntegerType()), T.StructField("_cells", T.ArrayType(T.IntegerType()))])), "knn-queries")
-    slices = np.ones(len(cells.centres), dtype=np.int64)
+    asking = np.zeros(len(cells.centres), dtype=np.int64)
     for r in planned.groupBy("_own").count().collect():
-        slices[r["_own"]] = max(1, -(-r["count"] // per_part))
+        asking[r["_own"]] = r["count"]
+    slices, first = cells.slices(asking, per_part)
 
     def deal(cell, counts):
         return F.pmod(F.xxhash64("_no"), _lookup(counts, F.col(cell))).cast("int")
 
-    left = (planned.withColumn("_slice", deal("_own", slices)).withColumn("_cell", F.explode("_cells"))
+    left = (planned.withColumn("_slice", deal("_own", slices) + _lookup(first, F.col("_own")))
+            .withColumn("_cell", F.explode("_cells"))
             .withColumn("_part", F.explode(F.sequence(F.lit(0), (_lookup(cells.parts, F.col("_cell")) - 1).cast("int")))))
-    group = ["_own", "_slice", "_cell", "_part"]
+    group = ["_slice", "_cell", "_part"]
     met = left.select(*(F.col(c).alias(c) for c in group)).distinct()
     right = placed.withColumn("_part", deal("_cell", cells.parts)).join(met, ["_cell", "_part"])
     return (left.select("_qid", "_vec", *group, *keys), right.select("_did", "_vec", *group, *keys), [*group, *keys])

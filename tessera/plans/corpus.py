@@ -205,18 +205,18 @@ def version_route(spark, sf_dir):
 
 
 def chunk_index(spark, sf_dir):
-    """The documentation chunk index rows: one per kept chunk, with a
-    numeric chunk id (conv_id * 10000 + section_no)."""
+    """The documentation chunk index rows: one per kept chunk, with the md5 of
+    (conv_id, section_no) as its id."""
     docs = fx1_markdown(spark, sf_dir)
     secs = markdown_sections(docs, "conv_id", "content")
     ch = chunk_sections(secs).join(docs.select("conv_id", "source_file"), "conv_id")
-    return ch.select((F.col("conv_id") * 10000 + F.col("section_no")).alias("chunk_id"), "text_chunk", "header",
+    return ch.select(F.md5(F.concat_ws(":", "conv_id", "section_no")).alias("chunk_id"), "text_chunk", "header",
                      doc_url("source_file", F.lit(DOCS_BASE_URL)).alias("url"), "source_file", "word_length")
 
 
 CHUNKS_SQL = f"""chunks AS (WITH {SECTIONS_SQL},
 c AS (SELECT s.conv_id, s.section_no, s.header, {S.sanitize_links('s.text')} AS text_chunk, d.source_file
       FROM sections s JOIN docs d USING (conv_id))
-SELECT conv_id * 10000 + section_no AS chunk_id, text_chunk, coalesce(header, 'N/A') AS header,
+SELECT md5(conv_id || ':' || section_no) AS chunk_id, conv_id, section_no, text_chunk, coalesce(header, 'N/A') AS header,
        '{DOCS_BASE_URL}' || regexp_replace(source_file, '\\.md$', '') AS url
 FROM c WHERE {S.word_count('text_chunk')} >= 10)"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions.text import truncate_text
-from tessera.operators.embed import HashingEmbedder, TOKEN_PATTERN
+from tessera.operators.embed import HashingEmbedder, TOKEN_PATTERN, term_counts
 from tessera.operators.knn import similarity_topk
 from tessera.operators.retrieve import format_code_hits, format_doc_hits
 from tessera.plans.corpus import CHUNKS_SQL, chunk_index
@@ -66,8 +66,8 @@ def hash_embed(spark, sf_dir):
     """Built-in embedder over whole documents: tokens, tf-idf, 64 signed
     md5 buckets, L2 norm; sparse output (F1)."""
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
-    model = HashingEmbedder(64).fit(docs, "doc_id", "text", cache=False)   # used once
-    sp = model.transform_sparse(docs, "doc_id", "text")
+    terms = materialize(term_counts(docs, "doc_id", "text"), "document-terms")
+    sp = HashingEmbedder(64).fit_terms(terms, "doc_id").transform_terms_sparse(terms, "doc_id")
     return sp.select("doc_id", "bucket", _score(F.col("value")).alias("value"))
 
 
@@ -76,8 +76,9 @@ def _search_chunks(spark, sf_dir, k=10, dim=64):
     # folder) and every later step reads them
     chunks = materialize(chunk_index(spark, sf_dir), "chunk-index")
     bench = read_table(spark, sf_dir, "benchmark", "item_id", "text")
-    model = HashingEmbedder(dim).fit(chunks, "chunk_id", "text_chunk", cache=False)
-    cvec = materialize(model.transform(chunks, "chunk_id", "text_chunk"), "chunk-vectors")
+    terms = materialize(term_counts(chunks, "chunk_id", "text_chunk"), "chunk-terms")
+    model = HashingEmbedder(dim).fit_terms(terms, "chunk_id")
+    cvec = materialize(model.transform_terms(terms, "chunk_id"), "chunk-vectors")
     qvec = materialize(model.transform(bench, "item_id", "text"), "query-vectors")
     hits = similarity_topk(qvec.withColumnRenamed("item_id", "query_id"), cvec, k, query_id="query_id",
                            query_vec="vector", doc_id="chunk_id", doc_vec="vector")
@@ -138,13 +139,15 @@ def multi_model_hits(spark, sf_dir):
     bench = read_table(spark, sf_dir, "benchmark", "item_id", "text")
     width = max(DIMS)
     pad = lambda c, d: F.concat(F.col(c), F.array_repeat(F.lit(0.0), width - d))
+    terms = materialize(term_counts(chunks, "chunk_id", "text_chunk"), "chunk-terms")
+    asked = materialize(term_counts(bench, "item_id", "text"), "query-terms")
     idx, qs = None, None
     for d in DIMS:
-        m = HashingEmbedder(d).fit(chunks, "chunk_id", "text_chunk", cache=False)
-        c = m.transform(chunks, "chunk_id", "text_chunk").select(
+        m = HashingEmbedder(d).fit_terms(terms, "chunk_id")
+        c = m.transform_terms(terms, "chunk_id").select(
             "chunk_id", pad("vector", d).alias("vector"), F.lit(f"hash-{d}").alias("model"))
-        q = m.transform(bench, "item_id", "text").select(
-            (F.col("item_id") * 1000 + d).alias("qkey"), "item_id", pad("vector", d).alias("vector"),
+        q = m.transform_terms(asked, "item_id").select(
+            F.concat_ws(":", F.lit(d), F.col("item_id")).alias("qkey"), "item_id", pad("vector", d).alias("vector"),
             F.lit(f"hash-{d}").alias("model"))
         idx = c if idx is None else idx.unionByName(c)
         qs = q if qs is None else qs.unionByName(q)
@@ -160,7 +163,7 @@ _EX_EMBED = embed_sql("e", "ex", "ex_id", "text", 64, [("ev", "ex", "ex_id", "te
                                                        ("bq", "benchmark", "item_id", "text")])
 
 
-@register("hit_blocks_distinct", sql=f"""WITH ex AS (SELECT o_orderkey * 100 + pos AS ex_id, text, code FROM ({_EX_SQL})),
+@register("hit_blocks_distinct", sql=f"""WITH ex AS (SELECT md5(o_orderkey || ':' || pos) AS ex_id, text, code FROM ({_EX_SQL})),
 {_EX_EMBED},
 hits AS ({topk_sql("bq", "ev", 10, "query_id", "ex_id")}),
 best AS (SELECT h.query_id, x.code, min(h.rank) AS rank FROM hits h JOIN ex x USING (ex_id) GROUP BY h.query_id, x.code)
@@ -172,11 +175,12 @@ def hit_blocks_distinct(spark, sf_dir):
     """Example index (labelled code examples) searched with the benchmark
     texts; distinct code blocks per query in rank order (C18, H5)."""
     ex = materialize(example_rows(spark, sf_dir).select(
-        (F.col("o_orderkey") * 100 + F.col("pos")).alias("ex_id"), "text", "code"), "example-index")
+        F.md5(F.concat_ws(":", "o_orderkey", "pos")).alias("ex_id"), "text", "code"), "example-index")
     bench = read_table(spark, sf_dir, "benchmark", "item_id", "text")
-    m = HashingEmbedder(64).fit(ex, "ex_id", "text", cache=False)
+    terms = materialize(term_counts(ex, "ex_id", "text"), "example-terms")
+    m = HashingEmbedder(64).fit_terms(terms, "ex_id")
     qvec = materialize(m.transform(bench, "item_id", "text"), "query-vectors")
-    evec = materialize(m.transform(ex, "ex_id", "text"), "example-vectors")
+    evec = materialize(m.transform_terms(terms, "ex_id"), "example-vectors")
     hits = similarity_topk(qvec.withColumnRenamed("item_id", "query_id"), evec, 10, query_id="query_id", query_vec="vector",
                            doc_id="ex_id", doc_vec="vector")
     return format_code_hits(hits.join(ex.select("ex_id", "code"), "ex_id"))

@@ -6,10 +6,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.operators.embed import HashingEmbedder
 from tessera.operators.features import latest_per_key
+from tessera.plans.corpus import CHUNKS_SQL, fx1_markdown
 from tessera.plans.registry import register
+from tessera.plans.search import embed_sql
 from tessera.sources.tables import read_table
 from tessera.streaming.features import dedup_events, sliding_aggregates, with_event_time
+from tessera.streaming.ingest import ChunkIndex
 from tessera.streaming.runner import ChangeLog, FileStream, time_slices
 
 N_SLICES = 4
@@ -78,23 +82,27 @@ def stream_latest(spark, sf_dir):
     return lat.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id", "value", "event_type")
 
 
-@register("stream_ingest", sql="""SELECT md5(text) AS id, doc_id, n_chars FROM documents
-QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id DESC) = 1""")
-def stream_ingest(spark, sf_dir):
-    """New documents arrive as files; every micro-batch appends its rows, one
-    per content id (md5 of the text), to the change log; the newest copy of a
-    text wins on read (J5, A8)."""
-    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "n_chars")
-    fs = FileStream(spark, "stream-ingest", docs.schema)
-    log = ChangeLog(spark, f"{fs.base}/log")
+_INGEST_EMBED = embed_sql("u", "u", "id", "text_chunk", 64, [("uv", "u", "id", "text_chunk")])
 
-    def handle(batch, epoch):
-        rows = batch.select(F.md5("text").alias("id"), "doc_id", "n_chars")
-        log.write(latest_per_key(rows, "id", "doc_id", "doc_id", ["n_chars"]), epoch)
 
-    lo, hi = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    step = (hi - lo) // N_SLICES + 1
+@register("stream_ingest", sql=f"""WITH {CHUNKS_SQL},
+u AS (SELECT md5(text_chunk) AS id, conv_id, section_no, header, text_chunk FROM chunks
+      QUALIFY row_number() OVER (PARTITION BY md5(text_chunk) ORDER BY conv_id DESC, section_no DESC) = 1),
+{_INGEST_EMBED}
+SELECT u.id, conv_id AS doc_id, section_no, header, bucket, round(value, 6) + 0.0 AS value
+FROM u JOIN uv_vec USING (id)""")
+def stream_ingest(spark, sf_dir):
+    """New Markdown documents arrive as files; every micro-batch is cut into
+    chunks and terms and appended to the index with the change it makes to the
+    document frequencies. The newest copy of a chunk wins on read, and vectors
+    are weighed from the merged frequencies (J5, A8): the same rows as a build
+    over all documents at once."""
+    docs = fx1_markdown(spark, sf_dir).select(F.col("conv_id").alias("doc_id"), F.col("content").alias("text"))
+    fs = FileStream(spark, "stream-ingest", docs.schema)
+    index = ChunkIndex(spark, f"{fs.base}/index")
     for i in range(N_SLICES):
-        fs.land(docs.filter((F.col("doc_id") >= lo + i * step) & (F.col("doc_id") < lo + (i + 1) * step)))
-        fs.run_foreach_batch(lambda s: s, handle)
-    return latest_per_key(log.read(), "id", "doc_id", "doc_id", ["n_chars"]).select("id", "doc_id", "n_chars")
+        fs.land(docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(N_SLICES)) == i))
+        fs.run_foreach_batch(lambda s: s, index.write)
+    found = index.chunks().join(index.vectors(HashingEmbedder(64)), "id")
+    return found.select("id", "doc_id", "section_no", "header", "bucket",
+                        (F.round("value", 6) + F.lit(0.0)).alias("value"))

@@ -73,14 +73,21 @@ class ChangeLog:
     """Rows of keyed updates, appended batch by batch: one folder per
     micro-batch, and a batch that is run again replaces its own folder. Earlier
     batches are never rewritten; readers take the latest row of a key
-    (``latest_per_key``)."""
+    (``latest_per_key``). With a ``schema`` the log can be read before the
+    first batch, or if all batches are empty."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, schema: str | None = None):
         self.spark, self.path = spark, path
+        self.schema = f"{schema}, epoch long" if schema else None
+        if schema:
+            spark.createDataFrame([], schema).write.mode("append").parquet(path)
 
     def write(self, batch: DataFrame, epoch: int) -> None:
         (batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(self.path))
 
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path).drop("epoch")
+    def read(self, before: int | None = None) -> DataFrame:
+        """All rows, or those of the batches before one."""
+        reader = self.spark.read.schema(self.schema) if self.schema else self.spark.read
+        rows = reader.parquet(self.path)
+        return (rows if before is None else rows.where(F.col("epoch") < before)).drop("epoch")
