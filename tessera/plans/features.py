@@ -66,23 +66,26 @@ RANK_BOUND = 0.02  # of the sketches below; their error is under 1.33 % in 99 of
 
 
 @register("window_percentile", sql=f"""WITH e AS (SELECT event_id, user_id, ts, value, {E_US}(ts) AS t FROM events)
-SELECT a.event_id, a.user_id, a.ts, count(b.value) AS n_1d, 1 AS rank_ok_1d
+SELECT a.event_id, a.user_id, a.ts, quantile_disc(CASE WHEN b.t > a.t - {_us(H)} THEN b.value END, 0.5) AS p50_1h,
+       count(b.value) AS n_1d, 1 AS rank_ok_1d
 FROM e a JOIN e b ON a.user_id = b.user_id AND b.t <= a.t AND b.t > a.t - {_us(D)}
 GROUP BY a.event_id, a.user_id, a.ts""")
 def window_percentile(spark, sf_dir):
-    """Median of the value over the past day per user from KLL sketches kept
-    as tile state (H8), told by its rank: rank_ok_1d is 1 if the exact share of
+    """Median of the value over the past hour and day per user from KLL
+    sketches kept as tile state (H8). p50_1h is exact for hours of up to 200
+    values. The day's median is told by its rank: rank_ok_1d is 1 if the exact share of
     the window's values up to the median, and of those below it, leave one half
     within RANK_BOUND. The exact counterpart is ``window_median_exact``."""
     ev = events(spark, sf_dir, "event_id", "user_id", "ts", "value")
     out = tiled_window_features(ev, "user_id", "ts", "event_id", [
+        WindowAgg("p50_1h", "quantile_sketch", "value", H, (0.5, 200)),
         WindowAgg("p50_1d", "quantile_sketch", "value", D, (0.5, 200)), WindowAgg("n_1d", "count", "value", D)])
     found = range_window_features(out, "user_id", "ts", [WindowAgg("seen", "values", "value", D)])
     below = F.size(F.filter("seen", lambda v: v < F.col("p50_1d"))) / F.col("n_1d")
     upto = F.size(F.filter("seen", lambda v: v <= F.col("p50_1d"))) / F.col("n_1d")
     ok = F.when(F.col("n_1d") == 0, F.col("p50_1d").isNull()).otherwise(
         (upto >= 0.5 - RANK_BOUND) & (below <= 0.5 + RANK_BOUND))
-    return found.select("event_id", "user_id", "ts", "n_1d", ok.cast("int").alias("rank_ok_1d"))
+    return found.select("event_id", "user_id", "ts", "p50_1h", "n_1d", ok.cast("int").alias("rank_ok_1d"))
 
 
 @register("window_median_exact", sql=f"""WITH e AS (SELECT event_id, user_id, ts, value, {E_US}(ts) AS t FROM events)
