@@ -47,13 +47,13 @@ def _flush(hashes: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
             names=["row", "block", "cells", "twice"])
 
 
-def parts(hashes: Iterator[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
-    """Sketch parts of a task's stream of key hashes."""
+def parts(hashes: Iterator[np.ndarray], bits: int, flush: int = FLUSH) -> Iterator[pa.RecordBatch]:
+    """Sketch parts of a task's stream of key hashes, ``flush`` of them at a time."""
     held, n = [], 0
     for h in hashes:
         held.append(h)
         n += len(h)
-        if n >= FLUSH:
+        if n >= flush:
             yield from _flush(np.concatenate(held), bits)
             held, n = [], 0
     if n:

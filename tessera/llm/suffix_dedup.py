@@ -43,19 +43,24 @@ LENGTH = 100
 GRAM = 32
 CHUNK_BYTES = 1 << 18  # texts handled as one array
 GROUP_BYTES = 1 << 17  # contexts merged together, unless those of one minimizer are more
+SETTLE_BYTES = 1 << 20  # contexts whose strings are hashed together, unless those of one minimizer are more
+FLUSH = 1 << 17  # hashes a task holds for the sketch
 SHARDS = 8
 
 
 def _chunks(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
-    texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in column]
-    at = 0
-    while at < len(texts):
-        end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end]) <= CHUNK_BYTES):
-            size += len(texts[end])
-            end += 1
-        yield at, texts[at:end]
-        at = end
+    """(row of the first text, texts) of about ``CHUNK_BYTES``; no more than
+    one chunk's texts are copied out of the batch."""
+    at, texts, size = 0, [], 0
+    for i, x in enumerate(column):
+        t = x.as_buffer().to_pybytes() if x.is_valid else b""
+        if texts and size + len(t) > CHUNK_BYTES:
+            yield at, texts
+            at, texts, size = i, [], 0
+        texts.append(t)
+        size += len(t)
+    if texts:
+        yield at, texts
 
 
 def _windows(texts: list[bytes], length: int):
@@ -179,10 +184,24 @@ def _merged(group: list[tuple[int, int]], contexts: list[bytes], length: int, ou
 def class_marks(classes: DataFrame, length: int) -> DataFrame:
     """(c1, c2, fresh): for the contexts (m, c1, c2, context, first) with a
     string that stands earlier, a bit per string, set if it does not."""
-    def settle(key, c1, c2, contexts):
+    def settle(keys, c1s, c2s, all_contexts):
+        """Marks of the contexts of whole keys, about ``SETTLE_BYTES`` at a time."""
+        new_key = np.concatenate(([True], np.diff(keys) != 0))
+        taken = np.cumsum([len(c) for c in all_contexts])
+        at = 0
+        while at < len(keys):
+            end = int(np.searchsorted(taken, (taken[at - 1] if at else 0) + SETTLE_BYTES, side="right"))
+            end = max(end, at + 1)
+            while end < len(keys) and not new_key[end]:
+                end += 1
+            part = slice(at, end)
+            yield marks_of(keys[part], c1s[part], c2s[part], all_contexts[part])
+            at = end
+
+    def marks_of(key, c1, c2, contexts):
         masks = first_strings(key, contexts, length)
         some = np.array([i for i, m in enumerate(masks) if not m.all()], dtype=np.int64)
-        yield pa.RecordBatch.from_arrays(
+        return pa.RecordBatch.from_arrays(
             [pa.array(c1[some]), pa.array(c2[some]),
              pa.array([np.packbits(masks[i]).tobytes() for i in some], pa.binary())], names=["c1", "c2", "fresh"])
 
@@ -218,7 +237,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
 
     def sketch_parts(batches):
         return count_min.parts((_windows(t, length)[2].selected() for b in batches for _, t in _chunks(b.column(0))),
-                               bits)
+                               bits, FLUSH)
 
     met = spark.sparkContext.broadcast(count_min.merge(
         src.select("text").mapInArrow(sketch_parts, count_min.PARTS), bits))
@@ -256,7 +275,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
     def class_parts(batches):
         # A context that repeats a string within itself counts as several.
         return count_min.parts((np.repeat(b.column(0).to_numpy().view(np.uint64),
-                                          1 + b.column(1).to_numpy(zero_copy_only=False)) for b in batches), bits)
+                                          1 + b.column(1).to_numpy(zero_copy_only=False)) for b in batches), bits,
+                               FLUSH)
 
     several = spark.sparkContext.broadcast(count_min.merge(
         classes.select("m", "own").mapInArrow(class_parts, count_min.PARTS), bits))

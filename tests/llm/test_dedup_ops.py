@@ -338,3 +338,14 @@ def test_digest_of_kept_words(spark):
     rows = E.queries()["op2_substring_dedup"](spark, SMALL).collect()
     want = {i: hashlib.sha256(kept.encode()).hexdigest() for i, _, _, kept in brute_substring(small_texts(spark), 35)}
     assert {r.doc_id: r.kept_sha256 for r in rows} == want
+
+
+def test_suffix_settles_whole_keys_in_small_lots(spark, monkeypatch):
+    rows = [(i, f"{i % 5} " + "the same passage stands in many texts " * 2 + str(i % 3)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(suffix_dedup.dedup(docs, 20).drop("kept").collect())
+    monkeypatch.setattr(suffix_dedup, "SETTLE_BYTES", 1)
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 64)
+    monkeypatch.setattr(suffix_dedup, "FLUSH", 16)
+    assert sorted(suffix_dedup.dedup(docs, 20).drop("kept").collect()) == want
+    assert sum(r["n_removed"] for r in want) > 0
