@@ -30,12 +30,13 @@ def judge_scores(answer) -> Column:
     """Judge answer -> array<struct<model string, score int, pos int>>.
 
     JSON path: the cleaned text is a JSON object whose every value converts
-    to an integer. Otherwise, line by line: split at the first ':', strip
-    the key of white space, quotes and spaces, strip the value and trailing
-    commas, keep integers. ``pos`` orders duplicates (later lines win).
+    to an integer by its JSON type (``_int_of``). Otherwise, line by line:
+    split at the first ':', strip the key of white space, quotes and spaces,
+    strip the value and trailing commas, keep whole numbers. ``pos`` orders
+    duplicates (later lines win).
     """
     t = strip_json_fence(answer)
-    m = F.from_json(t, "map<string,string>")
+    m = F.from_json(t, "map<string,variant>")
     entries = F.transform(F.map_entries(m), lambda e: F.struct(
         e["key"].alias("model"), _int_of(e["value"]).alias("score")))
     json_ok = m.isNotNull() & F.forall(entries, lambda e: e["score"].isNotNull())
@@ -46,8 +47,7 @@ def judge_scores(answer) -> Column:
                           lambda s: F.contains(s["l"], F.lit(":")))
     parsed = F.transform(with_colon, lambda s: F.struct(
         F.regexp_replace(trim_ws(F.substring_index(s["l"], ":", 1)), '^[" ]+|[" ]+$', "").alias("model"),
-        trim_ws(F.regexp_replace(trim_ws(_after_first(s["l"], ":")), ",+$", ""))
-        .try_cast("int").alias("score"),
+        _whole(F.regexp_replace(trim_ws(_after_first(s["l"], ":")), ",+$", "")).alias("score"),
         s["pos"].alias("pos")))
     line_rows = F.filter(parsed, lambda s: s["score"].isNotNull())
     return F.when(json_ok, json_rows).otherwise(line_rows)
@@ -58,12 +58,20 @@ def _after_first(s: Column, sep: str) -> Column:
     return F.substring(s, F.instr(s, sep) + len(sep), 1 << 30)
 
 
+def _whole(text: Column) -> Column:
+    """A signed run of digits, white space around it aside, as an integer."""
+    t = trim_ws(text)
+    return F.when(t.rlike("^[+-]?[0-9]+$"), t.try_cast("int"))
+
+
 def _int_of(v: Column) -> Column:
-    """int() of a JSON scalar read as text: integers and digit strings;
-    numbers with a fraction are truncated."""
-    t = trim_ws(v)
-    return F.coalesce(t.try_cast("int"), F.when(t.rlike("^[+-]?[0-9]*\\.[0-9]+$"),
-                                                t.try_cast("double").try_cast("int")))
+    """Integer of a JSON scalar (a variant): numbers are cut to their whole
+    part, true is 1 and false 0, strings must hold a whole number; null,
+    arrays and objects have none."""
+    kind, text = F.schema_of_variant(v), F.try_variant_get(v, "$", "string")
+    return (F.when(kind == "STRING", _whole(text))
+            .when(kind == "BOOLEAN", F.when(text == "true", F.lit(1)).otherwise(F.lit(0)))
+            .when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE)"), text.try_cast("double").try_cast("int")))
 
 
 def query_list(text) -> Column:

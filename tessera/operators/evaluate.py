@@ -57,6 +57,20 @@ def run_summary(scored: DataFrame) -> DataFrame:
                       .alias("success_rate"))
 
 
+def failures(scored: DataFrame) -> DataFrame:
+    """The failed tests (H2); a test whose success is unknown has failed."""
+    return scored.filter(~F.coalesce("success", F.lit(False))).select("test_name", "test_type", "score", "explanation")
+
+
+def all_passed(scored: DataFrame) -> DataFrame:
+    """(test_type, all_passed), and a row of null type for the whole run,
+    which has passed if there are no tests (H2)."""
+    ok = F.coalesce("success", F.lit(False))
+    by_type = scored.groupBy("test_type").agg(F.bool_and(ok).alias("all_passed"))
+    total = scored.agg(F.coalesce(F.bool_and(ok), F.lit(True)).alias("all_passed"))
+    return by_type.unionByName(total.select(F.lit(None).cast("string").alias("test_type"), "all_passed"))
+
+
 def case_violations(cases: DataFrame) -> DataFrame:
     """Test cases that are not valid (B7): no prompt, or neither an expected
     response nor an expected repository. Columns: name, has_prompt,

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.parse import declarations
 from tessera.functions.text import trim_ws
-from tessera.operators.evaluate import model_stats, parse_judgements, run_summary, score_results
+from tessera.operators.evaluate import (all_passed, failures, model_stats, parse_judgements, run_summary,
+                                        score_results)
 from tessera.plans import sqltext as S
 from tessera.plans.registry import register
 from tessera.sources.tables import read_table
@@ -17,7 +18,8 @@ TESTED_MODELS = ["click", "error", "purchase", "signup", "view", "random"]
 
 # FX9: one judge answer per user; each event type is a "model" scored
 # floor(max value) % 10 + 1. Clean JSON, fenced JSON or loose lines by user;
-# some answers quote a value, hold an unparsable value or an untested model.
+# some answers quote a value, hold an unparsable value, a fraction (bare or
+# quoted), a truth value or an untested model.
 def fx9_answers(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events", "user_id", "event_type", "value")
     sc = ev.groupBy("user_id", "event_type").agg(
@@ -26,6 +28,9 @@ def fx9_answers(spark, sf_dir):
     val = (F.when((u % 7 == 0) & (F.col("event_type") == "click"),
                   F.concat(F.lit('"'), F.col("score").cast("string"), F.lit('"')))
            .when((u % 11 == 0) & (F.col("event_type") == "view"), F.lit('"n/a"'))
+           .when((u % 13 == 0) & (F.col("event_type") == "signup"), F.lit('"7.5"'))
+           .when((u % 17 == 0) & (F.col("event_type") == "purchase"), F.lit("true"))
+           .when((u % 8 == 0) & (F.col("event_type") == "error"), F.concat(F.col("score").cast("string"), F.lit(".75")))
            .otherwise(F.col("score").cast("string")))
     entry = F.concat(F.lit('"'), F.col("event_type"), F.lit('": '), val)
     extra = ev.select("user_id").distinct().filter(u % 5 == 0) \
@@ -47,6 +52,9 @@ en AS (SELECT user_id, event_type,
               '"' || event_type || '": ' ||
               CASE WHEN user_id % 7 = 0 AND event_type = 'click' THEN '"' || CAST(score AS VARCHAR) || '"'
                    WHEN user_id % 11 = 0 AND event_type = 'view' THEN '"n/a"'
+                   WHEN user_id % 13 = 0 AND event_type = 'signup' THEN '"7.5"'
+                   WHEN user_id % 17 = 0 AND event_type = 'purchase' THEN 'true'
+                   WHEN user_id % 8 = 0 AND event_type = 'error' THEN CAST(score AS VARCHAR) || '.75'
                    ELSE CAST(score AS VARCHAR) END AS entry FROM sc
        UNION ALL SELECT DISTINCT user_id, 'zz_bm25', '"bm25": 4' FROM events WHERE user_id % 5 = 0),
 g AS (SELECT user_id, string_agg(entry, ', ' ORDER BY event_type) AS body,
@@ -63,19 +71,25 @@ _T3 = ("trim3 AS (SELECT query_id, " + S.trim_ws(
 
 JUDGE_SQL = f"""{FX9_SQL}, {_T3},
 js AS (SELECT query_id, t, json_valid(t) AND json_type(t) = 'OBJECT' AS is_obj FROM trim3),
-jv AS (SELECT query_id, t, k, TRY_CAST(trim(json_extract_string(t, '$."' || k || '"')) AS INTEGER) AS score, pos
-       FROM (SELECT query_id, t, unnest(json_keys(t)) AS k, generate_subscripts(json_keys(t), 1) AS pos
-             FROM js WHERE is_obj)),
+jv AS (SELECT query_id, t, k, pos,
+              CASE WHEN kind = 'VARCHAR' AND regexp_full_match(trim(v), '[+-]?[0-9]+') THEN TRY_CAST(trim(v) AS INTEGER)
+                   WHEN kind = 'BOOLEAN' THEN CASE WHEN v = 'true' THEN 1 ELSE 0 END
+                   WHEN kind IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN TRY_CAST(trunc(TRY_CAST(v AS DOUBLE)) AS INTEGER)
+                   END AS score
+       FROM (SELECT query_id, t, k, pos, json_extract_string(t, '$."' || k || '"') AS v,
+                    json_type(t, '$."' || k || '"') AS kind
+             FROM (SELECT query_id, t, unnest(json_keys(t)) AS k, generate_subscripts(json_keys(t), 1) AS pos
+                   FROM js WHERE is_obj))),
 jok AS (SELECT query_id FROM js WHERE is_obj
         AND query_id NOT IN (SELECT query_id FROM jv WHERE score IS NULL)),
 ln AS (SELECT query_id, unnest(string_split_regex(t, {S.q(S.LINE_BREAK)})) AS l,
               generate_subscripts(string_split_regex(t, {S.q(S.LINE_BREAK)}), 1) AS pos
        FROM trim3 WHERE query_id NOT IN (SELECT query_id FROM jok)),
-lp AS (SELECT query_id, pos,
-              regexp_replace({S.trim_ws("split_part(l, ':', 1)")}, '^[" ]+|[" ]+$', '', 'g') AS k,
-              TRY_CAST({S.trim_ws("regexp_replace(" + S.trim_ws("substr(l, strpos(l, ':') + 1)") + ", ',+$', '')")}
-                       AS INTEGER) AS score
-       FROM ln WHERE contains(l, ':')),
+lp AS (SELECT query_id, pos, k, CASE WHEN regexp_full_match(v, '[+-]?[0-9]+') THEN TRY_CAST(v AS INTEGER) END AS score
+       FROM (SELECT query_id, pos,
+                    regexp_replace({S.trim_ws("split_part(l, ':', 1)")}, '^[" ]+|[" ]+$', '', 'g') AS k,
+                    {S.trim_ws("regexp_replace(" + S.trim_ws("substr(l, strpos(l, ':') + 1)") + ", ',+$', '')")} AS v
+             FROM ln WHERE contains(l, ':'))),
 allrows AS (SELECT query_id, k AS model, score, pos FROM jv WHERE query_id IN (SELECT query_id FROM jok)
             UNION ALL SELECT query_id, k, score, pos FROM lp WHERE score IS NOT NULL),
 judged AS (SELECT query_id, model, arg_max(score, pos) AS score FROM allrows GROUP BY query_id, model)"""
@@ -190,6 +204,21 @@ def run_summary_q(spark, sf_dir):
     return run_summary(score_results(res).drop("skip"))
 
 
+@register("run_failures", sql=f"""WITH {SCORED_SQL}
+SELECT test_name, test_type, score, explanation FROM scored WHERE NOT skip AND success IS NOT TRUE""")
+def run_failures(spark, sf_dir):
+    """The failed tests of a run, one row each (H2)."""
+    return failures(score_results(fx10_results(spark, sf_dir).filter(~F.col("skip"))))
+
+
+@register("run_overall", sql=f"""WITH {SCORED_SQL}
+SELECT test_type, bool_and(coalesce(success, false)) AS all_passed FROM scored WHERE NOT skip
+GROUP BY GROUPING SETS ((), (test_type))""")
+def run_overall(spark, sf_dir):
+    """Whether all tests passed, of each type and in all (H2)."""
+    return all_passed(score_results(fx10_results(spark, sf_dir).filter(~F.col("skip"))))
+
+
 # FX8: one extraction answer per order (its lines' [returnflag, linestatus]
 # pairs; line 3 gives a 1-element pair; every 13th answer is malformed) and
 # a small code file per order; urgent orders come from the "native" folder.

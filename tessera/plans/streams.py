@@ -14,6 +14,7 @@ from tessera.plans.search import embed_sql
 from tessera.sources.tables import read_table
 from tessera.streaming.features import dedup_events, sliding_aggregates, with_event_time
 from tessera.streaming.ingest import ChunkIndex
+from tessera.streaming.late import LateRows
 from tessera.streaming.runner import ChangeLog, FileStream, time_slices
 
 N_SLICES = 4
@@ -82,6 +83,48 @@ def stream_latest(spark, sf_dir):
     return lat.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id", "value", "event_type")
 
 
+# Every seventh event arrives one slice after its own.
+_LATE_SQL = f"""e AS (SELECT event_id, user_id, ts, epoch_us(ts) AS t FROM events),
+mm AS (SELECT min(t) AS lo, (max(t) - min(t)) // {N_SLICES} + 1 AS step FROM e),
+s AS (SELECT event_id, user_id, ts, t, (t - lo) // step + CASE WHEN event_id % 7 = 3 THEN 1 ELSE 0 END AS batch
+      FROM e CROSS JOIN mm),
+bm AS (SELECT batch, max(max(t)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen
+       FROM s GROUP BY batch),
+marked AS (SELECT s.*, coalesce(t < seen - {60 * MIN_US}, false) AS late FROM s JOIN bm USING (batch))"""
+
+
+def _late_stream(spark, sf_dir):
+    ev, fs = _event_stream(spark, sf_dir, "stream-late", "event_id", "user_id", "ts")
+    split = LateRows(spark, f"{fs.base}/split", "event_id long, user_id long, ts timestamp", "ts", 3600)
+    held = F.col("event_id") % 7 == 3
+    slices = time_slices(ev, "ts", N_SLICES)
+    for i in range(N_SLICES + 1):
+        own = slices[i].where(~held) if i < len(slices) else None
+        rest = slices[i - 1].where(held) if 0 < i <= len(slices) else None
+        arriving = [d for d in (own, rest) if d is not None]
+        for d in arriving:
+            fs.land(d)
+        if arriving:
+            fs.run_foreach_batch(lambda s: s, split.write)
+    return split
+
+
+@register("stream_late_counts", sql=f"""WITH {_LATE_SQL}
+SELECT count(*) FILTER (WHERE NOT late) AS n_on_time, count(*) FILTER (WHERE late) AS n_late, batch FROM marked
+GROUP BY batch""")
+def stream_late_counts(spark, sf_dir):
+    """On-time and late rows of every micro-batch, watermark one hour behind
+    the largest event time of the batches before (J6)."""
+    return _late_stream(spark, sf_dir).counts()
+
+
+@register("stream_late_rows", sql=f"WITH {_LATE_SQL} SELECT event_id, user_id, ts FROM marked WHERE late")
+def stream_late_rows(spark, sf_dir):
+    """The rows that came too late, from the side table."""
+    late = _late_stream(spark, sf_dir).late.read()
+    return late.select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
 _INGEST_EMBED = embed_sql("u", "u", "id", "text_chunk", 64, [("uv", "u", "id", "text_chunk")])
 
 

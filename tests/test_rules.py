@@ -102,6 +102,14 @@ def test_chunks_drop_short(spark):
     ('```json\n{"a": 3}\n```', {"a": 3}),
     ('{"a": "5", "b": 2}', {"a": 5, "b": 2}),
     ('{"a": 4.7}', {"a": 4}),
+    ('{"a": -4.7, "b": 1e1}', {"a": -4, "b": 10}),
+    ('{"a": true, "b": false}', {"a": 1, "b": 0}),
+    ('{"a": "7.5", "b": 2}', {}),
+    ('{"a": "7.5",\n"b": 2}', {}),
+    ('{\n"a": "7.5",\n"b": 2\n}', {"b": 2}),
+    ('{"a": null}', {}),
+    ('{"a": [1]}', {}),
+    ('"a": 7.5,\n"b": +3', {"b": 3}),
     ('"a": 3,\n"b": 9\nnoise', {"a": 3, "b": 9}),
     ('{"a": "n/a", "b": 2}', {}),
     ('[1, 2]', {}),
