@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators.services import (TYPE_MAP, request_fields, service_descriptions, service_join_keys,
-                                        spark_type)
+                                        spark_type, typed_requests)
 from tessera.plans.registry import register
 from tessera.sources.tables import read_table
 
@@ -135,3 +135,75 @@ def service_catalog(spark, sf_dir):
     """One description text per feature service (C20)."""
     services, refs, _, _, features, _ = fx7(spark, sf_dir)
     return service_descriptions(services, refs, features)
+
+
+# One request per order to the service of its first line's supplier: the
+# declared fields as JSON, some missing, of a wrong type or malformed.
+REQUEST_SCHEMA = {"amount": "Float64", "query_embedding": "Array(Float32)", "tags": "Map(String, Int64)"}
+
+
+def order_requests(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice")
+    li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
+    rows = o.join(li.where("l_linenumber = 1"), F.col("o_orderkey") == F.col("l_orderkey"))
+    k = F.col("o_orderkey")
+    body = F.concat_ws(
+        ", ",
+        F.when(k % 11 != 0, F.concat(F.lit('"amount": '), F.when(k % 7 == 0, F.lit('"n/a"')).otherwise(
+            F.col("o_totalprice").cast("string")))),
+        F.concat(F.lit('"query_embedding": ['), F.col("o_custkey").cast("string"),
+                 F.when(k % 13 == 0, F.lit(', "x"]')).otherwise(F.lit(", 0.5]"))),
+        F.concat(F.lit('"tags": {"lines": '), F.col("l_quantity").cast("int").cast("string"),
+                 F.when(k % 17 == 0, F.lit(', "share": 1.5}')).otherwise(F.lit("}"))))
+    return rows.select(k.alias("request_id"), F.col("l_suppkey").alias("service_no"),
+                       F.when(k % 19 == 0, F.lit("oops")).otherwise(F.concat(F.lit("{"), body, F.lit("}"))).alias("body"))
+
+
+_REQ_SQL = """r AS (SELECT o_orderkey AS request_id, l_suppkey AS service_no,
+       CASE WHEN o_orderkey % 19 = 0 THEN 'oops' ELSE '{' || concat_ws(', ',
+         CASE WHEN o_orderkey % 11 <> 0 THEN '"amount": ' ||
+           CASE WHEN o_orderkey % 7 = 0 THEN '"n/a"' ELSE CAST(o_totalprice AS VARCHAR) END END,
+         '"query_embedding": [' || o_custkey || CASE WHEN o_orderkey % 13 = 0 THEN ', "x"]' ELSE ', 0.5]' END,
+         '"tags": {"lines": ' || CAST(l_quantity AS INTEGER) ||
+           CASE WHEN o_orderkey % 17 = 0 THEN ', "share": 1.5}' ELSE '}' END) || '}' END AS body
+  FROM orders JOIN lineitem ON o_orderkey = l_orderkey AND l_linenumber = 1),
+j AS (SELECT request_id, service_no, CASE WHEN json_valid(body) AND json_type(CASE WHEN json_valid(body) THEN body END) = 'OBJECT'
+                                          THEN CAST(body AS JSON) END AS b FROM r),
+p AS (SELECT *, b IS NOT NULL AS ok, service_no % 2 = 0 AS has_e, service_no % 5 = 1 AS has_t,
+             json_extract(b, '$.amount') AS a, json_extract(b, '$.query_embedding') AS e, json_extract(b, '$.tags') AS g FROM j),
+t AS (SELECT *, TRY_CAST(json_extract_string(b, '$.amount') AS DOUBLE) AS av, CASE WHEN list_count(TRY_CAST(e AS FLOAT[])) = len(TRY_CAST(e AS FLOAT[])) THEN TRY_CAST(e AS FLOAT[]) END AS ev,
+             list_bool_and(list_transform(json_keys(g), lambda x: TRY_CAST(json_extract(g, '$."' || x || '"') AS DOUBLE)
+                                          = floor(TRY_CAST(json_extract(g, '$."' || x || '"') AS DOUBLE)))) AS g_ok FROM p)"""
+
+
+@register("request_rows", sql=f"""WITH {_REQ_SQL}
+SELECT request_id, service_no, round(av, 2) AS amount, CASE WHEN has_e AND ev IS NOT NULL THEN len(ev) END AS n_embedding,
+       CASE WHEN has_e THEN CAST(ev[1] AS DOUBLE) END AS first_value,
+       CASE WHEN has_t THEN CAST(json_extract(g, '$.lines') AS BIGINT) END AS n_lines
+FROM t WHERE ok AND av IS NOT NULL AND (NOT has_e OR ev IS NOT NULL) AND (NOT has_t OR g_ok)""")
+def request_rows(spark, sf_dir):
+    """Typed rows of the valid requests; which fields a request has follows
+    its service's schema (C16)."""
+    s = F.col("service_no")
+    out = typed_requests(order_requests(spark, sf_dir), REQUEST_SCHEMA,
+                         applies={"query_embedding": s % 2 == 0, "tags": s % 5 == 1})
+    return out.where(F.size("rejects") == 0).select(
+        "request_id", "service_no", F.round("amount", 2).alias("amount"),
+        F.when(F.col("query_embedding").isNotNull(), F.size("query_embedding")).cast("long").alias("n_embedding"),
+        F.get("query_embedding", F.lit(0)).cast("double").alias("first_value"),
+        F.try_element_at("tags", F.lit("lines")).alias("n_lines"))
+
+
+@register("request_rejects", sql=f"""WITH {_REQ_SQL}
+SELECT request_id, '' AS field, 'not a JSON object' AS reason FROM t WHERE NOT ok
+UNION ALL SELECT request_id, 'amount', CASE WHEN a IS NULL THEN 'missing' ELSE 'not Float64' END FROM t
+  WHERE ok AND av IS NULL
+UNION ALL SELECT request_id, 'query_embedding', 'not Array(Float32)' FROM t WHERE ok AND has_e AND ev IS NULL
+UNION ALL SELECT request_id, 'tags', 'not Map(String, Int64)' FROM t WHERE ok AND has_t AND NOT g_ok""")
+def request_rejects(spark, sf_dir):
+    """The fields of requests that are missing or do not fit their declared
+    type, with the reason (C16)."""
+    s = F.col("service_no")
+    out = typed_requests(order_requests(spark, sf_dir), REQUEST_SCHEMA,
+                         applies={"query_embedding": s % 2 == 0, "tags": s % 5 == 1})
+    return out.select("request_id", F.explode("rejects").alias("r")).select("request_id", "r.field", "r.reason")
