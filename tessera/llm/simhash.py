@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import text_key
 from tessera.llm.components import connected_components
 from tessera.session import materialize
 
@@ -261,11 +262,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, id_col
 
 def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 3, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
-    """``docs`` without all but the smallest id of each component. Rows that
-    repeat an id stay or go together; rows with a null id stay."""
-    found = near_duplicates(docs, shingle, distance, id_col, text_col)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, docs[id_col] == gone["doc_id"], "left_anti")
+    """``docs`` without all but the smallest id of each component. A document
+    is its id and text (two 64-bit hashes): rows equal in both stay or go
+    together; of rows that share an id but not the text, each stands for
+    itself, the lesser hashes being the smaller. Rows with a null id stay."""
+    text = F.col(f"`{text_col}`").cast("string")
+    key = F.struct(F.col(f"`{id_col}`").isNull().alias("last"), F.col(f"`{id_col}`").alias("id"), *text_key(text))
+    found = near_duplicates(docs.select(key.alias("doc_id"), text.alias("text")), shingle, distance)
+    gone = (found.where("doc_id.id is not null and doc_id <> component_id")
+            .select(F.col("doc_id").alias("__gone")).distinct())
+    return docs.join(gone, key == gone["__gone"], "left_anti")
 
 
 def hex_fingerprint(fp):

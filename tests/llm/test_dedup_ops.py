@@ -349,3 +349,14 @@ def test_suffix_settles_whole_keys_in_small_lots(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "FLUSH", 16)
     assert sorted(suffix_dedup.dedup(docs, 20).drop("kept").collect()) == want
     assert sum(r["n_removed"] for r in want) > 0
+
+
+def test_keep_one_tells_texts_of_one_id_apart(spark):
+    docs = documents(spark, [(1, "a b c d e f"), (2, "A b c d e f"), (2, "nobody else has this text at all"),
+                             (4, "p q r s t u"), (4, "p q r s t u"), (4, "P q r s t u"), (5, None), (6, "")])
+    docs = docs.selectExpr("*", "1 as last", "2 as id", "3 as k1", "4 as __gone")
+    rows = collections.Counter((r.doc_id, r.text) for r in simhash.keep_one(docs).collect())
+    four = [(t, n) for (i, t), n in rows.items() if i == 4]
+    assert four in ([("p q r s t u", 2)], [("P q r s t u", 1)])  # one text of the id stays, with its repeated row
+    assert {k: n for k, n in rows.items() if k[0] != 4} == {
+        (1, "a b c d e f"): 1, (2, "nobody else has this text at all"): 1, (5, None): 1}
