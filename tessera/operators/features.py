@@ -227,6 +227,18 @@ def _tile_agg(a: WindowAgg, c: Column) -> Column:
     return {"sum": F.sum, "count": F.sum, "count_if": F.sum, "min": F.min, "max": F.max}[a.fn](c)
 
 
+def sketch_state(a: WindowAgg) -> Column:
+    """State of fixed size of an aggregate over a group of raw rows."""
+    if a.fn not in TILE_FNS:
+        raise ValueError(f"aggregate {a.fn} has no state of fixed size; use one of {', '.join(TILE_FNS)}")
+    return _tile_agg(a, _tile_input(a))
+
+
+def sketch_value(a: WindowAgg, state: Column) -> Column:
+    """The feature value of a ``sketch_state``."""
+    return _tile_finish(a, state)
+
+
 def _tile_merge(a: WindowAgg, c: Column) -> Column:
     """Aggregate partial results (tile aggregates / sketches)."""
     if a.fn == "approx_distinct":

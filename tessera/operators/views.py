@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.operators.features import WindowAgg, asof_join, latest_per_key, range_window_features
-from tessera.streaming.features import sliding_aggregates, with_event_time
+from tessera.streaming.features import sliding_aggregates, windowed_aggregates, with_event_time
 
 
 @dataclass
@@ -111,6 +111,18 @@ class FeatureView:
         keyed, key = self._keyed(src)
         return self._unkeyed(sliding_aggregates(keyed, key, self.timestamp_field, value, window, slide, delay), key)
 
+    def window_aggregates(self, df: DataFrame, seconds: int, slide: str = "10 minutes",
+                          delay: str = "10 minutes") -> DataFrame:
+        """The view's own aggregations of one window length, per key and
+        sliding window (J1, J4): live on a streaming ``df``, the backfill on a
+        batch one, by the same plan. Lengths differ in their state, so a view
+        with several has one stream for each."""
+        aggs = [a for a in self.aggregations if a.seconds == seconds]
+        if not aggs:
+            raise ValueError(f"view {self.name} has no aggregation over {seconds} seconds")
+        src = self._input(with_event_time(df, self.timestamp_field) if df.isStreaming else df)
+        return windowed_aggregates(src, self.keys, self.timestamp_field, aggs, f"{seconds} seconds", slide, delay)
+
     def materialize(self, df: DataFrame, path: str, start: str | None = None, end: str | None = None) -> None:
         """Offline store by period (H15, H16): rows in [start, end) are
         computed and written, one folder per period; a re-run replaces only

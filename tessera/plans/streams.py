@@ -7,7 +7,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators.embed import HashingEmbedder
-from tessera.operators.features import latest_per_key
+from tessera.operators.features import WindowAgg, latest_per_key
+from tessera.operators.views import FeatureView
 from tessera.plans.corpus import CHUNKS_SQL, fx1_markdown
 from tessera.plans.registry import register
 from tessera.plans.search import embed_sql
@@ -48,6 +49,41 @@ def stream_sliding(spark, sf_dir):
                       F.round("total", 6).alias("total"))
 
 
+def user_type_view():
+    """Activity of a user by event type over a day."""
+    return FeatureView(
+        "user_type_activity", ["user_id", "event_type"], "ts",
+        transform=lambda df: df.withColumn("hour", F.hour("ts")),
+        aggregations=[WindowAgg("n", "count", None, 86400), WindowAgg("total", "sum", "value", 86400),
+                      WindowAgg("least", "min", "value", 86400), WindowAgg("most", "max", "value", 86400),
+                      WindowAgg("n_large", "count_if", F.col("value") > 50, 86400),
+                      WindowAgg("n_hours", "approx_distinct", "hour", 86400),
+                      WindowAgg("q90", "quantile_sketch", "value", 86400, (0.9,))])
+
+
+@register("stream_view", sql=f"""WITH e AS (SELECT user_id, event_type, epoch_us(ts) AS t, value FROM events),
+w AS (SELECT e.*, (t // {360 * MIN_US}) * {360 * MIN_US} - k * {360 * MIN_US} AS ws FROM e CROSS JOIN range(0, 4) r(k))
+SELECT user_id, event_type, make_timestamp(ws) AS window_start, make_timestamp(ws + {1440 * MIN_US}) AS window_end,
+       count(*) AS n, round(sum(value), 6) AS total, min(value) AS least, max(value) AS most,
+       count(*) FILTER (WHERE value > 50) AS n_large, count(DISTINCT t // {60 * MIN_US} % 24) AS n_hours,
+       quantile_disc(value, 0.9) AS q90
+FROM w GROUP BY user_id, event_type, ws
+HAVING ws + {1440 * MIN_US} <= (SELECT max(t) FROM e) - {10 * MIN_US}""")
+def stream_view(spark, sf_dir):
+    """A feature view's own aggregations, of six kinds over two keys, in
+    windows of a day that slide by six hours; the stream gives the batch
+    result cut at the final watermark (J1, J4)."""
+    ev, fs = _event_stream(spark, sf_dir, "stream-view", "user_id", "event_type", "ts", "value")
+    view = user_type_view()
+    for sl in time_slices(ev, "ts", N_SLICES):
+        fs.land(sl)
+        fs.run_append(lambda s: view.window_aggregates(s, 86400, "6 hours"))
+    out = fs.read_sink()
+    return out.select("user_id", "event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                      F.col("window_end").cast("timestamp_ntz").alias("window_end"), "n", F.round("total", 6).alias("total"),
+                      "least", "most", "n_large", "n_hours", "q90")
+
+
 @register("stream_dedup", sql="SELECT event_id, user_id, ts, event_type, value FROM events")
 def stream_dedup(spark, sf_dir):
     """Every slice lands twice and the last hour of the previous slice lands

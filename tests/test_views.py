@@ -71,3 +71,26 @@ def test_window_percentile_within_rank_error(spark):
         lo, hi = vals.index(v), len(vals) - 1 - vals[::-1].index(v)
         slack = len(vals) / 100 + 1
         assert lo - slack <= target <= hi + slack
+
+
+def test_one_view_in_batch_and_stream(spark):
+    """The batch call gives the stream's rows wherever the stream has closed a window."""
+    from tessera.plans.streams import stream_view, user_type_view
+    view, live = user_type_view(), stream_view(spark, SMALL)
+    batch = view.window_aggregates(_events(spark), 86400, "6 hours")
+    batch = batch.withColumn("total", F.round("total", 6)).select(
+        *[F.col(c).cast("timestamp_ntz").alias(c) if c.startswith("window_") else F.col(c) for c in live.columns])
+    closed = live.agg(F.max("window_end")).first()[0]
+    want = batch.where(F.col("window_end") <= F.lit(closed))
+    assert live.exceptAll(want).isEmpty() and want.exceptAll(live).isEmpty() and not live.isEmpty()
+    late = view.window_aggregates(_events(spark).withColumn("ts", F.lit(None).cast("timestamp_ntz")), 86400)
+    assert late.isEmpty()
+
+
+def test_stream_aggregates_need_bounded_state(spark):
+    import pytest
+    with pytest.raises(ValueError, match="no state"):
+        FeatureView("m", ["user_id"], "ts", aggregations=[WindowAgg("m", "median", "value", 3600)]) \
+            .window_aggregates(_events(spark), 3600)
+    with pytest.raises(ValueError, match="no aggregation"):
+        FeatureView("m", ["user_id"], "ts").window_aggregates(_events(spark), 3600)
