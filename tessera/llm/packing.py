@@ -5,7 +5,8 @@ A document of more than ``max_len`` tokens is cut into consecutive pieces of
 ``max_len``; the rest is one shorter piece. So a histogram has at most
 ``max_len`` entries, whatever the data, and that histogram is all the driver
 sees. Batches are numbered by a distributed count: pieces are dealt to
-(bucket, slice) groups of bounded size by a hash, counted, and numbered from
+(bucket, slice) groups of bounded size by a hash (equal rows that are too many
+for one by their row numbers), counted, and numbered from
 the running total of the slices before theirs; only the last batch of a
 bucket may be short. No task holds a bucket.
 
@@ -29,6 +30,7 @@ from tessera.session import materialize
 
 # Pieces in one numbering group; a bucket is dealt to as many slices as it needs.
 SLICE_PIECES = 20_000
+TEXT_KEY = ("text_h1", "text_h2")  # names a document's text, with its id
 
 
 @dataclass(frozen=True)
@@ -76,16 +78,34 @@ def optimal_boundaries(histogram: dict[int, int], n_buckets: int) -> list[int]:
     return sorted(out)
 
 
+def _text_key(text: Column) -> tuple[Column, Column]:
+    return F.xxhash64(text).alias(TEXT_KEY[0]), F.xxhash64(F.lit(1), text).alias(TEXT_KEY[1])
+
+
 def pieces(docs: DataFrame, config: PackingConfig, id_col: str = "doc_id", text_col: str = "text",
            n_tokens: Column | None = None) -> DataFrame:
-    """(doc_id, piece, start, n_tokens) of every document."""
-    n = token_count(F.col(f"`{text_col}`")) if n_tokens is None else n_tokens
+    """(doc_id, piece, start, n_tokens, text_h1, text_h2, h) of every document;
+    the first two are hashes of its text, h one of id, text and piece."""
+    text = F.col(f"`{text_col}`")
+    n = token_count(text) if n_tokens is None else n_tokens
     cap = F.lit(config.max_len)
-    counted = docs.select(F.col(f"`{id_col}`").alias("doc_id"), n.cast("long").alias("n")).where("n > 0")
-    return (counted.select("doc_id", "n", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / cap).cast("int")))
-                           .alias("piece"))
+    counted = docs.select(F.col(f"`{id_col}`").alias("doc_id"), n.cast("long").alias("n"),
+                          *_text_key(text)).where("n > 0")
+    return (counted.select("doc_id", "n", *TEXT_KEY, F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / cap)
+                                                                          .cast("int"))).alias("piece"))
             .select("doc_id", "piece", (F.col("piece") * cap).cast("long").alias("start"),
-                    F.least(cap, F.col("n") - F.col("piece") * cap).cast("int").alias("n_tokens")))
+                    F.least(cap, F.col("n") - F.col("piece") * cap).cast("int").alias("n_tokens"),
+                    *TEXT_KEY, F.xxhash64("doc_id", *TEXT_KEY, "piece").alias("h")))
+
+
+def _dealt_by(cut: DataFrame, most: int) -> DataFrame:
+    """``cut`` with ``deal``, by which a piece gets its slice: ``h``, but for the
+    pieces of more than ``most`` equal rows a hash of their row numbers in the
+    written table, as these rows can stand for each other."""
+    heavy = cut.groupBy("h").count().where(F.col("count") > most).select("h", F.lit(True).alias("heavy"))
+    numbered = cut.withColumn("row", F.monotonically_increasing_id())
+    return numbered.join(heavy, "h", "left").withColumn(
+        "deal", F.when(F.col("heavy"), F.xxhash64("h", "row")).otherwise(F.col("h"))).drop("heavy", "row")
 
 
 def pack(docs: DataFrame, config: PackingConfig | None = None, id_col: str = "doc_id", text_col: str = "text",
@@ -93,7 +113,8 @@ def pack(docs: DataFrame, config: PackingConfig | None = None, id_col: str = "do
     """Pieces with their bucket length, batch and slot.
 
     Columns: doc_id, piece, start, n_tokens, bucket_len, batch_id (number in
-    the bucket), slot (place in the batch). A batch of bucket length b holds
+    the bucket), slot (place in the batch), text_h1, text_h2 (hashes of the
+    document's text). A batch of bucket length b holds
     batch_tokens // b pieces."""
     config = config or PackingConfig()
     if config.batch_tokens < config.max_len:
@@ -111,9 +132,8 @@ def pack(docs: DataFrame, config: PackingConfig | None = None, id_col: str = "do
     bucket = F.lit(None).cast("int")
     for b in reversed(bounds):
         bucket = F.when(F.col("n_tokens") <= b, F.lit(b)).otherwise(bucket)
-    dealt = (cut.withColumn("bucket_len", bucket).join(F.broadcast(table), "bucket_len")
-             .withColumn("h", F.xxhash64("doc_id", "piece"))
-             .withColumn("slice", F.pmod("h", "n_slices")))
+    dealt = (_dealt_by(cut, SLICE_PIECES).withColumn("bucket_len", bucket).join(F.broadcast(table), "bucket_len")
+             .withColumn("slice", F.pmod("deal", "n_slices")))
     counts = dealt.groupBy("bucket_len", "slice").agg(F.count("*").alias("n_in"))
     before = counts.select("bucket_len", "slice", (F.sum("n_in").over(
         Window.partitionBy("bucket_len").orderBy("slice")) - F.col("n_in")).alias("before"))
@@ -123,12 +143,19 @@ def pack(docs: DataFrame, config: PackingConfig | None = None, id_col: str = "do
                 .withColumn("at", F.col("before") + F.col("rn") - 1))
     return numbered.select("doc_id", "piece", "start", "n_tokens", "bucket_len",
                            F.floor(F.col("at") / F.col("per_batch")).cast("long").alias("batch_id"),
-                           F.pmod(F.col("at"), F.col("per_batch")).cast("int").alias("slot"))
+                           F.pmod(F.col("at"), F.col("per_batch")).cast("int").alias("slot"), *TEXT_KEY)
 
 
 def with_text(packed: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The packed pieces with the words they stand for, joined by one space.
-    Needs ids that are unique and not null."""
-    src = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("__text"))
-    return packed.join(src, "doc_id").withColumn("text", F.array_join(
-        F.slice(words(F.col("__text")), (F.col("start") + 1).cast("int"), F.col("n_tokens")), " ")).drop("__text")
+    Ids may repeat or be null: a document is named by its id and the hashes of
+    its text, and equal rows give one text. Texts are shuffled once."""
+    text = F.col(f"`{text_col}`")
+    src = (docs.select(F.col(f"`{id_col}`").alias("doc_id"), *_text_key(text), text.alias("text"))
+           .groupBy("doc_id", *TEXT_KEY).agg(F.first("text").alias("text")))
+    src = src.select(F.col("doc_id").alias("__id"), *(F.col(c).alias(f"__{c}") for c in TEXT_KEY), "text")
+    same = F.col("doc_id").eqNullSafe(F.col("__id"))
+    for c in TEXT_KEY:
+        same = same & (F.col(c) == F.col(f"__{c}"))
+    piece = F.array_join(F.slice(words(F.col("text")), (F.col("start") + 1).cast("int"), F.col("n_tokens")), " ")
+    return packed.join(src, same).select(*packed.columns, piece.alias("text"))

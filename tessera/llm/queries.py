@@ -11,7 +11,7 @@ from tessera.llm.common import read
 from tessera.plans.registry import register
 from tessera.session import scratch_path
 
-SHARD_BYTES = 32 * 1024 * 1024
+SHARD_BYTES = 512 * 1024  # splits the given tables many times
 
 
 @register("op9_quality_rules", oracles.QUALITY_RULES)

@@ -27,21 +27,23 @@ _HEX = STEP_BITS // 4
 MAX_BITS = 192  # 128 of the content hash, 64 of the row number's
 
 
-def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _hashed(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...]) -> DataFrame:
     key = F.col(f"`{id_col}`").cast("string")
     text = F.col(f"`{text_col}`")
     content = F.md5(F.concat_ws(":", F.coalesce(key, F.lit("null")), F.coalesce(text, F.lit(""))))
     row = F.lpad(F.lower(F.hex(F.xxhash64(F.monotonically_increasing_id()))), 16, "0")
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.concat(content, row).alias("hash"),
-                       F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
+                       F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), *carry)
 
 
-def assign(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, hash, n_bytes, depth, shard, oversized) of every document.
+def assign(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", text_col: str = "text",
+           carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, hash, n_bytes, depth, shard, oversized, columns of ``carry``)
+    of every document.
 
     ``shard`` is the bucket's prefix as a string of ``depth`` bits; a table
     that fits the limit as it is has the one shard '' of depth 0."""
-    rows = materialize(_hashed(docs, id_col, text_col), "sharding-hashes")
+    rows = materialize(_hashed(docs, id_col, text_col, carry), "sharding-hashes")
     open_rows, done = rows, []
     for base in range(0, MAX_BITS, STEP_BITS):
         prefix = F.substring("hash", 1, base // 4 + _HEX)
@@ -60,9 +62,9 @@ def assign(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", text_col:
                       F.concat(F.array_join(F.transform(F.split(F.substring("hash", F.lit(1), F.ceil(F.col("depth") / 4)
                                                                              .cast("int")), ""),
                                                         lambda c: F.lpad(F.conv(c, 16, 2), 4, "0")), ""))
-                      .alias("bits"), "oversized").select(
+                      .alias("bits"), "oversized", *carry).select(
         "doc_id", "hash", "n_bytes", "depth",
-        F.expr("case when depth = 0 then '' else substring(bits, 1, depth) end").alias("shard"), "oversized")
+        F.expr("case when depth = 0 then '' else substring(bits, 1, depth) end").alias("shard"), "oversized", *carry)
 
 
 def _directory(rows: DataFrame, base: int, limit: int, last: bool) -> DataFrame:
@@ -86,9 +88,22 @@ def _directory(rows: DataFrame, base: int, limit: int, last: bool) -> DataFrame:
     return leaf.select("prefix", (F.col("d") + base).alias("depth"), (F.col("in_bucket") > limit).alias("oversized"))
 
 
-def write_shards(docs: DataFrame, path: str, limit_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write ``docs`` as one folder per shard. Ids must be unique, not null."""
-    shards = assign(docs, limit_bytes, id_col, text_col).select(
-        F.col("doc_id").alias("__id"), F.concat(F.lit("b"), F.col("shard")).alias("shard"))
-    rows = docs.join(shards, docs[id_col] == shards["__id"]).drop("__id")
-    rows.repartition("shard").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, limit_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> str:
+    """Write ``docs`` as one folder per shard and return the name of the folder
+    column: ``shard``, behind as many underscores as it takes to clash with no
+    column. Rows go by a number of their own, so ids may repeat or be null; a
+    folder is named b and the shard's bits."""
+    number = _free("__row", docs)
+    numbered = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "sharding-rows")
+    name = _free("shard", docs)
+    shards = assign(numbered, limit_bytes, id_col, text_col, carry=(number,)).select(
+        number, F.concat(F.lit("b"), F.col("shard")).alias(name))
+    numbered.join(shards, number).drop(number).repartition(name).write.partitionBy(name).parquet(path)
+    return name
+
+
+def _free(name: str, df: DataFrame) -> str:
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

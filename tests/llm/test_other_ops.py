@@ -84,6 +84,42 @@ def test_packing_covers_every_token_once(spark, monkeypatch, slice_pieces):
     assert packing.pack(documents(spark, texts).where("false"), config).count() == 0
 
 
+def test_equal_rows_without_id_are_dealt_to_many_slices(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SLICE_PIECES", 20)
+    docs = documents(spark, [(None, "a b c")] * 400 + [(1, "a b c d")] * 200 + [(i, "x") for i in range(10)])
+    cut = packing.materialize(packing.pieces(docs, packing.PackingConfig()), "test-pieces")
+    dealt = packing._dealt_by(cut, 20).selectExpr("pmod(deal, 30) as slice").groupBy("slice").count().collect()
+    assert len(dealt) > 25 and max(r["count"] for r in dealt) < 60
+    packed = packing.pack(docs, packing.PackingConfig(max_len=8, batch_tokens=64))
+    rows = packing.with_text(packed, docs.selectExpr("*", "1 as __id", "2 as piece", "3 as text_h1")).collect()
+    assert collections.Counter(r.text for r in rows) == {"a b c": 400, "a b c d": 200, "x": 10}
+    slots = collections.Counter((r.bucket_len, r.batch_id, r.slot) for r in rows)
+    assert max(slots.values()) == 1
+
+
+def test_texts_of_shared_ids_and_a_very_long_text(spark):
+    long = " ".join(f"w{i}" for i in range(20_000))
+    docs = documents(spark, [(1, "a b"), (1, "c d"), (None, "e"), (None, "f"), (2, long), (3, None), (4, " ")])
+    rows = packing.with_text(packing.pack(docs), docs).collect()
+    assert sorted(r.text for r in rows if r.doc_id != 2) == ["a b", "c d", "e", "f"]
+    pieces = sorted((r for r in rows if r.doc_id == 2), key=lambda r: r.piece)
+    assert " ".join(r.text for r in pieces) == long and [r.start for r in pieces] == [0, 4096, 8192, 12288, 16384]
+
+
+def test_written_shards_keep_every_row_once(spark, tmp_path):
+    texts = [(5, "x" * 900)] * 3 + [(None, "y" * 700), (5, "other"), (6, None), (7, "z" * 5000)]
+    docs = documents(spark, texts).selectExpr("*", "'mine' as shard", "1 as __row")
+    path = str(tmp_path / "shards")
+    name = sharding.write_shards(docs, path, 1_000)
+    back = spark.read.parquet(path)
+    assert name == "_shard" and set(back.columns) == {*docs.columns, "_shard"}
+    assert collections.Counter((r.doc_id, r.text) for r in back.collect()) == collections.Counter(texts)
+    sizes = collections.Counter()
+    for r in back.collect():
+        sizes[r["_shard"]] += len(r.text or "")
+    assert all(n <= 1_000 or n == 5000 for n in sizes.values()) and all(s.startswith("b") for s in sizes)
+
+
 def test_shards_fit_and_split_only_when_needed(spark):
     rng = random.Random(3)
     texts = [(i, "x" * rng.randint(1, 400)) for i in range(300)] + [(7, "same" * 20)] * 60 + [(1000, "y" * 5000), (None, None)]
@@ -331,4 +367,9 @@ def test_pipeline_stages_match_brute_force(spark, tmp_path):
     for r in packed:
         tokens[r.doc_id] += r.n_tokens
     assert tokens == {r.doc_id: len(r.text.encode().split()) for r in clean.collect()}
+    whole = collections.defaultdict(list)
+    for r in sorted(packed, key=lambda r: (r.doc_id, r.piece)):
+        whole[r.doc_id].append(r.text)
+    assert {i: " ".join(t) for i, t in whole.items()} == {
+        r.doc_id: b" ".join(r.text.encode().split()).decode() for r in clean.collect() if r.text.split()}
     assert sorted(map(tuple, corpus_pipeline.run(spark, SMALL).collect())) == sorted(map(tuple, packed))
