@@ -30,7 +30,6 @@ from tessera.session import materialize
 
 # Pieces in one numbering group; a bucket is dealt to as many slices as it needs.
 SLICE_PIECES = 20_000
-TEXT_KEY = ("text_h1", "text_h2")  # names a document's text, with its id
 
 
 @dataclass(frozen=True)
@@ -78,49 +77,48 @@ def optimal_boundaries(histogram: dict[int, int], n_buckets: int) -> list[int]:
     return sorted(out)
 
 
-def _text_key(text: Column) -> tuple[Column, Column]:
-    return F.xxhash64(text).alias(TEXT_KEY[0]), F.xxhash64(F.lit(1), text).alias(TEXT_KEY[1])
-
-
 def pieces(docs: DataFrame, config: PackingConfig, id_col: str = "doc_id", text_col: str = "text",
-           n_tokens: Column | None = None) -> DataFrame:
-    """(doc_id, piece, start, n_tokens, text_h1, text_h2, h) of every document;
-    the first two are hashes of its text, h one of id, text and piece."""
-    text = F.col(f"`{text_col}`")
-    n = token_count(text) if n_tokens is None else n_tokens
+           n_tokens: Column | None = None, texts: bool = False) -> DataFrame:
+    """(doc_id, piece, start, n_tokens, h) of every document; h is a hash of
+    its id, its text and the piece's number. With ``texts`` also the words of
+    each piece, joined by one space."""
+    source = F.col(f"`{text_col}`")
+    n = token_count(source) if n_tokens is None else n_tokens
     cap = F.lit(config.max_len)
     counted = docs.select(F.col(f"`{id_col}`").alias("doc_id"), n.cast("long").alias("n"),
-                          *_text_key(text)).where("n > 0")
-    return (counted.select("doc_id", "n", *TEXT_KEY, F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / cap)
-                                                                          .cast("int"))).alias("piece"))
-            .select("doc_id", "piece", (F.col("piece") * cap).cast("long").alias("start"),
-                    F.least(cap, F.col("n") - F.col("piece") * cap).cast("int").alias("n_tokens"),
-                    *TEXT_KEY, F.xxhash64("doc_id", *TEXT_KEY, "piece").alias("h")))
+                          F.xxhash64(source).alias("of_text"), source.alias("text")).where("n > 0")
+    start = F.col("piece") * cap
+    text = F.array_join(F.slice(words(F.col("text")), (start + 1).cast("int"), cap), " ")
+    return (counted.withColumn("piece", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / cap).cast("int"))))
+            .select("doc_id", "piece", start.cast("long").alias("start"),
+                    F.least(cap, F.col("n") - start).cast("int").alias("n_tokens"),
+                    F.xxhash64("doc_id", "of_text", "piece").alias("h"), *([text.alias("text")] if texts else [])))
 
 
 def _dealt_by(cut: DataFrame, most: int) -> DataFrame:
     """``cut`` with ``deal``, by which a piece gets its slice: ``h``, but for the
-    pieces of more than ``most`` equal rows a hash of their row numbers in the
-    written table, as these rows can stand for each other."""
+    pieces of more than ``most`` equal rows a hash of their row numbers, as
+    these rows can stand for each other."""
     heavy = cut.groupBy("h").count().where(F.col("count") > most).select("h", F.lit(True).alias("heavy"))
-    numbered = cut.withColumn("row", F.monotonically_increasing_id())
-    return numbered.join(heavy, "h", "left").withColumn(
-        "deal", F.when(F.col("heavy"), F.xxhash64("h", "row")).otherwise(F.col("h"))).drop("heavy", "row")
+    return cut.join(heavy, "h", "left").withColumn(
+        "deal", F.when(F.col("heavy"), F.xxhash64("h", "row")).otherwise(F.col("h"))).drop("heavy")
 
 
 def pack(docs: DataFrame, config: PackingConfig | None = None, id_col: str = "doc_id", text_col: str = "text",
-         n_tokens: Column | None = None) -> DataFrame:
+         n_tokens: Column | None = None, texts: bool = False) -> DataFrame:
     """Pieces with their bucket length, batch and slot.
 
     Columns: doc_id, piece, start, n_tokens, bucket_len, batch_id (number in
-    the bucket), slot (place in the batch), text_h1, text_h2 (hashes of the
-    document's text). A batch of bucket length b holds
+    the bucket), slot (place in the batch); with ``texts`` also text (the words
+    of the piece; they are written once and shuffled once, by row number). A batch of bucket length b holds
     batch_tokens // b pieces."""
     config = config or PackingConfig()
     if config.batch_tokens < config.max_len:
         raise ValueError("batch_tokens must be at least max_len")
     spark = docs.sparkSession
-    cut = materialize(pieces(docs, config, id_col, text_col, n_tokens), "packing-pieces")
+    written = materialize(pieces(docs, config, id_col, text_col, n_tokens, texts).withColumn(
+        "row", F.monotonically_increasing_id()), "packing-pieces")
+    cut = written.drop("text")
     histogram = {r["n_tokens"]: r["n"] for r in cut.groupBy("n_tokens").agg(F.count("*").alias("n")).collect()}
     bounds = optimal_boundaries(histogram, config.n_buckets)
     in_bucket = {b: 0 for b in bounds}
@@ -141,21 +139,9 @@ def pack(docs: DataFrame, config: PackingConfig | None = None, id_col: str = "do
     numbered = (dealt.withColumn("rn", F.row_number().over(order))
                 .join(before, ["bucket_len", "slice"])
                 .withColumn("at", F.col("before") + F.col("rn") - 1))
-    return numbered.select("doc_id", "piece", "start", "n_tokens", "bucket_len",
-                           F.floor(F.col("at") / F.col("per_batch")).cast("long").alias("batch_id"),
-                           F.pmod(F.col("at"), F.col("per_batch")).cast("int").alias("slot"), *TEXT_KEY)
-
-
-def with_text(packed: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The packed pieces with the words they stand for, joined by one space.
-    Ids may repeat or be null: a document is named by its id and the hashes of
-    its text, and equal rows give one text. Texts are shuffled once."""
-    text = F.col(f"`{text_col}`")
-    src = (docs.select(F.col(f"`{id_col}`").alias("doc_id"), *_text_key(text), text.alias("text"))
-           .groupBy("doc_id", *TEXT_KEY).agg(F.first("text").alias("text")))
-    src = src.select(F.col("doc_id").alias("__id"), *(F.col(c).alias(f"__{c}") for c in TEXT_KEY), "text")
-    same = F.col("doc_id").eqNullSafe(F.col("__id"))
-    for c in TEXT_KEY:
-        same = same & (F.col(c) == F.col(f"__{c}"))
-    piece = F.array_join(F.slice(words(F.col("text")), (F.col("start") + 1).cast("int"), F.col("n_tokens")), " ")
-    return packed.join(src, same).select(*packed.columns, piece.alias("text"))
+    out = numbered.select("row", "doc_id", "piece", "start", "n_tokens", "bucket_len",
+                          F.floor(F.col("at") / F.col("per_batch")).cast("long").alias("batch_id"),
+                          F.pmod(F.col("at"), F.col("per_batch")).cast("int").alias("slot"))
+    if texts:  # the slim side is hashed, so that texts are not sorted
+        out = out.hint("shuffle_hash").join(written.select("row", "text"), "row")
+    return out.drop("row")

@@ -87,11 +87,12 @@ def test_packing_covers_every_token_once(spark, monkeypatch, slice_pieces):
 def test_equal_rows_without_id_are_dealt_to_many_slices(spark, monkeypatch):
     monkeypatch.setattr(packing, "SLICE_PIECES", 20)
     docs = documents(spark, [(None, "a b c")] * 400 + [(1, "a b c d")] * 200 + [(i, "x") for i in range(10)])
-    cut = packing.materialize(packing.pieces(docs, packing.PackingConfig()), "test-pieces")
+    cut = packing.materialize(packing.pieces(docs, packing.PackingConfig()).selectExpr(
+        "*", "monotonically_increasing_id() as row"), "test-pieces")
     dealt = packing._dealt_by(cut, 20).selectExpr("pmod(deal, 30) as slice").groupBy("slice").count().collect()
     assert len(dealt) > 25 and max(r["count"] for r in dealt) < 60
-    packed = packing.pack(docs, packing.PackingConfig(max_len=8, batch_tokens=64))
-    rows = packing.with_text(packed, docs.selectExpr("*", "1 as __id", "2 as piece", "3 as text_h1")).collect()
+    rows = packing.pack(docs.selectExpr("*", "1 as row", "2 as piece", "3 as bucket_len", "4 as batch_id"),
+                        packing.PackingConfig(max_len=8, batch_tokens=64), texts=True).collect()
     assert collections.Counter(r.text for r in rows) == {"a b c": 400, "a b c d": 200, "x": 10}
     slots = collections.Counter((r.bucket_len, r.batch_id, r.slot) for r in rows)
     assert max(slots.values()) == 1
@@ -100,7 +101,7 @@ def test_equal_rows_without_id_are_dealt_to_many_slices(spark, monkeypatch):
 def test_texts_of_shared_ids_and_a_very_long_text(spark):
     long = " ".join(f"w{i}" for i in range(20_000))
     docs = documents(spark, [(1, "a b"), (1, "c d"), (None, "e"), (None, "f"), (2, long), (3, None), (4, " ")])
-    rows = packing.with_text(packing.pack(docs), docs).collect()
+    rows = packing.pack(docs, texts=True).collect()
     assert sorted(r.text for r in rows if r.doc_id != 2) == ["a b", "c d", "e", "f"]
     pieces = sorted((r for r in rows if r.doc_id == 2), key=lambda r: r.piece)
     assert " ".join(r.text for r in pieces) == long and [r.start for r in pieces] == [0, 4096, 8192, 12288, 16384]
