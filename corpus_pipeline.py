@@ -32,7 +32,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The kept documents as pieces in length buckets and token-budget batches,
     each with its text."""
-    return packing.with_text(packing.pack(docs), docs)
+    return packing.pack(docs, texts=True)
 
 
 STAGES = [
