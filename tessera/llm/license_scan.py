@@ -1,10 +1,13 @@
 """Licence scan: sparse TF-IDF cosine of file lines to licence templates, then
 inheritance from the nearest directory that holds a licence file.
 
-Every line of a file (a header or the body of a licence file) is a unit; a
-file's own licence is that of its best unit at or above ``threshold``. A file
-without one takes the licence of the nearest ancestor directory (its own
-first) in which a licence file was recognised.
+Units of a file are its lines, its paragraphs of several lines (runs of lines
+with a letter or digit, so that comment marks do not matter), the comment block
+it begins with, and, of a licence file, its whole text. A file's own licence is
+that of its best unit at or above ``threshold``. A file without one takes the
+licence of the nearest ancestor directory (its own first) in which a licence
+file was recognised. Templates are notices of a line, headings, SPDX tags, and
+headers and licence texts of several lines.
 
 A word's weight is (1 + ln tf) * idf, idf = 1 + ln((1 + N) / (1 + df)) with df
 counted over all files, for the words of the templates and all words of the
@@ -19,7 +22,8 @@ once for each distinct directory, so a directory that holds a third of all
 files costs one row.
 
 Edge cases. A null text has no own licence; a null path has no directory and
-inherits nothing. Ties go to the template of smaller name; of two licence
+inherits nothing, but a text of its own counts. Files are told apart by path
+and text, so two of one path keep their own licences. Ties go to the template of smaller name; of two licence
 files in one directory the higher score counts, then the smaller licence
 name, then the smaller path. Repeated rows are scanned alike. Empty tables
 give empty results. Extra columns are not read.
@@ -35,7 +39,7 @@ from pyspark.sql import functions as F
 from tessera.session import materialize
 
 # Notices that declare a licence, one per licence or wording.
-TEMPLATES = (
+NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
@@ -46,8 +50,62 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("proprietary", "All rights reserved."),
 )
+# Titles of licence texts.
+HEADINGS = (
+    ("MIT", "MIT License"),
+    ("MIT", "The MIT License (MIT)"),
+    ("Apache-2.0", "Apache License"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
+)
+# SPDX names and the licence they stand for.
+SPDX = (("MIT", "MIT"), ("Apache-2.0", "Apache-2.0"), ("GPL-3.0-only", "GPL-3.0"), ("GPL-3.0-or-later", "GPL-3.0"),
+        ("BSD-3-Clause", "BSD-3-Clause"), ("MPL-2.0", "MPL-2.0"), ("CC-BY-4.0", "CC-BY-4.0"),
+        ("CC-BY-NC-4.0", "CC-BY-NC-4.0"))
+# Headers and licence texts of several lines, without copyright lines.
+TEXTS = (
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
+associated documentation files (the "Software"), to deal in the Software without restriction, including without
+limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software,
+and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
+COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
+OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
+associated documentation files (the "Software"), to deal in the Software without restriction, including without
+limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software,
+and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"""),
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except
+in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an
+"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific
+language governing permissions and limitations under the License."""),
+    ("GPL-3.0", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
+General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your
+option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;
+without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public
+License for more details. You should have received a copy of the GNU General Public License along with this program."""),
+    ("BSD-3-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted
+provided that the following conditions are met: Redistributions of source code must retain the above copyright notice,
+this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright
+notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with
+the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+promote products derived from this software without specific prior written permission."""),
+    ("MPL-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the
+MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""),
+)
+TEMPLATES = NOTICES + HEADINGS + tuple((name, f"SPDX-License-Identifier: {tag}") for tag, name in SPDX) + TEXTS
 THRESHOLD = 0.7
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying)(\.[a-z]+)?$"
+_COMMENT = r"^\s*(?:#|//|/\*|\*|--|;|%|<!--)"  # a line of a comment
 _TOKEN = r"[^\p{L}\p{N}.-]+"
 
 
@@ -114,12 +172,37 @@ class Weights:
                 rest -= v[w] * v[w]
 
 
+def _key(path: Column, text: Column) -> Column:
+    """Names a file by its path and text."""
+    return F.md5(F.concat(F.coalesce(F.concat(F.lit("="), path), F.lit("")), F.lit("\n"), F.coalesce(text, F.lit(""))))
+
+
+def _comment_block(text: Column) -> Column:
+    """The comment a text begins with; null if it begins otherwise."""
+    lines = F.split(text, "\n")
+    n = F.array_position(F.transform(lines, lambda x: x.rlike(_COMMENT)), False).cast("int")
+    return F.when(text.rlike(_COMMENT), F.when(n == 0, text).otherwise(
+        F.array_join(F.slice(lines, F.lit(1), F.greatest(n - 1, F.lit(0))), "\n")))
+
+
 def units(files: DataFrame, weights: Weights, path_col: str, text_col: str) -> DataFrame:
-    """(path, line, words) of the lines that hold an anchor word."""
-    lines = files.select(F.col(f"`{path_col}`").cast("string").alias("path"), F.posexplode(F.split(
-        F.col(f"`{text_col}`").cast("string"), "\n")).alias("no", "line"))
-    anchor = r"(?<![\p{L}\p{N}])(" + "|".join(_quoted(w) for w in sorted(weights.anchors)) + r")(?![\p{L}\p{N}])"
-    return lines.where(F.lower("line").rlike(anchor)).select("path", "no", _tokens(F.col("line")).alias("words"))
+    """(key, path, words) of the units that hold an anchor word."""
+    by_first: dict[str, list[str]] = {}
+    for w in sorted(weights.anchors):
+        by_first.setdefault(w[0], []).append(_quoted(w[1:]))
+    anchor = (r"(?<![\p{L}\p{N}])(?:" + "|".join(f"{_quoted(c)}(?:{'|'.join(ws)})" for c, ws in by_first.items())
+              + r")(?![\p{L}\p{N}])")
+    path, text = F.col(f"`{path_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")
+    held = F.lower("part").rlike(anchor)
+    # lines without a letter or digit part paragraphs; no unit but the last two kinds spans them
+    parts = files.select(_key(path, text).alias("key"), path.alias("path"), F.explode(F.split(
+        text, r"\n[^\p{L}\p{N}]*\n")).alias("part")).where(held)
+    lines = parts.select("key", "path", F.explode(F.array_distinct(F.concat(
+        F.array("part"), F.split("part", "\n")))).alias("part")).where(held)
+    whole = F.when(path.rlike(LICENCE_FILE), text)
+    wide = files.select(_key(path, text).alias("key"), path.alias("path"), F.explode(F.array_distinct(F.array_compact(
+        F.array(whole, _comment_block(text))))).alias("part")).where(held)
+    return lines.unionByName(wide).select("key", "path", _tokens(F.col("part")).alias("words"))
 
 
 def _quoted(word: str) -> str:
@@ -128,7 +211,7 @@ def _quoted(word: str) -> str:
 
 def own_licences(files: DataFrame, threshold: float = THRESHOLD, path_col: str = "path",
                  text_col: str = "text") -> DataFrame:
-    """(path, license, score) of the files that declare a licence themselves."""
+    """(key, path, license, score) of the files that declare a licence themselves."""
     spark = files.sparkSession
     n, df = document_frequencies(files, text_col)
     w = Weights(n, df, threshold)
@@ -150,8 +233,8 @@ def own_licences(files: DataFrame, threshold: float = THRESHOLD, path_col: str =
     best = (dots.join(norms, "unit").withColumn("score", score).where(F.col("score") >= threshold)
             .groupBy("unit").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("best")))
     scored = distinct.join(best, "unit").select("words", "best")
-    return (found.join(scored, "words").groupBy("path").agg(F.min("best").alias("best"))
-            .select("path", F.col("best.license").alias("license"), (-F.col("best.s")).alias("score")))
+    return (found.join(scored, "words").groupBy("key", "path").agg(F.min("best").alias("best"))
+            .select("key", "path", F.col("best.license").alias("license"), (-F.col("best.s")).alias("score")))
 
 
 def _directory(path: Column) -> Column:
@@ -166,7 +249,8 @@ def scan(files: DataFrame, threshold: float = THRESHOLD, path_col: str = "path",
     is that of the deciding unit."""
     own = materialize(own_licences(files, threshold, path_col, text_col), "license-own")
     paths = files.select(F.struct(*(F.col(f"`{c}`") for c in (*carry, path_col))).alias("carried"),
-                         F.col(f"`{path_col}`").cast("string").alias("path"))
+                         F.col(f"`{path_col}`").cast("string").alias("path"),
+                         _key(F.col(f"`{path_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")).alias("key"))
     paths = paths.withColumn("dir", _directory(F.col("path")))
     given = (own.where(F.col("path").rlike(LICENCE_FILE)).withColumn("at", _directory(F.col("path")))
              .groupBy("at").agg(F.min(F.struct((-F.col("score")).alias("s"), "license", "path")).alias("best"))
@@ -178,7 +262,7 @@ def scan(files: DataFrame, threshold: float = THRESHOLD, path_col: str = "path",
                .withColumn("at", F.explode(F.array_distinct(ancestors)))
                .join(given, "at").groupBy("dir")
                .agg(F.max(F.struct(F.length("at").alias("n"), "at", "dir_license", "dir_score")).alias("near")))
-    found = (paths.join(own, "path", "left").join(nearest, "dir", "left"))
+    found = (paths.join(own.drop("path"), "key", "left").join(nearest, "dir", "left"))
     is_own = F.col("license").isNotNull()
     return found.select(
         *(F.col(f"carried.`{c}`") for c in carry), "path", F.coalesce("license", "near.dir_license").alias("license"),

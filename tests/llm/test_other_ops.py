@@ -301,8 +301,8 @@ def test_licences_and_inheritance(spark):
     assert license_scan.scan(files.where("false")).count() == 0
 
 
-def brute_licence_score(texts, line):
-    """TF-IDF cosine of a line to its best template, df counted for every word."""
+def licence_scorer(texts):
+    """TF-IDF cosine of a unit to its best template, df counted for every word."""
     import math
 
     def words(t):
@@ -312,11 +312,19 @@ def brute_licence_score(texts, line):
 
     def vector(t):
         v = {w: (1 + math.log(n)) * (1 + math.log((1 + len(texts)) / (1 + df[w]))) for w, n in words(t).items()}
-        norm = math.sqrt(sum(x * x for x in v.values()))
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
         return {w: x / norm for w, x in v.items()}
 
-    mine = vector(line)
-    return max(sum(x * mine.get(w, 0) for w, x in vector(t).items()) for _, t in license_scan.TEMPLATES)
+    templates = [vector(t) for _, t in license_scan.TEMPLATES]
+
+    def score(unit):
+        mine = vector(unit)
+        return max(sum(x * mine.get(w, 0) for w, x in t.items()) for t in templates)
+    return score
+
+
+def brute_licence_score(texts, line):
+    return licence_scorer(texts)(line)
 
 
 def test_licence_lines_weigh_all_words_by_their_frequency(spark):
@@ -331,6 +339,52 @@ def test_licence_lines_weigh_all_words_by_their_frequency(spark):
         assert want >= 0.7 and got[f"d/{i}.txt"] == ("MIT", pytest.approx(want, abs=1e-5))
 
 
+def brute_units(path, text):
+    parts = re.split(r"\n[^a-zA-Z0-9]*\n", text)
+    out = {x for p in parts for x in [p, *p.split("\n")]}
+    lines = text.split("\n")
+    n = next((i for i, x in enumerate(lines) if not re.match(r"\s*(#|//|/\*|\*|--|;|%|<!--)", x)), len(lines))
+    return out | ({text} if re.search(license_scan.LICENCE_FILE, path) else set()) | ({"\n".join(lines[:n])} if n else set())
+
+
+def test_headers_headings_tags_and_whole_texts(spark):
+    mit, mit_part, apache, gpl, bsd, mpl = (t for _, t in license_scan.TEXTS)
+    wrap = lambda t, mark: "\n".join(f"{mark} {' '.join(w)}" for w in zip(*[iter(t.split())] * 6, strict=False))
+    files = {
+        "s/1.py": ("MIT", "# SPDX-License-Identifier: MIT\nx = 1"),
+        "s/2.c": ("GPL-3.0", "// SPDX-License-Identifier: GPL-3.0-or-later"),
+        "s/3.py": ("Apache-2.0", wrap(apache, "#") + "\n\nimport os"),
+        "s/4.c": ("GPL-3.0", "/* file.c\n *\n" + wrap(gpl, " *") + "\n */\nint main;"),
+        "s/5.js": ("MPL-2.0", wrap(mpl, "//") + "\nlet x"),
+        "s/6.txt": ("MIT", "some words\n\n" + wrap(mit_part, "") + "\n\nmore words"),
+        "s/7.txt": ("MIT", "MIT License\nCopyright (c) 2020 Some One"),
+        "l/LICENSE": ("MIT", "Copyright 2020 Some One\n\n" + mit.replace(":\n", ":\n\n").replace("Software.\n", "Software.\n\n")),
+        "g/COPYING": ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nmuch more follows here"),
+        "a/LICENSE.txt": ("Apache-2.0", "   Apache License\n   Version 2.0, January 2004\n   http://www.apache.org/licenses/"),
+        "b/LICENSE": ("BSD-3-Clause", "Copyright 2020\n\n" + bsd),
+        "n/1.txt": (None, "the software was in the general public view and its version had a notice"),
+        "n/2.txt": (None, "# a comment about the license of nothing\n#\n# and copies of it"),
+        "n/3.txt": (None, "word " * 20_000),
+    }
+    rows = [(p, t) for p, (_, t) in files.items()] + [(f"p/{i}.txt", "the of a in to and or for this it is that with") for i in range(40)]
+    found = license_scan.own_licences(spark.createDataFrame(rows, "path string, text string")).collect()
+    got = {r.path: (r.license, r.score) for r in found}
+    texts = [t for _, t in rows]
+    score = licence_scorer(texts)
+    for path, (want, text) in files.items():
+        assert got.get(path, (None, 0))[0] == want, path
+        best = max(score(u) for u in brute_units(path, text))
+        assert got[path][1] == pytest.approx(best, abs=1e-5) if want else best < 0.7, path
+
+
+def test_files_of_one_path_or_of_none(spark):
+    rows = [(1, "a/x", "Released under the MIT License."), (2, "a/x", "plain"), (3, None, "All rights reserved."),
+            (4, None, None), (5, "a/x", "Released under the MIT License.")]
+    got = {r.n: (r.license, r.origin) for r in license_scan.scan(
+        spark.createDataFrame(rows, "n int, path string, text string"), carry=("n",)).collect()}
+    assert got == {1: ("MIT", "own"), 2: (None, "none"), 3: ("proprietary", "own"), 4: (None, "none"), 5: ("MIT", "own")}
+
+
 def test_every_operator_has_a_query():
     names = {n.split("_")[0] for n in E.queries() if n.startswith("op")}
     assert names == {f"op{i}" for i in range(1, 14)} and "pipeline" in E.queries()
