@@ -14,7 +14,8 @@ counted over all files, for the words of the templates and all words of the
 units scored. Few lines can reach the threshold, and they are found exactly:
 without a template's heaviest words, up to where the rest's norm falls below
 the threshold, no unit can reach it (prefix filtering). Only units that hold
-such a word are scored.
+such a word are looked at, and of these only units are scored whose dot product
+reaches the threshold for the least norm that their words allow.
 
 All of it is DataFrame functions. The templates are a fixed short list;
 corpus tables are joined on words and directories only. Ancestors are joined
@@ -31,6 +32,7 @@ give empty results. Extra columns are not read.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -158,7 +160,7 @@ class Weights:
     def __init__(self, n_files: int, df: dict[str, int], threshold: float):
         words = _template_words()
         self.idf = {w: 1 + math.log((1 + n_files) / (1 + df.get(w, 0))) for t in words for w in t}
-        self.vectors, self.anchors = [], set()
+        self.vectors, self.anchors, self.threshold = [], set(), threshold
         for t in words:
             v = {w: (1 + math.log(n)) * self.idf[w] for w, n in t.items()}
             norm = math.sqrt(sum(x * x for x in v.values()))
@@ -185,8 +187,28 @@ def _comment_block(text: Column) -> Column:
         F.array_join(F.slice(lines, F.lit(1), F.greatest(n - 1, F.lit(0))), "\n")))
 
 
+def _within_reach(weights: Weights, words: Column) -> Column:
+    """Whether a unit may reach the threshold. Its dot products with the templates
+    and the weight of its template words are exact; every other distinct word adds
+    at least 1 to the square of its norm, for an idf is never below 1."""
+    table = {w: {"idf": idf, "x": [v.get(w, 0.0) for v in weights.vectors]} for w, idf in sorted(weights.idf.items())}
+    known = F.from_json(F.lit(json.dumps(table)), "map<string, struct<idf: double, x: array<double>>>")
+    held = F.array_intersect(words, F.map_keys(known))
+    parts = F.transform(held, lambda w: F.struct(
+        F.element_at(known, w).alias("t"),
+        (1 + F.log(F.size(F.filter(words, lambda x: x == w)).cast("double"))).alias("tf")))
+    parts = F.transform(parts, lambda p: F.struct((p["tf"] * p["t"]["idf"]).alias("y"), p["t"]["x"].alias("x")))
+    dots = F.aggregate(parts, F.array_repeat(F.lit(0.0), len(weights.vectors)),
+                       lambda acc, p: F.zip_with(acc, p["x"], lambda a, x: a + x * p["y"]))
+    square = F.aggregate(parts, F.lit(0.0), lambda acc, p: acc + p["y"] * p["y"])
+    others = F.size(F.array_distinct(words)) - F.size(held)
+    least = weights.threshold - 1e-6  # scores are rounded to six digits
+    return F.pow(F.array_max(dots), F.lit(2.0)) >= F.lit(least * least) * (square + others)
+
+
 def units(files: DataFrame, weights: Weights, path_col: str, text_col: str) -> DataFrame:
-    """(key, path, words) of the units that hold an anchor word."""
+    """(key, path, words) of the units that hold an anchor word and may reach
+    the threshold."""
     by_first: dict[str, list[str]] = {}
     for w in sorted(weights.anchors):
         by_first.setdefault(w[0], []).append(_quoted(w[1:]))
@@ -202,7 +224,9 @@ def units(files: DataFrame, weights: Weights, path_col: str, text_col: str) -> D
     whole = F.when(path.rlike(LICENCE_FILE), text)
     wide = files.select(_key(path, text).alias("key"), path.alias("path"), F.explode(F.array_distinct(F.array_compact(
         F.array(whole, _comment_block(text))))).alias("part")).where(held)
-    return lines.unionByName(wide).select("key", "path", _tokens(F.col("part")).alias("words"))
+    # filtered inside the generator, so that a unit is cut into words once
+    return lines.unionByName(wide).select("key", "path", F.explode(F.filter(
+        F.array(_tokens(F.col("part"))), lambda words: _within_reach(weights, words))).alias("words"))
 
 
 def _quoted(word: str) -> str:
