@@ -41,7 +41,7 @@ def test_long_run_without_spaces_is_linear(spark):
 
 
 @pytest.mark.parametrize("path,url", [
-    ("testing-features/testing-features.md", "https://d/testing-features"),
+    ("windows/windows.md", "https://d/windows"),
     ("a/b/c.md", "https://d/a/b/c"),
     ("single.md", "https://d/single"),
     ("/lead/x.md", "https://d/lead/x"),
