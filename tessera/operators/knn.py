@@ -26,6 +26,8 @@ query. Rows without a vector or with a null in a matching column take no part.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -35,10 +37,12 @@ from pyspark.sql import types as T
 from tessera.session import materialize
 
 DEFAULT_BLOCK_BYTES = 8 * 1024 * 1024    # vectors of one part of a cell or slice
-CELL_ROWS = 512                          # corpus rows for each centre, while centres are few
+CELL_ROWS = 512                          # corpus rows for each centre, while centres are few (2 sqrt(n) at most)
+KEY_COUNTS = 1 << 20                     # counts of rows by cell and matching columns that the driver sees
 CENTRE_BYTES = 32 * 1024 * 1024          # of all centres together
 MARGIN = 1e-9                            # bounds and scores are rounded apart from each other
 SCORE_CELLS = 4 * 1024 * 1024            # score-matrix cells held at once per task
+PLAN_CELLS = 1024 * 1024                 # scores of rows with centres held at once per task
 SCORE_DECIMALS = 12  # matrix products of equal vectors can differ in the last bit; ties must stay ties
 
 
@@ -55,11 +59,19 @@ def _topk_merge(best_s, best_i, s, ids, k):
     else:
         all_s = np.concatenate([best_s, s], axis=1)
         all_i = np.concatenate([best_i, np.broadcast_to(ids, s.shape)], axis=1)
-    if all_s.shape[1] > k:
-        # deterministic cut: highest score, then smallest id
-        order = np.lexsort((all_i, -all_s), axis=1)[:, :k]
-        all_s = np.take_along_axis(all_s, order, axis=1)
-        all_i = np.take_along_axis(all_i, order, axis=1)
+    n = all_s.shape[1]
+    if n > k:
+        # deterministic cut: highest score, then smallest id; only scores of at
+        # least the k-th are sorted, ties of the k-th included
+        low = np.nan_to_num(all_s, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+        kth = np.partition(low, n - k, axis=1)[:, n - k]
+        row, col = np.nonzero(low >= kth[:, None])
+        order = np.lexsort((all_i[row, col], -low[row, col], row))
+        row, col = row[order], col[order]
+        begin = np.searchsorted(row, np.arange(len(low)))
+        cut = col[begin[:, None] + np.arange(k)[None, :]]
+        all_s = np.take_along_axis(low, cut, axis=1)
+        all_i = np.take_along_axis(all_i, cut, axis=1)
     return np.ascontiguousarray(all_s), np.ascontiguousarray(all_i)
 
 
@@ -111,6 +123,7 @@ class _Cells:
         self.centres, self.ids, self.keys = centres, ids, keys
         self.norms = (centres ** 2).sum(axis=1)
         self.radii = self.counts = self.parts = None
+        self.of_key: dict[int, tuple[np.ndarray, np.ndarray]] | None = None  # (cells, counts) of a key's rows
 
     def nearest(self, mat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(cell, distance to its centre, scores with all centres)."""
@@ -122,13 +135,16 @@ class _Cells:
         """(parts, first number) of the slices of the queries of each cell.
         Cells with few queries share a slice with others, taken in order of
         their score with the first centre; those with many are cut."""
+        # A query meets the cells it needs whatever slice it is in, so large
+        # slices only make groups fewer.
+        most = max(CELL_ROWS, per_part // 2)
         parts = np.maximum(1, -(-asking // per_part))
         first, number, held = np.zeros(len(asking), dtype=np.int64), 0, 0
         for cell in np.argsort(-(self.centres @ self.centres[0]), kind="stable"):
-            if held and held + asking[cell] > max(CELL_ROWS, asking[cell]):
+            if held and held + asking[cell] > max(most, asking[cell]):
                 number, held = number + 1, 0
             first[cell], held = number, held + asking[cell]
-            if parts[cell] > 1 or held >= CELL_ROWS:
+            if parts[cell] > 1 or held >= most:
                 number, held = number + parts[cell], 0
         return parts, first
 
@@ -143,16 +159,28 @@ class _Cells:
             seen = np.where(self.ids[None, :] == ids[:, None], -np.inf, seen)
         if seen.shape[1] >= k:
             floor = np.partition(seen, seen.shape[1] - k, axis=1)[:, seen.shape[1] - k]
-        if most_rows is not None:
-            # Cells by falling lower bound, until they hold enough rows.
-            low = scores - reach
-            order = np.argsort(-low, axis=1)
-            held = np.cumsum(self.counts[order], axis=1)
-            enough = held >= k + most_rows
-            at = np.argmax(enough, axis=1)
-            rows = np.arange(len(mat))
-            floor = np.maximum(floor, np.where(enough[rows, at], low[rows, order[rows, at]], -np.inf))
-        return (scores + reach >= floor[:, None] - MARGIN * (1 + size)) & (self.counts[None, :] > 0)
+        need = np.zeros(scores.shape, dtype=bool)
+        if self.of_key is None:
+            groups = [(np.arange(len(mat)), self.counts)]
+        else:
+            groups = []
+            for key in np.unique(keys):
+                counts = np.zeros(len(self.centres), dtype=np.int64)
+                if key in self.of_key:
+                    counts[self.of_key[key][0]] = self.of_key[key][1]
+                groups.append((np.flatnonzero(keys == key), counts))
+        for rows, counts in groups:
+            if most_rows is not None:
+                # Cells by falling lower bound, until they hold enough rows.
+                low = scores[rows] - reach[rows]
+                order = np.argsort(-low, axis=1)
+                enough = np.cumsum(counts[order], axis=1) >= k + most_rows
+                at = np.argmax(enough, axis=1)
+                own = np.arange(len(rows))
+                floor[rows] = np.maximum(floor[rows], np.where(enough[own, at], low[own, order[own, at]], -np.inf))
+            need[rows] = ((scores[rows] + reach[rows] >= floor[rows, None] - MARGIN * (1 + size[rows]))
+                          & (counts[None, :] > 0))
+        return need
 
 
 def _hash(cols: list[str]) -> Column:
@@ -165,7 +193,7 @@ def _vectors(col: pd.Series, normalize: bool) -> np.ndarray:
 
 def _centres(d: DataFrame, keys: list[str], n_rows: int, width: int, normalize: bool) -> _Cells:
     """Sampled corpus rows: those of least hash, the same at every run."""
-    count = max(1, min(-(-n_rows // CELL_ROWS), CENTRE_BYTES // (8 * max(1, width))))
+    count = max(1, min(-(-n_rows // CELL_ROWS), 2 * math.isqrt(n_rows), CENTRE_BYTES // (8 * max(1, width))))
     sane = d.where(F.forall("_vec", lambda c: c.isNotNull() & ~F.isnan(c)))
     order = F.xxhash64(F.col("_vec"), F.col("_did"))
     rows = (sane.select("_vec", F.xxhash64("_did").alias("i"), _hash(keys).alias("k"), order.alias("o"))
@@ -176,6 +204,23 @@ def _centres(d: DataFrame, keys: list[str], n_rows: int, width: int, normalize:
     return _Cells(mat, np.array([r["i"] for r in rows], dtype=np.int64), np.array([r["k"] for r in rows], dtype=np.int64))
 
 
+def _first_copies(d: DataFrame, keys: list[str], k: int, exclude_self: bool) -> DataFrame:
+    """Corpus rows that some query may return. Copies of a vector have equal
+    scores, so of those of one key only the least ids count: k, and those that
+    may stand under a query's own id. Only hashes are counted; vectors move
+    only where a hash stands more often than that."""
+    h = F.xxhash64("_vec", *keys)
+    own = d.groupBy("_did").count().agg(F.max("count")).first()[0] or 0 if exclude_self else 0
+    often = materialize(d.groupBy(h.alias("_h")).count().where(F.col("count") > k + own).select("_h"), "knn-copies")
+    if often.isEmpty():
+        return d
+    marked = d.withColumn("_h", h)
+    place = Window.partitionBy("_h", *keys, "_vec").orderBy("_did")
+    copies = (marked.join(often, "_h", "left_semi").withColumn("_place", F.row_number().over(place))
+              .where(F.col("_place") <= k + own))
+    return materialize(marked.join(often, "_h", "left_anti").unionByName(copies.drop("_place")).drop("_h"), "knn-copies")
+
+
 def _lookup(values, at: Column) -> Column:
     return F.element_at(F.array(*[F.lit(int(v)) for v in values]), at + 1)
 
@@ -188,15 +233,18 @@ def block_plan(queries: DataFrame, corpus: DataFrame, k: int = 10, *,
     q = _side(queries, query_id, query_vec, match_cols, "_qid").dropDuplicates()
     d = _side(corpus, doc_id, doc_vec, match_cols, "_did")
     keys, normalize = [f"_k{i}" for i in range(len(match_cols))], metric == "cosine"
+    d = _first_copies(d, keys, k, exclude_self)
     n_d, width = d.agg(F.count("*"), F.max(F.size("_vec"))).first()
     per_part = max(1, block_bytes // (8 * (width or 0) + 64))
     cells = _centres(d, keys, n_d, width or 0, normalize)
+    at_once = max(1, PLAN_CELLS // len(cells.centres))
 
     def assign(batches):
         for b in batches:
-            if len(b):
-                cell, far, _ = cells.nearest(_vectors(b["_vec"], normalize))
-                yield b.assign(_cell=cell.astype(np.int32), _far=np.nan_to_num(far))
+            for start in range(0, len(b), at_once):
+                part = b.iloc[start:start + at_once]
+                cell, far, _ = cells.nearest(_vectors(part["_vec"], normalize))
+                yield part.assign(_cell=cell.astype(np.int32), _far=np.nan_to_num(far))
 
     numbered = d.withColumn("_no", F.monotonically_increasing_id())
     placed = materialize(numbered.mapInPandas(assign, T.StructType([*numbered.schema.fields, T.StructField(
@@ -205,9 +253,20 @@ def block_plan(queries: DataFrame, corpus: DataFrame, k: int = 10, *,
     for r in placed.groupBy("_cell").agg(F.max("_far").alias("far"), F.count("*").alias("n")).collect():
         cells.radii[r["_cell"]], cells.counts[r["_cell"]] = r["far"] * (1 + MARGIN), r["n"]
     cells.parts = np.maximum(1, -(-cells.counts // per_part))
-    # Rows that a query may not count: those under its own id. Matching columns leave counts open.
+    if keys:
+        by_key = placed.groupBy("_cell", _hash(keys).alias("_kh")).count()
+        seen = by_key.limit(KEY_COUNTS + 1).collect()
+        if len(seen) <= KEY_COUNTS:
+            found: dict[int, tuple[list, list]] = {}
+            for r in seen:
+                at, counts = found.setdefault(r["_kh"], ([], []))
+                at.append(r["_cell"])
+                counts.append(r["count"])
+            cells.of_key = {key: (np.array(at), np.array(counts)) for key, (at, counts) in found.items()}
+    # Rows that a query may not count: those under its own id. Where it is not
+    # known how many rows of a cell match, counts are left open.
     most_rows = None
-    if not keys:
+    if not keys or cells.of_key is not None:
         most_rows = (placed.groupBy("_did").count().agg(F.max("count")).first()[0] or 0) if exclude_self else 0
 
     def plan(batches):
@@ -215,8 +274,8 @@ def block_plan(queries: DataFrame, corpus: DataFrame, k: int = 10, *,
             if not len(b):
                 continue
             cell, targets = [], []
-            for start in range(0, len(b), 1024):
-                part = b.iloc[start:start + 1024]
+            for start in range(0, len(b), at_once):
+                part = b.iloc[start:start + at_once]
                 mat = _vectors(part["_vec"], normalize)
                 near, _, scores = cells.nearest(mat)
                 need = cells.needed(mat, scores, part["_qh"].to_numpy(), part["_kh"].to_numpy(), k, exclude_self,

@@ -81,3 +81,52 @@ def test_parts_of_a_repeated_vector_are_bounded(spark):
     got = knn.similarity_topk(df.limit(3).withColumnRenamed("id", "q"), same, 5, query_id="q",
                               block_bytes=50 * (8 * 4 + 64)).collect()
     assert len(got) == 15 and {r.id for r in got} == {1}
+
+
+def test_copies_count_once_for_each_place(spark):
+    mat = clustered(200)
+    mat[40:160] = mat[3]
+    df = table(spark, mat)
+    left, right, _ = knn.block_plan(df.withColumnRenamed("id", "q"), df, 4, query_id="q", exclude_self=True)
+    # 80 rows as before, and of the copies one for each place and one for the query itself
+    assert right.select("_did").distinct().count() == 79 + 5
+    got = knn.similarity_topk(df.withColumnRenamed("id", "q"), df, 4, query_id="q", match_cols=("label",),
+                              exclude_self=True)
+    assert found(got) == brute(mat, 4, "cosine", True, [i % 3 for i in range(len(mat))])
+
+
+def test_scores_with_centres_are_held_for_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(knn, "PLAN_CELLS", 64)
+    monkeypatch.setattr(knn, "CELL_ROWS", 16)
+    cells = knn._centres(knn._side(table(spark, clustered(300)), "id", "vector", (), "_did"), [], 300, 16, True)
+    assert len(cells.centres) == 19 and max(1, knn.PLAN_CELLS // len(cells.centres)) == 3
+    df = table(spark, clustered(300))
+    plain = knn._Cells.nearest
+
+    def nearest(self, mat):
+        if len(mat) > 3:
+            raise AssertionError(f"{len(mat)} rows at once")
+        return plain(self, mat)
+    monkeypatch.setattr(knn._Cells, "nearest", nearest)
+    assert knn.similarity_topk(df.withColumnRenamed("id", "q"), df, 2, query_id="q").count() == 600
+
+
+def test_cells_without_rows_of_a_key_are_not_asked(spark, monkeypatch):
+    monkeypatch.setattr(knn, "CELL_ROWS", 16)
+    mat = clustered(600)
+    df = table(spark, mat).withColumn("label", (F.col("id") >= 300).cast("int"))
+    left, right, keys = knn.block_plan(df.withColumnRenamed("id", "q"), df, 3, query_id="q", match_cols=("label",))
+    asked, there = (x.select(*keys).distinct() for x in (left, right))
+    assert asked.join(there, keys, "left_anti").isEmpty()
+
+
+def test_cut_without_a_full_sort():
+    rng = np.random.default_rng(1)
+    s = np.round(rng.standard_normal((50, 300)), 1)
+    s[0], s[1, 5:], s[2, 7] = -np.inf, np.nan, np.inf
+    ids = rng.permutation(300)
+    best, at = knn._topk_merge(None, None, s, ids, 8)
+    for i in range(2, 50):
+        order = sorted(range(300), key=lambda j: (-s[i, j], ids[j]))[:8]
+        assert at[i].tolist() == [ids[j] for j in order] and best[i].tolist() == s[i, order].tolist()
+    assert not np.isfinite(best[0]).any() and sorted(best[1][np.isfinite(best[1])].tolist()) == sorted(s[1, :5].tolist())
