@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.session import materialize
+
 TOKEN_PATTERN = "[\\p{L}\\p{N}]+"  # fixed value: a token is a run of letters/digits
 
 
@@ -108,9 +110,12 @@ class HashingEmbedder:
 
     def fit_terms(self, terms: DataFrame, id_col: str) -> IdfModel:
         """Model of the term counts (id, tok, tf) of a corpus. Pass a written
-        table: it is read for the frequencies and for the number of texts."""
-        return self.model(terms.groupBy("tok").agg(F.count(F.lit(1)).alias("df")),
-                          terms.select(F.count_distinct(id_col)).scalar())
+        table: it is read for the frequencies and for the number of texts. The
+        frequencies are written, so that a join knows their size beforehand:
+        those of a vocabulary that can be broadcast spare the shuffle of all terms."""
+        m = self.model(terms.groupBy("tok").agg(F.count(F.lit(1)).alias("df")),
+                       terms.select(F.count_distinct(id_col)).scalar())
+        return IdfModel(materialize(m.df, "frequencies"), m.n_docs, m.dim)
 
     def fit(self, corpus: DataFrame, id_col: str, text_col: str, cache: bool = True) -> IdfModel:
         m = self.fit_terms(term_counts(corpus, id_col, text_col), id_col)
