@@ -12,7 +12,7 @@ no comparison: every occurrence after the first goes whole.
 What is left are minimizers with several contexts. Their contexts, each once,
 are dealt by minimizer; a task cuts them to the pieces whose strings may stand
 twice (equal strings have equal hashes, so none is lost), forms shards of the
-pieces, builds the transform of each and merges these by iterative interleave
+pieces (of equal ones the earliest), builds the transform of each and merges these by iterative interleave
 refinement (``bwt.merge``), which compares bytes.
 After ``length`` rounds the places that have not parted are the repeated
 intervals; the earliest place of an interval keeps its string.
@@ -126,12 +126,20 @@ def _pieces(contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray,
 def first_strings(keys: np.ndarray, contexts: list[bytes], length: int) -> list[np.ndarray]:
     """For every context a mask of its strings: set if no equal string stands
     earlier among the contexts of its key, which are in order of place. Only
-    the pieces of contexts whose strings may stand twice are merged."""
+    the pieces of contexts whose strings may stand twice are merged, and of
+    equal pieces the earliest: every string of the others stands there."""
     out = [np.ones(len(c) - length + 1, dtype=bool) for c in contexts]
     row, first, end = _pieces(contexts, length)
-    spans = list(zip(row.tolist(), first.tolist(), end.tolist(), strict=True))
-    masks = _first_in_pieces(keys[row], [contexts[i][a:b + length - 1] for i, a, b in spans], length)
-    for (i, a, b), mask in zip(spans, masks, strict=True):
+    spans, pieces, merged = [], [], {}
+    for key, i, a, b in zip(keys[row].tolist(), row.tolist(), first.tolist(), end.tolist(), strict=True):
+        piece = contexts[i][a:b + length - 1]
+        if merged.setdefault((key, piece), (i, a)) == (i, a):
+            spans.append((key, i, a, b))
+            pieces.append(piece)
+        else:
+            out[i][a:b] = False
+    masks = _first_in_pieces(np.array([s[0] for s in spans], dtype=keys.dtype), pieces, length)
+    for (_, i, a, b), mask in zip(spans, masks, strict=True):
         out[i][a:b] = mask
     return out
 

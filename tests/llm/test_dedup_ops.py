@@ -360,3 +360,25 @@ def test_keep_one_tells_texts_of_one_id_apart(spark):
     assert four in ([("p q r s t u", 2)], [("P q r s t u", 1)])  # one text of the id stays, with its repeated row
     assert {k: n for k, n in rows.items() if k[0] != 4} == {
         (1, "a b c d e f"): 1, (2, "nobody else has this text at all"): 1, (5, None): 1}
+
+
+def test_suffix_equal_pieces_are_merged_once(monkeypatch):
+    op = suffix_dedup
+    said = b"the same passage stands in every one of these contexts, between words of their own"
+    other = b"0123456789" * 3 + b"another one is found whole, and then only up to its first part"
+    contexts = [bytes([65 + i]) * 9 + said + bytes([75 + i]) * 9 for i in range(5)] + [other, other[:60] + b"!" * 30]
+    keys = np.array([1] * 5 + [2] * 2)
+    merged, merge = [], op._first_in_pieces
+
+    def counted(keys, pieces, length):
+        merged.extend(pieces)
+        return merge(keys, pieces, length)
+
+    monkeypatch.setattr(op, "_first_in_pieces", counted)
+    masks = op.first_strings(keys, contexts, 40)
+    for i, (key, mask) in enumerate(zip(keys, masks, strict=True)):
+        seen = {c[j:j + 40] for c in (x for k, x in zip(keys[:i], contexts[:i], strict=True) if k == key)
+                for j in range(len(c) - 39)}
+        assert mask.tolist() == [contexts[i].find(contexts[i][j:j + 40]) == j and contexts[i][j:j + 40] not in seen
+                                 for j in range(len(contexts[i]) - 39)]
+    assert merged.count(said) == 1 and len(merged) == 2
