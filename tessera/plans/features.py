@@ -8,6 +8,7 @@ from tessera.functions.vectors import cosine, haversine_km
 from tessera.operators.features import (WindowAgg, asof_join, latest_per_key, range_window_features,
                                         session_starts, tiled_window_features, time_tiles, ts_micros)
 from tessera.plans.registry import register
+from tessera.session import materialize, shuffles_of
 from tessera.sources.tables import read_table
 
 H, D = 3600, 86400
@@ -203,14 +204,20 @@ JOIN {orders} o ON o.o_custkey = c.c_custkey
 JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey
 GROUP BY c.c_custkey, n.n_name, c.c_mktsegment"""
 
+SQL_ROWS_PER_TASK = 500_000  # of orders and lineitem together
+
 
 @register("sql_feature", sql=SQL_FEATURE.format(customer="customer", nation="nation", orders="orders",
                                                 lineitem="lineitem"))
 def sql_feature(spark, sf_dir):
     """A batch feature written in SQL: multi-table joins plus group by
-    (E12, H14). Catalyst prunes columns into each scan; AQE picks the joins."""
+    (E12, H14). Catalyst prunes columns into each scan; AQE picks the joins.
+    The distinct counts keep a row's keys in a task's hash map, so shuffles
+    have as many partitions as the rows ask for."""
     t = {n: read_table(spark, sf_dir, n) for n in ("customer", "nation", "orders", "lineitem")}
-    return spark.sql(SQL_FEATURE, **t)
+    rows = sum(read_table(spark, sf_dir, n, balance=False).count() for n in ("orders", "lineitem"))
+    with shuffles_of(spark, rows, SQL_ROWS_PER_TASK):
+        return materialize(spark.sql(SQL_FEATURE, **t), "sql-feature")
 
 
 FEATURE_START = "2024-01-03 00:00:00"

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -78,6 +80,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+@contextmanager
+def shuffles_of(spark: SparkSession, rows: int, rows_per_task: int) -> Iterator[None]:
+    """Shuffles of jobs run inside have as many partitions as keep a task at
+    about ``rows_per_task`` of ``rows``, and AQE does not merge them again, so
+    that what a task holds does not grow with the input. Few rows leave the
+    session's settings as they are."""
+    n = -(-rows // rows_per_task)
+    if n <= spark.sparkContext.defaultParallelism:
+        yield
+        return
+    count, merged = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"
+    before = {k: spark.conf.get(k) for k in (count, merged)}
+    try:
+        spark.conf.set(count, str(max(n, int(before[count]))))
+        spark.conf.set(merged, "false")
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def materialize(df, name: str):
     """Cut lineage by writing ``df`` once as Parquet under the shared
     checkpoint folder and reading it back (one job; an eager checkpoint()
