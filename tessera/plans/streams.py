@@ -16,7 +16,7 @@ from tessera.sources.tables import read_table
 from tessera.streaming.features import dedup_events, sliding_aggregates, with_event_time
 from tessera.streaming.ingest import ChunkIndex
 from tessera.streaming.late import LateRows
-from tessera.streaming.runner import ChangeLog, FileStream, time_slices
+from tessera.streaming.runner import ChangeLog, FileStream, bounded_slices, time_slices
 
 N_SLICES = 4
 MIN_US = 60 * 1_000_000
@@ -40,7 +40,7 @@ def stream_sliding(spark, sf_dir):
     minutes, append mode: each window is emitted once, when closed (J1, J3).
     Equals the batch result cut at the final watermark."""
     ev, fs = _event_stream(spark, sf_dir, "stream-sliding", "user_id", "ts", "value")
-    for sl in time_slices(ev, "ts", N_SLICES):
+    for sl in bounded_slices(ev, "ts", N_SLICES, f"{fs.base}/slices"):
         fs.land(sl)
         fs.run_append(lambda s: sliding_aggregates(s, "user_id", "ts", "value"))
     out = fs.read_sink()

@@ -8,13 +8,18 @@ Folders live under the session's shared checkpoint folder.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from tessera.session import scratch_path
 
+ROWS_PER_TASK = 125_000  # of a slice; a row is in several windows
+
 
 class FileStream:
     """A stream over Parquet files landing in ``input_dir``."""
@@ -37,19 +42,23 @@ class FileStream:
     def run_append(self, build: Callable[[DataFrame], DataFrame]) -> None:
         """One incremental run: new input -> ``build`` -> appended to the
         Parquet sink (exactly once through the checkpoint)."""
-        q = (build(self.read()).writeStream.format("parquet").outputMode("append")
-             .option("checkpointLocation", self.checkpoint).option("path", self.sink)
-             .trigger(availableNow=True).start())
-        q.awaitTermination()
-        if q.exception():
-            raise q.exception()
+        self._run(build(self.read()).writeStream.format("parquet").outputMode("append").option("path", self.sink))
 
     def run_foreach_batch(self, build: Callable[[DataFrame], DataFrame],
                           handle: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-        q = (build(self.read()).writeStream.foreachBatch(handle).outputMode(mode)
-             .option("checkpointLocation", self.checkpoint)
-             .trigger(availableNow=True).start())
-        q.awaitTermination()
+        self._run(build(self.read()).writeStream.foreachBatch(handle).outputMode(mode))
+
+    def _run(self, writer: DataStreamWriter) -> None:
+        """Executors go on holding the states of finished runs for a while, so
+        each keeps the last version only: what is still open, not all rows."""
+        versions = "spark.sql.streaming.maxBatchesToRetainInMemory"
+        before = self.spark.conf.get(versions)
+        try:
+            self.spark.conf.set(versions, "1")
+            q = writer.option("checkpointLocation", self.checkpoint).trigger(availableNow=True).start()
+            q.awaitTermination()
+        finally:
+            self.spark.conf.set(versions, before)
         if q.exception():
             raise q.exception()
 
@@ -69,6 +78,32 @@ def time_slices(df: DataFrame, ts: str, n: int) -> list[DataFrame]:
     return [df.filter((t >= lo + i * step) & (t < lo + (i + 1) * step)) for i in range(n)]
 
 
+def bounded_slices(df: DataFrame, ts: str, n: int, path: str, rows_per_task: int | None = None) -> list[DataFrame]:
+    """Consecutive event-time ranges of about equal numbers of rows: ``n``, or
+    more if a run's tasks would take in more than ``rows_per_task`` rows each.
+    A stream over them holds the groups of one slice and its open windows,
+    however long the table is. The rows are dealt once, under ``path``, so that
+    a slice reads its own files only. Rows of one instant stay in one slice;
+    rows without an event time are in none."""
+    spark = df.sparkSession
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows_per_task = rows_per_task or ROWS_PER_TASK
+    rows = df.where(at.isNotNull())
+    total = rows.count()
+    if not total:
+        return []
+    tasks = spark.sparkContext.defaultParallelism
+    n = max(n, -(-total // (rows_per_task * min(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))))))
+    cuts = rows.select(at.alias("_at")).approxQuantile("_at", [i / n for i in range(1, n)], 0.2 / n)
+    split = Bucketizer(splits=[-math.inf, *sorted(set(cuts)), math.inf], inputCol="_at", outputCol="_slice")
+    dealt = (split.transform(rows.withColumn("_at", at.cast("double"))).withColumn("_slice", F.col("_slice").cast("int"))
+             .withColumn("_deal", F.pmod(F.xxhash64(*df.columns), F.lit(tasks))))
+    (dealt.repartition(n * tasks, "_slice", "_deal").drop("_at", "_deal").write.partitionBy("_slice")
+     .option("maxRecordsPerFile", rows_per_task).parquet(path))
+    read = spark.read.schema(df.select("*", F.lit(0).alias("_slice")).schema).parquet(path)
+    return [read.where(F.col("_slice") == i).select(df.columns) for i in range(len(set(cuts)) + 1)]
+
+
 class ChangeLog:
     """Rows of keyed updates, appended batch by batch: one folder per
     micro-batch, and a batch that is run again replaces its own folder. Earlier
