@@ -39,7 +39,7 @@ def test_no_rows_no_slices(spark, tmpdir_path):
     assert runner.bounded_slices(ev, "ts", 4, f"{tmpdir_path}/none") == []
 
 
-@pytest.mark.parametrize("name", ["stream_sliding"])
+@pytest.mark.parametrize("name", ["stream_sliding", "stream_view"])
 def test_streams_take_in_bounded_slices(spark, tmpdir_path, monkeypatch, name):
     con = _events(spark, tmpdir_path)
     monkeypatch.setattr(runner, "ROWS_PER_TASK", 50)
