@@ -110,11 +110,11 @@ class HashingEmbedder:
 
     def fit_terms(self, terms: DataFrame, id_col: str) -> IdfModel:
         """Model of the term counts (id, tok, tf) of a corpus. Pass a written
-        table: it is read for the frequencies and for the number of texts. The
-        frequencies are written, so that a join knows their size beforehand:
+        table: it is read for the frequencies and for the number of texts, and not
+        again. The frequencies are written, so that a join knows their size beforehand:
         those of a vocabulary that can be broadcast spare the shuffle of all terms."""
-        m = self.model(terms.groupBy("tok").agg(F.count(F.lit(1)).alias("df")),
-                       terms.select(F.count_distinct(id_col)).scalar())
+        texts = materialize(terms.select(F.count_distinct(id_col).alias("n")), "texts")
+        m = self.model(terms.groupBy("tok").agg(F.count(F.lit(1)).alias("df")), texts.scalar())
         return IdfModel(materialize(m.df, "frequencies"), m.n_docs, m.dim)
 
     def fit(self, corpus: DataFrame, id_col: str, text_col: str, cache: bool = True) -> IdfModel:

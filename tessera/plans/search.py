@@ -11,7 +11,7 @@ from tessera.operators.retrieve import format_code_hits, format_doc_hits, search
 from tessera.plans.corpus import CHUNKS_SQL, chunk_index
 from tessera.plans.evaluate import example_rows
 from tessera.plans.registry import ORACLE, register
-from tessera.session import materialize, scratch_path
+from tessera.session import discard, materialize, scratch_path, sliced
 from tessera.sources.published_index import PublishedIndex
 from tessera.sources.tables import read_table
 
@@ -187,15 +187,19 @@ def hit_blocks_distinct(spark, sf_dir):
     return format_code_hits(hits.join(ex.select("ex_id", "code"), "ex_id"))
 
 
+TEXTS_AT_ONCE, TERMS_AT_ONCE = 1 << 19, 1 << 27  # rows whose shuffles are on disk together
+
+
 def _published_documents(spark, sf_dir):
     """``documents`` published as an index, then the labelled ones upserted with
     their quality as metadata."""
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
     labels = read_table(spark, sf_dir, "labels", "doc_id", "quality")
-    terms = materialize(term_counts(docs, "doc_id", "text"), "document-terms")
+    terms = sliced(docs, "doc_id", TEXTS_AT_ONCE, lambda d: term_counts(d, "doc_id", "text"), "document-terms")
     embedder = HashingEmbedder(64)
     model = embedder.fit_terms(terms, "doc_id")
-    vectors = materialize(model.transform_terms(terms, "doc_id"), "document-vectors")
+    vectors = sliced(terms, "doc_id", TERMS_AT_ONCE, lambda t: model.transform_terms(t, "doc_id"), "document-vectors")
+    discard(terms)
     rows = docs.join(vectors, "doc_id")
     labelled = rows.join(labels, "doc_id")
 

@@ -18,8 +18,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import DROP_SHUFFLES, settings
 from tessera.sources.index_store import DEFAULT_MODEL, upsert_index
 
+ROWS_AT_ONCE = 1 << 19  # old and new rows that are shuffled together
+
 
 class PublishedIndex:
     """Index rows ``(id string, ...)`` under ``path``, with any other columns.
@@ -90,11 +93,26 @@ class PublishedIndex:
         rows = rows.withColumn("id", F.col("id").cast("string")).where("id is not null").select(*names)
         schema = old["schema"] if old else ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
         bucket = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-        touched = [str(r[0]) for r in rows.select(bucket).distinct().collect()]   # n_buckets at most
-        kept = self._rows(old, [b for b in touched if b in old["buckets"]]) if old else rows.limit(0)
+        def counts(df):   # n_buckets at most
+            return {str(r["b"]): r["count"] for r in df.groupBy(bucket.alias("b")).count().collect()}
+        fresh = counts(rows)
+        touched = list(fresh)
+        there = counts(self._rows(old, [b for b in touched if b in old["buckets"]])) if old else {}
+        groups, held = [], 0
+        for b in touched:
+            more = fresh[b] + there.get(b, 0)
+            if not groups or held + more > ROWS_AT_ONCE:
+                groups, held = [*groups, []], 0
+            groups[-1].append(b)
+            held += more
         folder = f"data/{uuid.uuid4().hex}"
-        (upsert_index(kept.select(*names), rows).withColumn("bucket", bucket)
-         .repartition(max(1, len(touched)), "bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}"))
+        for group in groups:   # what is shuffled for some buckets goes before the next ones
+            new_rows = rows.where(bucket.isin([int(b) for b in group]))
+            kept = self._rows(old, [b for b in group if b in old["buckets"]]) if old else rows.limit(0)
+            with settings(self.spark, {DROP_SHUFFLES: "true"}):
+                (upsert_index(kept.select(*names), new_rows).withColumn("bucket", bucket)
+                 .repartition(len(group), "bucket").write.mode("append").partitionBy("bucket")
+                 .parquet(f"{self.path}/{folder}"))
         buckets = {**(old["buckets"] if old else {}), **{b: f"{folder}/bucket={b}" for b in touched}}
         new = {"number": (old["number"] if old else 0) + 1, "embedding_model": model, "n_buckets": n, "schema": schema,
                "source_version": version if version is not None else (old or {}).get("source_version"),

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from tessera import session
 from tessera.operators import catalog, graph
-from tessera.session import discard, distilled, materialize, scratch_path
+from tessera.operators.embed import HashingEmbedder, term_counts
+from tessera.session import discard, distilled, materialize, sliced
+from tessera.sources import published_index
+from tessera.sources.published_index import PublishedIndex
 
 
 def shuffle_files(spark):
@@ -17,7 +20,7 @@ def shuffle_files(spark):
 
 
 def local(df):
-    return Path(df._written.removeprefix("file:"))
+    return Path(df._written[0].removeprefix("file:"))
 
 
 def test_shuffle_files_of_a_written_table_go(spark):
@@ -35,15 +38,15 @@ def test_only_the_result_of_a_chain_of_written_tables_stays(spark):
 
     def make():
         made.append(materialize(spark.range(5), "way"))
-        made.append(distilled(spark, "inner", lambda: made[0].select((F.col("id") * 2).alias("id"))))
+        made.append(distilled("inner", lambda: made[0].select((F.col("id") * 2).alias("id"))))
         return made[1].where("id > 2")
-    out = distilled(spark, "end", make)
+    out = distilled("end", make)
     assert sorted(r.id for r in out.collect()) == [4, 6, 8]
     assert local(out).exists() and not any(local(x).exists() for x in made)
     with pytest.raises(ZeroDivisionError):
-        distilled(spark, "end", lambda: 1 // 0)
+        distilled("end", lambda: 1 // 0)
     kept = materialize(spark.range(3), "kept")
-    discard(spark, out._written)
+    discard(out)
     assert not local(out).exists() and kept.count() == 3
 
 
@@ -83,3 +86,36 @@ def test_a_round_shuffles_its_paths_once(spark, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     first_round = [p for n, p in plans if n == "emission"][1]
     assert first_round.count("Exchange hashpartitioning") == 3  # paths by name, edges by source, all by request and name
+
+
+def test_some_rows_at_a_time_give_the_same_rows(spark):
+    docs = spark.createDataFrame([(i % 23 if i % 7 else None, f"w{i % 5} w{i % 3} x") for i in range(60)],
+                                 "doc_id long, text string")
+    plain = term_counts(docs, "doc_id", "text")
+    terms = sliced(docs, "doc_id", 25, lambda d: term_counts(d, "doc_id", "text"), "terms")
+    assert len(terms._written) == 3 and sorted(map(str, terms.collect())) == sorted(map(str, plain.collect()))
+    model = HashingEmbedder(16).fit_terms(terms, "doc_id")
+    whole = model.transform_terms(terms, "doc_id")
+    vectors = sliced(terms, "doc_id", 50, lambda t: model.transform_terms(t, "doc_id"), "vectors")
+    rounded = lambda df: sorted((r.doc_id or -1, [round(x, 9) for x in r.vector]) for r in df.collect())
+    assert len(vectors._written) > 1 and rounded(vectors) == rounded(whole)
+    discard(terms)   # the model keeps what it needs of them
+    assert model.transform(docs.limit(1), "doc_id", "text").count() == 1
+
+
+def test_an_upsert_writes_some_buckets_at_a_time(spark, tmp_path, monkeypatch):
+    def rows(ids, text):
+        return spark.createDataFrame([(str(i), f"{text}{i}", [1.0], ("en",)) for i in ids],
+                                     "id string, text string, vector array<double>, metadata struct<lang: string>")
+    monkeypatch.setattr(published_index, "ROWS_AT_ONCE", 30)
+    writes, plain = [], published_index.upsert_index
+    monkeypatch.setattr(published_index, "upsert_index", lambda old, new: (writes.append(new.count()), plain(old, new))[1])
+    ix = PublishedIndex(spark, str(tmp_path / "ix"), n_buckets=8)
+    ix.upsert(rows(range(100), "a"))
+    assert len(writes) > 2 and sum(writes) == 100 and max(writes) <= 30
+    writes.clear()
+    second = ix.upsert(rows([*range(50), 200, 200], "b"))
+    # a group holds the rows that lie in its buckets already, too
+    assert len(writes) > 2 and sum(writes) == 52 and second["number"] == 2
+    assert {r.id: r.text for r in ix.read().collect()} == {
+        str(i): f"{'b' if i < 50 or i == 200 else 'a'}{i}" for i in [*range(100), 200]}
