@@ -504,8 +504,9 @@ def block_plan(queries: DataFrame, corpus: DataFrame, k: int = 10, *,
 
 
 def _sliced(q: DataFrame, keys: list[str], cells: _Cells, slices: int, normalize: bool, *args) -> tuple[DataFrame, list]:
-    """(queries with their slice, for each slice: number, rows, least and
-    greatest hash of the matching columns, bits of the cells it needs)."""
+    """(queries with their range, for each slice: first and last range, rows,
+    least and greatest hash of the matching columns, mask of the cells it needs).
+    A slice is made of ranges that lie side by side, where there are more of them."""
     asked = _floored(q, keys, cells, *args, normalize)
     if slices > 1:
         order = np.empty(len(cells.centres), dtype=np.int32)   # centres by their score with the first
@@ -532,11 +533,17 @@ def _sliced(q: DataFrame, keys: list[str], cells: _Cells, slices: int, normalize
 
     met = asked.mapInPandas(meet, "_slice int, bits binary").groupBy("_slice").agg(F.collect_set("bits").alias("bits"))
     held = asked.groupBy("_slice").agg(F.count("*").alias("n"), F.min("_kh").alias("low"), F.max("_kh").alias("high"))
-    found = []
-    for r in held.join(met, "_slice").collect():
+    found, rows = [], sorted(held.join(met, "_slice").collect(), key=lambda r: r["_slice"])
+    share = -(-sum(r["n"] for r in rows) // slices)
+    for r in rows:
         bits = reduce(np.bitwise_or, [np.frombuffer(bytes(x), dtype=np.uint8) for x in r["bits"]])
-        found.append((r["_slice"], r["n"], r["low"], r["high"], np.unpackbits(bits, count=len(cells.centres)).astype(bool)))
-    return asked, sorted(found, key=lambda x: x[0])
+        need = np.unpackbits(bits, count=len(cells.centres)).astype(bool)
+        own = (r["_slice"], r["_slice"], r["n"], r["low"], r["high"], need)
+        if found and found[-1][2] + r["n"] <= share:
+            first, _, n, low, high, more = found.pop()
+            own = (first, r["_slice"], n + r["n"], min(low, r["low"]), max(high, r["high"]), more | need)
+        found.append(own)
+    return asked, found
 
 
 def similarity_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, *,
@@ -561,9 +568,9 @@ def similarity_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, *,
         vec = vec.cast("array<double>")
     own_type, id_type = queries.schema[query_id].dataType, corpus.schema[doc_id].dataType
     tasks = []
-    for i, _, low, high, need in met:
-        left = asked.where(F.col("_slice") == i).select(
-            "_slice", F.lit(-1).alias("_cell"), "_qid", F.lit(None).cast(id_type).alias("_did"), vec.alias("_vec"),
+    for i, last, _, low, high, need in met:
+        left = asked.where(F.col("_slice").between(i, last)).select(
+            F.lit(i).alias("_slice"), F.lit(-1).alias("_cell"), "_qid", F.lit(None).cast(id_type).alias("_did"), vec.alias("_vec"),
             "_floor", *keys)
         right = placed if need[cells.counts > 0].all() else placed.where(F.col("_cell").isin(np.flatnonzero(need).tolist()))
         if keys:
@@ -577,7 +584,7 @@ def similarity_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, *,
                                T.StructField("score", T.DoubleType())])
     if not tasks:
         return _finish(q.sparkSession.createDataFrame([], out_schema), k, query_id, doc_id)
-    scorer = _make_scorer({i: n for i, n, *_ in met}, k, exclude_self, normalize, len(keys), cells.centres, cells.radii)
+    scorer = _make_scorer({i: n for i, _, n, *_ in met}, k, exclude_self, normalize, len(keys), cells.centres, cells.radii)
     at_once, cands = max(TASKS_AT_ONCE, q.sparkSession.sparkContext.defaultParallelism), []
     # Spark 4.1 would make one task of a union of single tasks.
     with settings(q.sparkSession, {"spark.sql.unionOutputPartitioning": "false"}):

@@ -71,3 +71,17 @@ def test_repeated_query_rows_are_one(spark):
     q = table(spark, np.eye(3), "q").select("q", "vector")
     side = knn._side(q.unionByName(q.where("q = 1")).unionByName(q.where(F.col("q") == 1)), "q", "vector", (), "_qid")
     assert sorted(r._qid for r in knn._distinct(side).collect()) == [0, 1, 2]
+
+
+def test_small_ranges_are_one_slice(spark, monkeypatch):
+    monkeypatch.setattr(knn, "CELL_ROWS", 16)
+    monkeypatch.setattr(knn, "TASK_ROWS", 60)
+    frame, tasks = type(spark.range(1)), []
+    ranges, plain = frame.repartitionByRange, frame.coalesce
+    monkeypatch.setattr(frame, "repartitionByRange", lambda self, n, *cols: ranges(
+        self, 40 if isinstance(n, int) else n, *cols))
+    monkeypatch.setattr(frame, "coalesce", lambda self, n: (tasks.append(n), plain(self, n))[1])
+    mat = clustered(240)
+    df = table(spark, mat)
+    got = knn.similarity_topk(df.withColumnRenamed("id", "q"), df, 3, query_id="q")
+    assert found(got) == brute(mat, 3, "cosine", False) and 4 <= len(tasks) <= 4 * 6
